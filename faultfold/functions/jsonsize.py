@@ -1,0 +1,24 @@
+"""Size in bytes of a JSON text whose non-ASCII characters are written as escapes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Extra bytes of an escape over the UTF-8 form, by character range.
+_EXTRA = [(r"\x7f", 5), (r"\x{80}-\x{7ff}", 4), (r"\x{800}-\x{ffff}", 3), (r"\x{10000}-\x{10ffff}", 8)]
+
+
+def compact_json(row: Column) -> Column:
+    """Minified JSON with nulls kept."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def escaped_bytes(json_text: Column) -> Column:
+    size = F.octet_length(json_text)
+    extra = F.lit(0)
+    for chars, bytes_more in _EXTRA:
+        hits = F.char_length(F.regexp_replace(json_text, f"[^{chars}]", ""))
+        extra = extra + hits * bytes_more
+    plain = (size == F.char_length(json_text)) & ~F.contains(json_text, F.lit("\x7f"))
+    return F.when(plain, size).otherwise(size + extra).cast("bigint")

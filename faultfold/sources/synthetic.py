@@ -1,0 +1,100 @@
+"""Log rows for load trials, drawn deterministically from a key column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Severity shares in percent.
+SEVERITY_SHARES = [("INFO", 60), ("WARNING", 25), ("ERROR", 10), ("CRITICAL", 5)]
+
+# Resource types with their labels.
+RESOURCES = [
+    ("gce_instance", {"zone": "us-central1-a"}),
+    ("cloud_run_revision", {"location": "us-central1"}),
+    ("k8s_container", {"cluster_name": "prod-cluster", "namespace": "default"}),
+]
+
+# Severity, message, service.
+TEMPLATES = [
+    ("INFO", "User login successful", "auth-service"),
+    ("INFO", "Database connection pool checked out", "postgres-connection-pool"),
+    ("WARNING", "High memory consumption detected", "metrics-collector"),
+    ("WARNING", "API rate limit approaching for client token", "api-gateway"),
+    ("ERROR", "Failed to write record to secondary database cluster", "postgres-replication"),
+    ("ERROR", "Token verification signature mismatch", "auth-service"),
+    ("ERROR", "Email test@gmail.com already existed.", "user-registration-service"),
+    ("CRITICAL", "Cascading thread exhaustion across cluster pool", "background-job-worker"),
+    ("CRITICAL", "Potential SQL Injection pattern intercepted at firewall", "edge-waf-proxy"),
+]
+
+# The two shapes of the repetitive stream, as positions in TEMPLATES.
+REPETITIVE = [4, 5]
+
+
+def _pick(index: Column, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def synthetic_logs(keys: DataFrame, key: str = "id") -> DataFrame:
+    """One log row per key: weighted severity, uniform resource, uniform template of the severity.
+
+    Plain integer arithmetic on the key, so that runs repeat and any SQL engine agrees.
+    """
+    k = F.col(key).cast("bigint")
+    share = F.pmod(k * 37, F.lit(100))
+    severity = F.lit(None).cast("string")
+    upto = 0
+    for name, percent in SEVERITY_SHARES:
+        low, upto = upto, upto + percent
+        severity = F.when((share >= low) & (share < upto), name).otherwise(severity)
+    start = F.lit(0)
+    width = F.lit(1)
+    for name, _ in SEVERITY_SHARES:
+        places = [i for i, t in enumerate(TEMPLATES) if t[0] == name]
+        start = F.when(F.col("severity") == name, F.lit(places[0])).otherwise(start)
+        width = F.when(F.col("severity") == name, F.lit(len(places))).otherwise(width)
+    base = keys.select(
+        k.cast("string").alias("insert_id"),
+        severity.alias("severity"),
+        F.expr(f"pmod(CAST({key} AS BIGINT) div 100, 3)").alias("_r"),
+        F.expr(f"pmod(CAST({key} AS BIGINT) div 300, 6)").alias("_t"),
+    )
+    at = (start + F.pmod(F.col("_t"), width)).cast("bigint")
+    labels = [F.create_map(*[F.lit(x) for kv in lab.items() for x in kv]) for _, lab in RESOURCES]
+    service = _pick(at, [t[2] for t in TEMPLATES])
+    return base.select(
+        "insert_id",
+        "severity",
+        F.struct(
+            _pick(F.col("_r"), [r[0] for r in RESOURCES]).alias("type"),
+            F.map_concat(
+                F.element_at(F.array(*labels), (F.col("_r") + 1).cast("int")),
+                F.create_map(F.lit("service_name"), service),
+            ).alias("labels"),
+        ).alias("resource"),
+        _pick(at, [t[1] for t in TEMPLATES]).alias("text_payload"),
+    )
+
+
+def repetitive_logs(keys: DataFrame, key: str = "id", shape: int | None = None) -> DataFrame:
+    """ERROR rows of exactly two shapes, or of one when ``shape`` is 0 or 1."""
+    if shape not in (None, 0, 1):
+        raise ValueError("shape is 0, 1 or None")
+    k = F.col(key).cast("bigint")
+    which = F.pmod(k, F.lit(2)) if shape is None else F.lit(shape)
+    chosen = [TEMPLATES[i] for i in REPETITIVE]
+    return keys.select(
+        k.cast("string").alias("insert_id"),
+        F.lit("ERROR").alias("severity"),
+        F.struct(
+            F.lit("cloud_run_revision").alias("type"),
+            F.create_map(
+                F.lit("location"),
+                F.lit("us-west1"),
+                F.lit("service_name"),
+                _pick(which, [t[2] for t in chosen]),
+            ).alias("labels"),
+        ).alias("resource"),
+        _pick(which, [t[1] for t in chosen]).alias("text_payload"),
+    )
