@@ -1,4 +1,4 @@
-"""Size in bytes of a JSON text whose non-ASCII characters are written as escapes."""
+"""JSON as text: strict parsing, compact writing, and the size with escapes."""
 
 from __future__ import annotations
 
@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 _EXTRA = [(r"\x7f", 5), (r"\x{80}-\x{7ff}", 4), (r"\x{800}-\x{ffff}", 3), (r"\x{10000}-\x{10ffff}", 8)]
 
 
+def whole_json(text: Column) -> Column:
+    """The value when the whole text is one JSON value, else null.
+
+    The parser stops after the first value, so '{"a":1} x' would pass. Inside brackets anything
+    after the value is an error or a second element, except a closing bracket, which ends the list
+    early; texts that hold one are parsed inside braces too.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    braced = F.try_parse_json(F.concat(F.lit('{"e":'), text, F.lit("}")))
+    closed = F.when(F.contains(text, F.lit("]")), braced.isNotNull()).otherwise(F.lit(True))
+    return F.when(alone & closed, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def compact_json(row: Column) -> Column:
     """Minified JSON with nulls kept."""
     return F.to_json(row, {"ignoreNullFields": "false"})

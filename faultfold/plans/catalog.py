@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from faultfold.functions import periods, text
 from faultfold.functions.display import iso_utc, show_timestamp
 from faultfold.functions.fingerprint import report_id
-from faultfold.functions.jsonsize import compact_json, escaped_bytes
+from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.functions.severity import normalize_impact, severity_rank
 from faultfold.operators import (
     claims,
@@ -27,7 +27,7 @@ from faultfold.operators.analysis import check_prompts, rule_analyzer
 from faultfold.plans import fixtures as fx
 from faultfold.session import work_dir
 from faultfold.sources import envelopes, synthetic
-from faultfold.sources.tables import logs, logs_from_events, props_k, read_table
+from faultfold.sources.tables import event_severity, logs, logs_from_events, props_k, read_table
 from faultfold.streaming import counts, events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,16 +114,10 @@ def message_extract(spark, sf_dir):
 @query
 def severity_rank_of(spark, sf_dir):
     severity = F.when(F.col("value") < 5, F.lower("event_type")).otherwise(F.col("severity"))
-    rows = read_table(spark, sf_dir, "events").withColumn("severity", fx_severity())
+    rows = read_table(spark, sf_dir, "events").withColumn("severity", event_severity())
     return rows.select("event_id", severity_rank(severity).alias("severity_rank"))
 
 
-def fx_severity():
-    from faultfold.sources.tables import event_severity
-
-    return event_severity()
-
-
 # --- text functions over whole documents ---------------------------------------------------------
 
 
@@ -659,13 +653,20 @@ def candidate_sets(spark, sf_dir):
 
 @query
 def valid_matches(spark, sf_dir):
-    """A scorer that always names the first report of the signature; most are no candidates."""
+    """Two scorers: the similarity, and one that always names the report of the signature.
+
+    Few matches of the second are candidates: their reports are mostly too old.
+    """
     found = fx.hourly_incidents(spark, sf_dir)
     stored = fx.all_reports(spark, sf_dir)
-    claimed = found.select("incident_id", "signature").join(
+    same = found.select("incident_id", "signature").join(
         stored.select("signature", F.col("id").alias("report_id")), "signature"
     )
-    return repeats.valid_matches(claimed.select("incident_id", "report_id"), found, stored)
+    scored = repeats.best_match(repeats.repeat_scores(found, stored))
+    claimed = same.select("incident_id", "report_id").unionByName(
+        scored.select("incident_id", "report_id")
+    )
+    return repeats.valid_matches(claimed, found, stored)
 
 
 @query
@@ -703,9 +704,9 @@ def repetitive_logs(spark, sf_dir):
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of envelopes."""
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """The events table as a stream of envelopes. The pattern fits one file as well as a folder."""
+    schema = read_table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
     return envelopes.encode(logs_from_events(raw))
 
 

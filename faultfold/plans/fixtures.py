@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultfold.functions.fingerprint import report_id
-from faultfold.functions.jsonsize import compact_json, escaped_bytes
+from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.operators import claims, reports, rollup
 from faultfold.operators.analysis import rule_analyzer
 from faultfold.operators.selection import exportable, sanitize, service_of

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.display import ISO_MICROS, iso_utc
+from faultfold.functions.jsontext import whole_json
 from faultfold.schemas import LABELS
 
 # Reasons a delivery cannot be processed, in the order they are found out.
@@ -58,7 +59,7 @@ def decode(envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     step = (
         envelopes.select(*keep, data.alias("raw"), raw.alias("_bytes"))
         .withColumn("_text", text)
-        .withColumn("_entry", F.try_parse_json("_text"))
+        .withColumn("_entry", whole_json(F.col("_text")))
     )
     is_object = F.schema_of_variant("_entry").startswith("OBJECT")
     insert_id = _get("$.insertId")
@@ -106,5 +107,5 @@ def good(decoded: DataFrame) -> DataFrame:
 
 def objects_only(texts: DataFrame, column: str) -> DataFrame:
     """Keep rows whose JSON text is an object; other values are skipped, not errors."""
-    parsed = F.try_parse_json(column)
+    parsed = whole_json(F.col(column))
     return texts.where(F.schema_of_variant(parsed).startswith("OBJECT"))

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultfold.functions.jsonsize import compact_json, escaped_bytes
+from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.operators import claims, reports, rollup
 from faultfold.operators.analysis import rule_analyzer
 from faultfold.operators.limits import MAX_BYTES
@@ -35,7 +35,7 @@ ENTRY_SCHEMA = (
     "signature string, attempts int"
 )
 FAULT_SCHEMA = (
-    "signature string, severity string, service_name string, log_message string, "
+    "signature string, severity string, log_message string, "
     "incident_count bigint, first_seen timestamp, last_seen timestamp, first_insert_id string, "
     "last_insert_id string"
 )
