@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultfold.functions.once import compute_once
+
 # Extra bytes of an escape over the UTF-8 form, by character range.
 _EXTRA = [(r"\x7f", 5), (r"\x{80}-\x{7ff}", 4), (r"\x{800}-\x{ffff}", 3), (r"\x{10000}-\x{10ffff}", 8)]
 
 
-def whole_json(text: Column) -> Column:
-    """The value when the whole text is one JSON value, else null.
+def parse_whole(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the value when the whole of ``text`` is one JSON value, else null.
 
     The parser stops after the first value, so '{"a":1} x' would pass. Inside brackets anything
     after the value is an error or a second element, except a closing bracket, which ends the list
     early; texts that hold one are parsed inside braces too.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    braced = F.try_parse_json(F.concat(F.lit('{"e":'), text, F.lit("}")))
-    closed = F.when(F.contains(text, F.lit("]")), braced.isNotNull()).otherwise(F.lit(True))
-    return F.when(alone & closed, F.try_variant_get(listed, "$[0]", "variant"))
+    t = F.col(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    braced = F.try_parse_json(F.concat(F.lit('{"e":'), t, F.lit("}")))
+    closed = F.when(F.contains(t, F.lit("]")), braced.isNotNull()).otherwise(F.lit(True))
+    parsed = compute_once(df, _listed=listed, _closed=closed)
+    alone = F.try_variant_get("_listed", "$[1]", "variant").isNull()
+    value = F.when(alone & F.col("_closed"), F.try_variant_get("_listed", "$[0]", "variant"))
+    return compute_once(parsed, **{out: value}).drop("_listed", "_closed")
 
 
 def compact_json(row: Column) -> Column:

@@ -6,13 +6,17 @@ stays inside whole-stage code generation.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters str.split() and str.strip() treat as white space.
-SPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+LATIN_SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0"
+WIDE_SPACE_CLASS = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CLASS = LATIN_SPACE_CLASS + WIDE_SPACE_CLASS
+WIDE_SPACE_RANGE = r"[\x{1680}-\x{3000}]"
 
 # Mask patterns, their order and their placeholders.
 JWT_PATTERN = r"\beyJhbGciOi[-_a-zA-Z0-9\.]+\.[-_a-zA-Z0-9\.]+\.[-_a-zA-Z0-9\._~]*\b"
@@ -43,8 +47,14 @@ def first_message(json_payload: Column, text_payload: Column) -> Column:
 
 
 def fold_space(text: Column) -> Column:
-    """Every run of white space becomes one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+    """Every run of white space becomes one blank; the ends are trimmed.
+
+    Texts without a character from the range of the wide spaces take a class that holds Latin-1
+    characters only, which the regex engine tests with a table.
+    """
+    wide = text.rlike(WIDE_SPACE_RANGE)
+    narrow = F.regexp_replace(text, f"[{LATIN_SPACE_CLASS}]+", " ")
+    return F.trim(F.when(wide, F.regexp_replace(text, f"[{SPACE_CLASS}]+", " ")).otherwise(narrow))
 
 
 def strip_space(text: Column) -> Column:
@@ -81,7 +91,18 @@ def mask_secret(text: Column, strict: bool = False) -> Column:
     colon = F.regexp_replace(marked, f"{key}:{_CLOSE}", f'$1: "{SECRET_MASK}"')
     both = F.regexp_replace(colon, f"{key}={_CLOSE}", SECRET_MASK)
     masked = F.replace(both, F.lit(_OPEN + _ESC), F.lit(_OPEN))
-    return F.when(text.rlike(pattern), masked).otherwise(text)
+    return F.when(_may_hold_secret(text) & text.rlike(pattern), masked).otherwise(text)
+
+
+def _may_hold_secret(text: Column) -> Column:
+    """A cheap condition every text with a secret meets: a separator and a part of a key.
+
+    The parts leave out the letter s, which the pattern also matches in its long form.
+    """
+    separator = F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))
+    lowered = F.lower(text)
+    parts = [F.contains(lowered, F.lit(p)) for p in ("api", "ecret", "word", "bearer", "auth", "token")]
+    return separator & functools.reduce(operator.or_, parts)
 
 
 def mask_phone(text: Column) -> Column:

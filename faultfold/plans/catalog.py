@@ -13,6 +13,7 @@ from faultfold.functions import periods, text
 from faultfold.functions.display import iso_utc, show_timestamp
 from faultfold.functions.fingerprint import report_id
 from faultfold.functions.jsontext import compact_json, escaped_bytes
+from faultfold.functions.once import compute_once
 from faultfold.functions.severity import normalize_impact, severity_rank
 from faultfold.operators import (
     claims,
@@ -249,7 +250,8 @@ def envelope_roundtrip(spark, sf_dir):
 
 def damaged_envelopes(entries: DataFrame) -> DataFrame:
     """Deliveries of which four in seven are damaged, each in a way of its own."""
-    body = envelopes.entry_json()
+    written = compute_once(entries, _json=envelopes.entry_json())
+    body = F.col("_json")
     whole = F.base64(body.cast("binary"))
     kind = F.expr("pmod(CAST(insert_id AS BIGINT), 7)")
     data = (
@@ -260,7 +262,7 @@ def damaged_envelopes(entries: DataFrame) -> DataFrame:
         .when(kind == 5, F.base64(F.replace(body, F.lit('"insertId"'), F.lit('"id"')).cast("binary")))
         .otherwise(whole)
     )
-    return entries.select(
+    return written.select(
         F.col("insert_id").alias("delivery"),
         F.col("ts").alias("failed_at"),
         (F.expr("pmod(CAST(insert_id AS BIGINT) div 7, 6)") + 1).cast("int").alias("attempts"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.display import ISO_MICROS, iso_utc
-from faultfold.functions.jsontext import whole_json
+from faultfold.functions.jsontext import parse_whole
+from faultfold.functions.once import compute_once
 from faultfold.schemas import LABELS
 
 # Reasons a delivery cannot be processed, in the order they are found out.
@@ -45,7 +46,8 @@ def wrap(data: Column, subscription: str = "projects/demo/subscriptions/events")
 
 
 def encode(logs: DataFrame) -> DataFrame:
-    return logs.select(*wrap(F.base64(entry_json().cast("binary"))))
+    written = compute_once(logs, _json=entry_json())
+    return written.select(*wrap(F.base64(F.col("_json").cast("binary"))))
 
 
 def decode(envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -53,14 +55,10 @@ def decode(envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Each step yields null instead of an error, so that one bad delivery cannot stop a batch.
     """
-    data = F.col("message.data")
-    raw = F.try_to_binary(data, F.lit("base64"))
-    text = F.try_validate_utf8(F.col("_bytes").cast("string"))
-    step = (
-        envelopes.select(*keep, data.alias("raw"), raw.alias("_bytes"))
-        .withColumn("_text", text)
-        .withColumn("_entry", whole_json(F.col("_text")))
-    )
+    step = envelopes.select(*keep, F.col("message.data").alias("raw"))
+    step = compute_once(step, _bytes=F.try_to_binary("raw", F.lit("base64")))
+    step = compute_once(step, _text=F.try_validate_utf8(F.col("_bytes").cast("string")))
+    step = parse_whole(step, "_text", "_entry")
     is_object = F.schema_of_variant("_entry").startswith("OBJECT")
     insert_id = _get("$.insertId")
     reason = (
@@ -107,5 +105,5 @@ def good(decoded: DataFrame) -> DataFrame:
 
 def objects_only(texts: DataFrame, column: str) -> DataFrame:
     """Keep rows whose JSON text is an object; other values are skipped, not errors."""
-    parsed = whole_json(F.col(column))
-    return texts.where(F.schema_of_variant(parsed).startswith("OBJECT"))
+    parsed = parse_whole(texts, column, "_value")
+    return parsed.where(F.schema_of_variant("_value").startswith("OBJECT")).drop("_value")
