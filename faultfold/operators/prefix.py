@@ -33,7 +33,9 @@ def running(
     maxima = maxima or {}
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    valued = rows.select("*", *[v.alias(n) for n, v in {**sums, **maxima}.items()])
+    # Range partitioning reads its input twice, for a sample and for the shuffle. Rows are few
+    # bytes wide here but may be dear to compute, so they are computed once and kept.
+    valued = settle(rows.select("*", *[v.alias(n) for n, v in {**sums, **maxima}.items()]))
     placed = settle(
         valued.repartitionByRange(parts, *keys, *order).withColumn(_PART, F.spark_partition_id())
     )

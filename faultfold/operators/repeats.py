@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from faultfold.functions.text import fold_space
 from faultfold.operators.prefix import running
+from faultfold.session import settle
 
 LOOKBACK_SECONDS = 2 * 3600
 THRESHOLD = 0.6
@@ -32,6 +33,7 @@ CANDIDATE_FIELDS = [
 ]
 
 _GROUP = ["severity", "service_name"]
+_SIDE = [*_GROUP, "bucket", "content", "words"]
 _SLACK = 1e-9
 
 
@@ -144,13 +146,14 @@ def repeat_scores(
 
     Word-set Jaccard of at least ``threshold``; exact, see :func:`_rare_words`.
     """
-    new = _contents(incidents.where(F.coalesce("severity", F.lit("")) != ""), "as_of", seconds)
-    old = _contents(reports, "created_at", seconds)
-    side = [*_GROUP, "bucket", "content", "words"]
-    asking = new.select(*side).distinct()
+    asked = incidents.where(F.coalesce("severity", F.lit("")) != "")
+    # Both sides are read several times below.
+    new = settle(_contents(asked, "as_of", seconds).select("incident_id", "as_of", *_SIDE))
+    old = settle(_contents(reports, "created_at", seconds).select("id", "created_at", *_SIDE))
+    asking = new.select(*_SIDE).distinct()
     # A look-back reaches into its own bucket and the one before.
     held = (
-        old.select(*side)
+        old.select(*_SIDE)
         .withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
         .distinct()
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.severity import SEVERITIES, at_least
-from faultfold.functions.text import first_message, fold_space, redact
+from faultfold.functions.text import first_message, redacted
 
 DEFAULT_LIMIT = 100
 
@@ -95,5 +95,5 @@ def select_logs(logs: DataFrame, limit: int = DEFAULT_LIMIT, **filters) -> DataF
 
 def sanitize(logs: DataFrame, strict: bool = False, keep: tuple[str, ...] = ("insert_id",)) -> DataFrame:
     """Prune entries to the analysed fields and redact the message."""
-    message = redact(fold_space(message_of()), strict)
-    return logs.select(*keep, "ts", "severity", "resource", message.alias("message"))
+    masked = redacted(logs, message_of(), "message", strict)
+    return masked.select(*keep, "ts", "severity", "resource", "message")

@@ -160,8 +160,8 @@ _over_documents("redact_documents", lambda c: text.redact(text.fold_space(c)))
 @query
 def payload_bytes(spark, sf_dir):
     row = F.struct("doc_id", "text", F.lit(None).cast("string").alias("note"))
-    size = escaped_bytes(compact_json(row))
-    return read_table(spark, sf_dir, "documents").select("doc_id", size.alias("payload_bytes"))
+    written = compute_once(read_table(spark, sf_dir, "documents"), _json=compact_json(row))
+    return written.select("doc_id", escaped_bytes(F.col("_json")).alias("payload_bytes"))
 
 
 # --- sanitizing and signatures -------------------------------------------------------------------
@@ -594,13 +594,13 @@ def prompt_guard(spark, sf_dir):
 
 @query
 def batch_limits(spark, sf_dir):
-    """Entries per service in batches of a day, and documents per source as one batch each."""
+    """Entries per service in batches of a day and of all time, documents in one per source."""
+    day = F.concat_ws("/", "service_name", F.date_format("ts", "yyyy-MM-dd"))
     entries = fx.sized_entries(spark, sf_dir).select(
-        F.concat_ws("/", "service_name", F.date_format("ts", "yyyy-MM-dd")).alias("batch"), "bytes"
+        F.explode(F.array(day, F.col("service_name"))).alias("batch"), "bytes"
     )
-    month = fx.sized_entries(spark, sf_dir).select(F.col("service_name").alias("batch"), "bytes")
     docs = fx.sized_documents(spark, sf_dir).select(F.col("source").alias("batch"), "bytes")
-    return limits.batch_limits(entries.unionByName(month).unionByName(docs), ["batch"])
+    return limits.batch_limits(entries.unionByName(docs), ["batch"])
 
 
 @query

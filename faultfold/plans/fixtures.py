@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultfold.functions.fingerprint import report_id
 from faultfold.functions.jsontext import compact_json, escaped_bytes
+from faultfold.functions.once import compute_once
 from faultfold.operators import claims, reports, rollup
 from faultfold.operators.analysis import rule_analyzer
 from faultfold.operators.selection import exportable, sanitize, service_of
@@ -140,15 +141,15 @@ def sized_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sanitized entries of every severity with the bytes each takes in a JSON payload."""
     clean = sanitize(logs(spark, sf_dir)).withColumn("service_name", service_of())
     row = F.struct("severity", "service_name", "message")
-    return clean.select(
-        "insert_id", "ts", "service_name", escaped_bytes(compact_json(row)).alias("bytes")
+    written = compute_once(clean, _json=compact_json(row))
+    return written.select(
+        "insert_id", "ts", "service_name", escaped_bytes(F.col("_json")).alias("bytes")
     )
 
 
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select(
-        "doc_id", "source", escaped_bytes(compact_json(F.struct("doc_id", "text"))).alias("bytes")
-    )
+    written = compute_once(docs, _json=compact_json(F.struct("doc_id", "text")))
+    return written.select("doc_id", "source", escaped_bytes(F.col("_json")).alias("bytes"))
 
 

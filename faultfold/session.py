@@ -18,6 +18,8 @@ def local_session(app: str = "faultfold", cpus: str | int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Longer generated methods are not compiled by the JVM and run many times slower.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FAULTFOLD_DRIVER_MEMORY", "8g"))
         .getOrCreate()

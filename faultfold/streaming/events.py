@@ -44,6 +44,7 @@ FAULT_SCHEMA = (
 FOLLOWS, REPORTED, NOTHING, REJECTED, ERROR = "follows", "reported", "nothing", "rejected", "error"
 
 TABLES = {
+    "arrivals": f"{ENTRY_SCHEMA}, raw string, reason string",
     "accepted": ENTRY_SCHEMA,
     "analysis": f"{FAULT_SCHEMA}, {INCIDENT_FIELDS}, report_id string, outcome string, problem string",
     "reports": REPORT_SCHEMA,
@@ -99,8 +100,8 @@ def triage_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded = decode(batch)
-        accepted = _accept(spark, root, decoded, batch_id, self_service)
+        arrivals = _arrive(spark, root, batch, batch_id, self_service)
+        accepted = _accept(spark, root, arrivals.where(F.col("reason").isNull()), batch_id)
         analysed = _analyse(spark, root, accepted, batch_id, analyzer, max_bytes)
 
         _write(reports.make_reports(analysed.where(F.col("outcome") == REPORTED)).select(
@@ -109,27 +110,37 @@ def triage_batch(
             "report_id", F.col("incident_count").alias("more"), "last_seen", "last_insert_id"
         )
         _write(follow, root, "followers", batch_id)
-        _settle_entries(spark, root, accepted, analysed, decoded, batch_id, max_attempts)
+        _settle_entries(spark, root, accepted, analysed, arrivals, batch_id, max_attempts)
         _write(accepted.agg(F.count(F.lit(1)).alias("entries")).coalesce(1), root, "commits", batch_id)
 
     return run
 
 
-def _accept(
-    spark: SparkSession, root: str, decoded: DataFrame, batch_id: int, self_service: str
+def _arrive(
+    spark: SparkSession, root: str, batch: DataFrame, batch_id: int, self_service: str
 ) -> DataFrame:
+    """Decode, filter and sign the batch in one pass over its source, and keep the result.
+
+    Unreadable deliveries stay beside the entries; only they keep their raw text.
+    """
+    wanted = F.col("reason").isNotNull() | exportable(self_service)
+    signed = rollup.with_signature(decode(batch).where(wanted), keep=("raw", "reason"))
+    kept = F.when(F.col("reason").isNotNull(), F.col("raw"))
+    rows = signed.withColumns({"attempts": F.lit(0), "raw": kept})
+    _write(rows, root, "arrivals", batch_id)
+    return _one_batch(spark, root, "arrivals", batch_id)
+
+
+def _accept(spark: SparkSession, root: str, arrived: DataFrame, batch_id: int) -> DataFrame:
     """New entries of the batch plus the retries of the one before, each insert id once.
 
-    The result is written first and read back: everything later in the batch starts from the same
-    rows, and one slow source is read once.
+    Written and read back, so that everything later in the batch starts from the same rows.
     """
-    arrived = rollup.with_signature(good(decoded).where(exportable(self_service))).withColumn(
-        "attempts", F.lit(0)
-    )
     waiting = _one_batch(spark, root, "retries", batch_id - 1)
     columns = [c for c in waiting.columns if c not in ("insert_id", "attempts")]
     once = (
-        arrived.unionByName(waiting)
+        arrived.drop("raw", "reason")
+        .unionByName(waiting)
         .groupBy("insert_id")
         .agg(F.max(F.struct("attempts", *columns)).alias("e"))
         .select("insert_id", *[f"e.{c}" for c in columns], "e.attempts")
@@ -189,7 +200,7 @@ def _settle_entries(
     root: str,
     accepted: DataFrame,
     analysed: DataFrame,
-    decoded: DataFrame,
+    arrivals: DataFrame,
     batch_id: int,
     max_attempts: int,
 ) -> None:
@@ -214,7 +225,7 @@ def _settle_entries(
         "attempts",
         F.current_timestamp().alias("failed_at"),
     )
-    unreadable = decoded.where(F.col("reason").isNotNull()).select(
+    unreadable = arrivals.where(F.col("reason").isNotNull()).select(
         "raw", "reason", F.lit(1).alias("attempts"), F.current_timestamp().alias("failed_at")
     )
     _write(given_up.unionByName(unreadable), root, "dead_letters", batch_id)
