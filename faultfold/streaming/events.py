@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultfold.functions.fingerprint import report_id
 from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.operators import claims, reports, rollup
 from faultfold.operators.analysis import rule_analyzer
@@ -106,10 +107,7 @@ def triage_batch(
 
         _write(reports.make_reports(analysed.where(F.col("outcome") == REPORTED)).select(
             *reports.REPORT_COLUMNS), root, "reports", batch_id)
-        follow = analysed.where(F.col("outcome") == FOLLOWS).select(
-            "report_id", F.col("incident_count").alias("more"), "last_seen", "last_insert_id"
-        )
-        _write(follow, root, "followers", batch_id)
+        _write(_sightings(analysed), root, "followers", batch_id)
         _settle_entries(spark, root, accepted, analysed, arrivals, batch_id, max_attempts)
         _write(accepted.agg(F.count(F.lit(1)).alias("entries")).coalesce(1), root, "commits", batch_id)
 
@@ -195,6 +193,19 @@ def _analyse(
     return _one_batch(spark, root, "analysis", batch_id)
 
 
+def _sightings(analysed: DataFrame) -> DataFrame:
+    """What the batch adds to reports. A new report adds nothing but its last sighting, so that
+    entries which arrive later but happened earlier do not take its place."""
+    new = F.col("outcome") == REPORTED
+    own = report_id(F.col("signature"), F.col("first_insert_id"))
+    return analysed.where(F.col("outcome").isin(FOLLOWS, REPORTED)).select(
+        F.when(new, own).otherwise(F.col("report_id")).alias("report_id"),
+        F.when(new, 0).otherwise(F.col("incident_count")).cast("bigint").alias("more"),
+        "last_seen",
+        "last_insert_id",
+    )
+
+
 def _settle_entries(
     spark: SparkSession,
     root: str,
@@ -244,14 +255,17 @@ def start_triage(
     )
 
 
-def current_reports(spark: SparkSession, root: str) -> DataFrame:
-    """Reports with all followers of committed batches counted in."""
-    followers = committed(spark, root, "followers").groupBy("report_id").agg(
+def _all_sightings(spark: SparkSession, root: str) -> DataFrame:
+    return committed(spark, root, "followers").groupBy("report_id").agg(
         F.sum("more").alias("more"),
         F.max("last_seen").alias("last_seen"),
         F.max(F.struct("last_seen", "last_insert_id"))["last_insert_id"].alias("last_insert_id"),
     )
-    return reports.apply_deltas(committed(spark, root, "reports"), followers)
+
+
+def current_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Reports with all followers of committed batches counted in."""
+    return reports.apply_deltas(committed(spark, root, "reports"), _all_sightings(spark, root))
 
 
 def current_signatures(spark: SparkSession, root: str) -> DataFrame:
@@ -271,10 +285,12 @@ def compact_state(spark: SparkSession, root: str, target: str) -> None:
     """
     last = read_state(spark, root, "commits").agg(F.max("batch")).first()[0]
     batch_id = -1 if last is None else last
-    folded = {"reports": current_reports(spark, root)}
+    counted = _all_sightings(spark, root).withColumn("more", F.lit(0).cast("bigint"))
+    folded = {"reports": current_reports(spark, root), "followers": counted}
     for table in ("ledger", "dead_letters"):
         folded[table] = committed(spark, root, table)
     folded["retries"] = _one_batch(spark, root, "retries", batch_id)
+    folded["commits"] = spark.createDataFrame([(0,)], TABLES["commits"])
     for table, schema in TABLES.items():
         rows = folded.get(table, spark.createDataFrame([], schema))
         _write(rows, target, table, batch_id)
