@@ -51,12 +51,17 @@ def first_message(json_payload: Column, text_payload: Column) -> Column:
 def fold_space(text: Column) -> Column:
     """Every run of white space becomes one blank; the ends are trimmed.
 
-    Texts without a character from the range of the wide spaces take a class that holds Latin-1
+    An ASCII text with single blanks only, as most messages are, needs no regular expression. Texts
+    without a character from the range of the wide spaces take a class that holds Latin-1
     characters only, which the regex engine tests with a table.
     """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    runs = [F.contains(text, F.lit(c)) for c in ("\n", "  ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")]
+    plain = ascii_only & ~functools.reduce(operator.or_, runs)
     wide = text.rlike(WIDE_SPACE_RANGE)
     narrow = F.regexp_replace(text, f"[{LATIN_SPACE_CLASS}]+", " ")
-    return F.trim(F.when(wide, F.regexp_replace(text, f"[{SPACE_CLASS}]+", " ")).otherwise(narrow))
+    folded = F.when(wide, F.regexp_replace(text, f"[{SPACE_CLASS}]+", " ")).otherwise(narrow)
+    return F.trim(F.when(plain, text).otherwise(folded))
 
 
 def strip_space(text: Column) -> Column:

@@ -9,6 +9,10 @@ is found with a running maximum.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -269,6 +273,35 @@ def valid_matches(
     return matches.join(i, "incident_id").join(r, "report_id").where(candidate).select(*matches.columns)
 
 
+def judged_scores(
+    scores: DataFrame,
+    incidents: DataFrame,
+    reports: DataFrame,
+    judge: Callable[[dict, dict], float],
+) -> DataFrame:
+    """Scores again by ``judge(incident, candidate)``, a model perhaps, in the Python workers.
+
+    Only pairs that :func:`repeat_scores` found come here, one per incident and matching content,
+    with the compared fields. Follow with :func:`best_match` and :func:`valid_matches`.
+    """
+    fields = ["operational_summary", "root_cause", "service_name", "business_impact"]
+    new = incidents.select("incident_id", F.to_json(F.struct(*fields)).alias("_new"))
+    slim = slim_candidates(reports)
+    old = slim.select(F.col("id").alias("report_id"), F.to_json(F.struct(*slim.columns)).alias("_old"))
+    kept = ["incident_id", "report_content", "report_id", "report_created_at"]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = zip(batch["_new"], batch["_old"], strict=True)
+            found = [float(judge(json.loads(a), json.loads(b))) for a, b in pairs]
+            yield batch[kept].assign(score=pd.Series(found, index=batch.index, dtype="float64"))
+
+    pairs = scores.select(*kept).join(new, "incident_id").join(old, "report_id")
+    types = dict(scores.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", score double"
+    return pairs.select(*kept, "_new", "_old").mapInPandas(ask, schema)
+
+
 def repeat_decisions(incidents: DataFrame, best: DataFrame) -> DataFrame:
     """increment an existing report, or insert a new one.
 

@@ -187,7 +187,7 @@ writes AS (
     ts AS processed_timestamp FROM signed WHERE ts < {CUTOFF}
   UNION ALL
   SELECT insert_id, 'COMPLETED', ts + INTERVAL 1 MINUTE FROM signed
-  WHERE ts < {CUTOFF} AND CAST(insert_id AS BIGINT) % 2 = 0)"""
+  WHERE ts < {CUTOFF} AND hour(ts) < 12)"""
 
 INCIDENTS = f"""{REPORTS},
 hourly AS (SELECT *, date_trunc('hour', ts) AS hour FROM signed),
@@ -391,15 +391,18 @@ SELECT incident_id, severity, service_name, operational_summary, business_impact
 SELECT 'm-' || insert_id AS message_id, strftime(ts, {ISO}) AS publish_time,
   strftime(ts, {ISO}) AS stamp, md5({_ENTRY}) AS data_md5 FROM logs"""
     q["dead_letter_split"] = f"""
-SELECT CAST(event_id AS VARCHAR) AS delivery,
-  ['bad_base64', 'bad_utf8', 'bad_json', 'not_an_object', 'missing_insert_id'][event_id % 7] AS reason,
-  CAST(1 + (event_id // 7) % 6 AS INTEGER) AS attempts,
-  CASE WHEN (event_id // 7) % 6 < 4 THEN 'retry' WHEN ts >= {AS_OF} - INTERVAL 7 DAY THEN 'dead_letter'
+WITH sent AS (SELECT *, CASE event_id % 7 WHEN 1 THEN 'bad_base64' WHEN 2 THEN 'bad_utf8'
+    WHEN 3 THEN 'bad_json' WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'missing_insert_id' END AS reason,
+  CAST(1 + (event_id // 7) % 6 AS INTEGER) AS attempts FROM events)
+SELECT CAST(event_id AS VARCHAR) AS delivery, reason, attempts,
+  CASE WHEN attempts < 5 THEN 'retry' WHEN ts >= {AS_OF} - INTERVAL 7 DAY THEN 'dead_letter'
     ELSE 'expired' END AS route
-FROM events WHERE event_id % 7 BETWEEN 1 AND 5"""
+FROM sent WHERE reason IS NOT NULL"""
     q["skip_non_objects"] = """
-SELECT event_id, props AS entry FROM events
-WHERE event_id % 5 = 4 OR (event_id % 5 = 3 AND value >= 20)"""
+WITH sent AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[' || props || ']'
+    WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN CAST(event_id AS VARCHAR)
+    WHEN 3 THEN CASE WHEN value < 20 THEN 'null' ELSE props END ELSE props END AS entry FROM events)
+SELECT event_id, entry FROM sent WHERE json_type(entry) = 'OBJECT'"""
 
     q["ledger_status"] = f"""WITH {LEDGER}
 SELECT insert_id, status, processed_timestamp FROM writes
