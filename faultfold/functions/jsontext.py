@@ -24,6 +24,11 @@ def parse_whole(df: DataFrame, text: str, out: str) -> DataFrame:
     return compute_once(parsed, **{out: value}).drop("_listed", "_closed")
 
 
+def opens_object(text: Column) -> Column:
+    """Whether a text known to be JSON is an object; its first character tells."""
+    return text.rlike(r"^[ \t\n\r]*\{")
+
+
 def compact_json(row: Column) -> Column:
     """Minified JSON with nulls kept."""
     return F.to_json(row, {"ignoreNullFields": "false"})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.display import ISO_MICROS, iso_utc
-from faultfold.functions.jsontext import parse_whole
+from faultfold.functions.jsontext import opens_object, parse_whole
 from faultfold.functions.once import compute_once
 from faultfold.schemas import LABELS
 
@@ -59,7 +59,7 @@ def decode(envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     step = compute_once(step, _bytes=F.try_to_binary("raw", F.lit("base64")))
     step = compute_once(step, _text=F.try_validate_utf8(F.col("_bytes").cast("string")))
     step = parse_whole(step, "_text", "_entry")
-    is_object = F.schema_of_variant("_entry").startswith("OBJECT")
+    is_object = opens_object(F.col("_text"))
     insert_id = _get("$.insertId")
     reason = (
         F.when(F.col("_bytes").isNull(), BAD_BASE64)
@@ -106,4 +106,5 @@ def good(decoded: DataFrame) -> DataFrame:
 def objects_only(texts: DataFrame, column: str) -> DataFrame:
     """Keep rows whose JSON text is an object; other values are skipped, not errors."""
     parsed = parse_whole(texts, column, "_value")
-    return parsed.where(F.schema_of_variant("_value").startswith("OBJECT")).drop("_value")
+    is_object = F.col("_value").isNotNull() & opens_object(F.col(column))
+    return parsed.where(is_object).drop("_value")
