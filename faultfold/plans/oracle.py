@@ -353,7 +353,7 @@ def statements() -> dict[str, str]:
     q["stream_ingest"] = q["export_filter"]
     q["service_of"] = f"WITH {LOGS} SELECT insert_id, service_name FROM logs"
     q["message_extract"] = f"WITH {LOGS} SELECT insert_id, message FROM logs"
-    q["severity_rank_of"] = f"""WITH {LOGS}
+    q["severity_rank"] = f"""WITH {LOGS}
 SELECT event_id, CASE WHEN value < 5 THEN 0 ELSE coalesce(list_position(
   ['DEBUG', 'INFO', 'NOTICE', 'WARNING', 'ERROR', 'CRITICAL', 'ALERT', 'EMERGENCY'], severity), 0)
   END AS severity_rank FROM logs"""

@@ -58,6 +58,17 @@ def decode(envelopes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     step = envelopes.select(*keep, F.col("message.data").alias("raw"))
     step = compute_once(step, _bytes=F.try_to_binary("raw", F.lit("base64")))
     step = compute_once(step, _text=F.try_validate_utf8(F.col("_bytes").cast("string")))
+    return _entries(step, keep)
+
+
+def decode_json(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for entries that come as bare JSON text, as from ``spark.read.text``."""
+    raw = F.col(column)
+    step = texts.select(*keep, raw.alias("raw"), raw.cast("binary").alias("_bytes"))
+    return _entries(compute_once(step, _text=F.try_validate_utf8("raw")), keep)
+
+
+def _entries(step: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     step = parse_whole(step, "_text", "_entry")
     is_object = opens_object(F.col("_text"))
     insert_id = _get("$.insertId")
