@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultfold.llm import mixing, quality, sharding, toxicity
+from faultfold.llm import ann, bpe, mixing, quality, sharding, simhash, toxicity
 from faultfold.sources.tables import read_table
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.byte_bpe(read_table(spark, sf_dir, "documents"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_rules(read_table(spark, sf_dir, "documents"), with_text=False).drop("lost_share")
 
@@ -22,10 +30,24 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hash_tree_shards(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    f.__name__: f for f in (op5_line_quality, op6_toxicity, op8_systematic_mix, op10_hash_tree)
+    f.__name__: f
+    for f in (
+        op2_hnsw,
+        op4_byte_bpe,
+        op5_line_quality,
+        op6_toxicity,
+        op8_systematic_mix,
+        op9_simhash_pivots,
+        op10_hash_tree,
+    )
 }
