@@ -1,7 +1,7 @@
 """Operator 4: byte-level BPE encoding and decoding over a global table of distinct words.
 
 1. Texts are cut into pre-tokens. A batch of texts keeps its own list of distinct pre-tokens and, per
-   text, the positions as indexes into that list. Both are written once to the shared folder.
+   position, its number in that list. Both are written once to the shared folder.
 2. The distinct pre-tokens of all batches are shuffled by their hash, and each is encoded once.
 3. The ids travel back to their batch and are put in place by position.
 4. Decoding looks every id up in the token-byte table, whose size is that of the vocabulary.
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from faultfold.session import work_dir
 
 #: About so many characters of text make a batch; it is what one task holds when ids are put in place.
-BATCH_CHARS = 8 << 20
-#: About so many distinct pre-tokens (of all batches) are encoded in one group.
-GROUP_WORDS = 400_000
+BATCH_CHARS = 32 << 20
+#: Distinct pre-tokens are dealt to one group for every so many characters of text.
+GROUP_CHARS = 16 << 20
 
 
 def default_pattern() -> str:
@@ -120,88 +121,117 @@ class PreTokens(dict):
         return np.array(out, np.uint32)
 
 
-def _pack(words: list[str]) -> bytes:
-    raw = [w.encode() for w in words]
-    lengths = np.fromiter(map(len, raw), np.uint32, len(raw)).tobytes()
-    return zlib.compress(np.uint32(len(raw)).tobytes() + lengths + b"".join(raw), 1)
+def _squeeze(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of significance, compressed."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(9).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(blob: bytes) -> list[bytes]:
-    raw = zlib.decompress(blob)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)).tolist()
-    starts = [4 + 4 * n, *ends[:-1]]
-    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+def _loosen(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
+    lengths = np.fromiter(map(len, words), np.uint32, len(words))
+    return _squeeze(lengths), zstandard.ZstdCompressor(9).compress(b"".join(words))
+
+
+def _unpack(lengths: bytes, flat: bytes) -> list[bytes]:
+    flat = zstandard.ZstdDecompressor().decompress(flat)
+    ends = np.cumsum(_loosen(lengths), dtype=np.int64).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _CUT = pa.schema(
-    [("batch", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("data", pa.binary())]
+    [
+        ("batch", pa.int64()),
+        ("part", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("lengths", pa.binary()),
+        ("data", pa.binary()),
+        ("numbers", pa.binary()),
+    ]
 )
 
 
 def pre_tokens(docs: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """Rows of texts (place set: data holds the indexes) and of words (part set: a share of the list).
+    """One row per batch and one per share (``part``) of its distinct pre-tokens.
+
+    The row of a batch (part null) has its doc_ids, the pre-tokens of each text (lengths), all their
+    numbers by position (data; frequent pre-tokens have small numbers) and the number of each
+    pre-token in the order of the shares (numbers). A share has the pre-tokens themselves.
 
     A batch is named by its task and count, so the result has to be written before it is used twice.
     """
 
-    def flush(batch: int, table: PreTokens, rows: list[tuple]) -> pa.RecordBatch:
-        words = list(table.numbers)
-        share = np.fromiter((zlib.crc32(w.encode()) % groups for w in words), np.int64, len(words))
-        order = np.argsort(share, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        out = [
-            (batch, place, doc_id, None, zlib.compress(rank[seq].tobytes(), 1))
-            for place, (doc_id, seq) in enumerate(rows)
-        ]
-        edges = np.searchsorted(share[order], np.arange(groups + 1)).tolist()
-        for part, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if b > a:
-                out.append((batch, None, None, part, _pack([words[i] for i in order[a:b]])))
-        columns = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUT, strict=True)], schema=_CUT)
+    def flush(batch: int, table: PreTokens, doc_ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
+        words = [w.encode() for w in table.numbers]
+        flat = np.concatenate([*rows, np.empty(0, np.uint32)])
+        often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), np.uint32)
+        number[often] = np.arange(len(words), dtype=np.uint32)
+        shares: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            shares.setdefault(zlib.crc32(w) % groups, []).append(i)
+        order, out = [], []
+        for part in sorted(shares):
+            own = sorted(shares[part], key=words.__getitem__)
+            order += own
+            out.append((batch, part, None, *_pack([words[i] for i in own]), None))
+        lengths = _squeeze(np.fromiter(map(len, rows), np.uint32, len(rows)))
+        placed = number[np.array(order, np.int64)]
+        out.append((batch, None, doc_ids, lengths, _squeeze(number[flat]), _squeeze(placed)))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CUT, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=_CUT)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
-        table, rows, chars = PreTokens(pattern), [], 0
+        table, doc_ids, rows, chars = PreTokens(pattern), [], [], 0
         for part in parts:
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
                 text = text.as_py() or ""
-                rows.append((doc_id, table.cut(text)))
+                doc_ids.append(doc_id)
+                rows.append(table.cut(text))
                 chars += len(text)
                 if chars >= BATCH_CHARS:
-                    yield flush(batch, table, rows)
-                    batch, table, rows, chars = batch + 1, PreTokens(pattern), [], 0
+                    yield flush(batch, table, doc_ids, rows)
+                    batch, table, doc_ids, rows, chars = batch + 1, PreTokens(pattern), [], [], 0
         if rows:
-            yield flush(batch, table, rows)
+            yield flush(batch, table, doc_ids, rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "batch long, place long, doc_id long, part long, data binary"
+        run, "batch long, part long, doc_ids array<long>, lengths binary, data binary, numbers binary"
     )
 
 
 def encode_words(cut: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(batch, part, ids): the ids of each share of a batch's words; a word is encoded once."""
+    """(batch, part, lengths, ids): the ids of each share of a batch; a pre-token is encoded once."""
 
     def run(table: pa.Table) -> pa.Table:
         piece = encoder(path, pattern)._core_bpe.encode_single_piece
-        ids: dict[bytes, list[int]] = {}
-        made = []
-        for blob in table.column("data"):
+        known: dict[bytes, list[int]] = {}
+        lengths, ids = [], []
+        for a, b in zip(table.column("lengths"), table.column("data"), strict=True):
             own = []
-            for word in _unpack(blob.as_py()):
-                known = ids.get(word)
-                if known is None:
-                    known = ids[word] = piece(word)
-                own.append(known)
-            lengths = np.fromiter(map(len, own), np.uint32, len(own))
-            flat = np.fromiter((i for x in own for i in x), np.uint32, int(lengths.sum()))
-            made.append(zlib.compress(np.uint32(len(own)).tobytes() + lengths.tobytes() + flat.tobytes(), 1))
-        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "ids": pa.array(made, pa.binary())})
-
-    words = cut.where("part is not null").select("batch", "part", "data")
-    return words.groupBy("part").applyInArrow(run, "batch long, part long, ids binary")
+            for word in _unpack(a.as_py(), b.as_py()):
+                made = known.get(word)
+                if made is None:
+                    made = known[word] = piece(word)
+                own.append(made)
+            lengths.append(_squeeze(np.fromiter(map(len, own), np.uint32, len(own))))
+            ids.append(_squeeze(np.fromiter((i for x in own for i in x), np.uint32, sum(map(len, own)))))
+        return pa.table(
+            {
+                "batch": table.column("batch"),
+                "part": table.column("part"),
+                "lengths": pa.array(lengths, pa.binary()),
+                "ids": pa.array(ids, pa.binary()),
+            }
+        )
+
+    words = cut.where("part is not null").select("batch", "part", "lengths", "data")
+    return words.groupBy("part").applyInArrow(run, "batch long, part long, lengths binary, ids binary")
 
 
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -226,26 +256,25 @@ def byte_bpe(
     spark = docs.sparkSession
     path, pattern = path or default_ranks(), pattern or default_pattern()
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    groups = max(4, int(chars) // (16 << 20))
+    groups = max(4, int(chars) // GROUP_CHARS)
     folder = work_dir(spark, "pre-tokens")
     pre_tokens(docs, pattern, groups).write.option("compression", "none").parquet(folder)
     cut = spark.read.parquet(folder)
-    texts = cut.where("place is not null").select("batch", "place", "doc_id", "data")
+    texts = cut.where("part is null").select("batch", "doc_ids", "lengths", "data", "numbers")
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right.column("part")))
-        lengths, flat = [], []
-        for blob in right.column("ids"):
-            raw = zlib.decompress(blob.as_py())
-            n = int(np.frombuffer(raw, np.uint32, 1)[0])
-            lengths.append(np.frombuffer(raw, np.uint32, n, 4))
-            flat.append(np.frombuffer(raw, np.uint32, -1, 4 + 4 * n))
-        lengths = np.concatenate([*lengths, np.empty(0, np.uint32)]).astype(np.int64)
-        flat = np.concatenate([*flat, np.empty(0, np.uint32)])
-        starts = np.cumsum(lengths) - lengths
+        none = np.empty(0, np.uint32)
+        by_share = np.concatenate([*(_loosen(b.as_py()) for b in right.column("lengths")), none])
+        flat = np.concatenate([*(_loosen(b.as_py()) for b in right.column("ids")), none])
+        begins = np.cumsum(by_share, dtype=np.int64) - by_share
+        number = _loosen(left.column("numbers")[0].as_py())
+        starts, lengths = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+        starts[number], lengths[number] = begins, by_share
+        ends = np.cumsum(_loosen(left.column("lengths")[0].as_py()), dtype=np.int64)
+        positions = np.split(_loosen(left.column("data")[0].as_py()), ends[:-1])
         counts, ids_sha, text_sha, all_ids = [], [], [], []
-        for data in left.column("data"):
-            at = np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
+        for at in positions:
             ids = gather(flat, starts[at], lengths[at])
             counts.append(len(ids))
             ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
@@ -253,7 +282,7 @@ def byte_bpe(
             if with_ids:
                 all_ids.append(ids.astype(np.int32))
         out = {
-            "doc_id": left.column("doc_id"),
+            "doc_id": left.column("doc_ids").combine_chunks().flatten(),
             "n_tokens": pa.array(counts, pa.int64()),
             "ids_sha256": pa.array(ids_sha, pa.string()),
             "decoded_sha256": pa.array(text_sha, pa.string()),
