@@ -17,7 +17,7 @@ from faultfold.session import settle
 #: No source, and so no document, is repeated more often than this.
 MOST_COPIES = 2
 #: Documents of one source and size that are numbered in one piece.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 
 
 def source_targets(

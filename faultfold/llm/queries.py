@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultfold.llm import ann, bpe, mixing, quality, sharding, simhash, toxicity
+from faultfold.llm import ann, bpe, mixing, quality, sharding, simhash, substring, toxicity
 from faultfold.sources.tables import read_table
 
 
@@ -12,6 +12,10 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(read_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_hnsw,
+        op3_phrase_automata,
         op4_byte_bpe,
         op5_line_quality,
         op6_toxicity,
