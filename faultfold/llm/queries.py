@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultfold.llm import ann, bpe, mixing, quality, sharding, simhash, substring, toxicity
+from faultfold.llm import ann, bpe, mixing, quality, sharding, simhash, substring, toxicity, warc
 from faultfold.sources.tables import read_table
 
 
+def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    read = warc.warc_round_trip(pages, compression="gzip", per_file=100_000)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +52,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc_chain,
         op2_hnsw,
         op3_phrase_automata,
         op4_byte_bpe,
