@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultfold.llm import ann, bpe, mixing, quality, sharding, simhash, substring, toxicity, warc
+from faultfold.llm import ann, bpe, licenses, mixing, quality, sharding, simhash, substring, toxicity, warc
 from faultfold.sources.tables import read_table
 
 
@@ -34,6 +34,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.files_of(read_table(spark, sf_dir, "documents"))
+    return licenses.license_scan(files, "doc_id")
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -58,6 +63,7 @@ QUERIES = {
         op4_byte_bpe,
         op5_line_quality,
         op6_toxicity,
+        op7_license_tfidf,
         op8_systematic_mix,
         op9_simhash_pivots,
         op10_hash_tree,
