@@ -24,8 +24,10 @@ SHARD_ROWS = 4096
 LINKS = 16
 LINKS_0 = 32
 #: Candidates from which a node's neighbours are chosen, and the beam of a search.
-CANDIDATES = 96
-BEAM = 160
+CANDIDATES = 64
+BEAM = 96
+#: Open candidates that a query expands in one step.
+EXPAND = 4
 #: Queries that travel and are searched together.
 QUERY_BLOCK = 1024
 
@@ -111,8 +113,8 @@ def build_graph(points: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.ndar
 def search(points: np.ndarray, layers: list, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(node numbers, distances) of the ``beam`` nearest found per query, nearest first; -1 pads.
 
-    All queries of a block step together: each expands its nearest open candidate until none is
-    left that could improve its beam.
+    All queries of a block step together: each expands its nearest open candidates until its beam
+    has none left.
     """
     q = len(queries)
     entry = np.zeros(q, np.int64)
@@ -142,20 +144,29 @@ def search(points: np.ndarray, layers: list, queries: np.ndarray, beam: int) ->
     seen = np.zeros((q, n), bool)
     seen[np.arange(q), entry] = True
     live = np.arange(q)
+    stamp = np.zeros((q, n), np.int32)
+    wide = min(EXPAND, beam)
     while len(live):
         todo = np.where(open_[live], dist[live], np.inf)
-        j = todo.argmin(axis=1)
-        some = np.isfinite(todo[np.arange(len(live)), j])
-        live, j = live[some], j[some]
+        j = np.argpartition(todo, wide - 1, axis=1)[:, :wide]
+        some = np.isfinite(np.take_along_axis(todo, j, 1))
+        busy = some.any(axis=1)
+        live, j, some = live[busy], j[busy], some[busy]
         if not len(live):
             break
-        open_[live, j] = False
-        near = table[ids[live, j]].astype(np.int64)
-        fresh = (near >= 0) & ~seen[live[:, None], near]
-        r, c = np.nonzero(fresh)
+        open_[live[:, None], j] = False
+        near = table[np.where(some, ids[live[:, None], j], 0)].astype(np.int64)
+        near = np.where(some[:, :, None], near, -1).reshape(len(live), -1)
+        r, c = np.nonzero((near >= 0) & ~seen[live[:, None], near])
+        # Of a node that several of the expanded ones link to, one entry counts.
+        order = np.arange(len(r), dtype=np.int32)
+        stamp[live[r], near[r, c]] = order
+        one = stamp[live[r], near[r, c]] == order
+        r, c = r[one], c[one]
         seen[live[r], near[r, c]] = True
         d = np.full(near.shape, np.inf, np.float32)
-        d[r, c] = ((points[near[r, c]] - queries[live[r]]) ** 2).sum(axis=1)
+        gap = points[near[r, c]] - queries[live[r]]
+        d[r, c] = np.einsum("nd,nd->n", gap, gap)
         all_ids = np.concatenate((ids[live], near), axis=1)
         all_d = np.concatenate((dist[live], d), axis=1)
         all_open = np.concatenate((open_[live], np.isfinite(d)), axis=1)
