@@ -62,18 +62,18 @@ def fingerprint(text: str | None) -> int:
     return int(((2 * total > len(hashes)).astype(U64) << _SHIFTS).sum(dtype=U64))
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of every row and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *keep: str, name: str = "fp") -> DataFrame:
+    """``keep`` columns of every row and ``name``, the fingerprint as a signed long."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             values = np.fromiter(map(fingerprint, part.column("text").to_pylist()), U64, part.num_rows)
             kept = [part.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(values.view(np.int64))], [*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(values.view(np.int64))], [*keep, name])
 
-    source = docs.select(*keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
-    return source.mapInArrow(run, fields + ", fp long")
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
+    fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep]
+    return source.mapInArrow(run, ", ".join([*fields, f"`{name}` long"]))
 
 
 def block_masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
@@ -267,9 +267,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = simhash_components(docs, radius=radius)
     gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
     stay = docs.join(gone, "doc_id", "left_anti")
-    lone = found.where("doc_id is null and component_id is null").select("fp").distinct()
+    lone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
     named = stay.where("doc_id is not null").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    nameless = fingerprints(nameless, *names).join(lone, "fp", "left_semi") if "text" in names else nameless
-    nameless = nameless.dropDuplicates(["fp"]).select(*names)
+    nameless = fingerprints(docs.where("doc_id is null"), *names, name="__fp")
+    nameless = nameless.join(lone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names)
     return named.select(*names).union(nameless)
