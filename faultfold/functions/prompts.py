@@ -82,7 +82,7 @@ def prompt_verdict(prompt: Column) -> tuple[Column, Column]:
     stripped = strip_space(prompt)
     checks = [
         ("too_long", F.char_length(prompt) > MAX_PROMPT_CHARS, TOO_LONG),
-        ("empty", stripped == "", EMPTY),
+        ("empty", (stripped == "") | prompt.isNull(), EMPTY),
     ]
     for name, pattern, across_lines, reason in DENY_RULES:
         flags = "(?isU)" if across_lines else "(?iU)"

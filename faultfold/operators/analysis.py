@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from faultfold.functions.display import iso_utc
 from faultfold.functions.prompts import prompt_verdict
@@ -85,7 +86,8 @@ def model_analyzer(
     """An analyzer around ``call(entries, instruction) -> JSON of an incident list``.
 
     ``call`` runs in the Python workers, once per fault row. A raised error becomes the row's
-    ``analysis_error``; an answer without incidents leaves the incident columns null. Each entry
+    ``analysis_error``; an answer without incidents leaves the incident columns null, one with
+    several makes a row of each. Each entry
     carries its signature, which serves as idempotency key when Spark repeats a task.
     """
 
@@ -96,7 +98,7 @@ def model_analyzer(
                 for entry in batch["_entry"]:
                     try:
                         found = json.loads(call([json.loads(entry)], instruction))["incidents"]
-                        answers.append(json.dumps(found[0]) if found else None)
+                        answers.append(json.dumps(found) if found else None)
                         errors.append(None)
                     except Exception as problem:  # a failed call is data, not a failed task
                         answers.append(None)
@@ -115,7 +117,9 @@ def model_analyzer(
             ask, "signature string, _answer string, analysis_error string"
         )
         parsed = asked.select(
-            "signature", "analysis_error", F.from_json("_answer", INCIDENT_FIELDS).alias("a")
+            "signature",
+            "analysis_error",
+            F.explode_outer(F.from_json("_answer", ArrayType(INCIDENT_FIELDS))).alias("a"),
         )
         kept = [c for c in faults.columns if c not in INCIDENT_COLUMNS]
         return faults.select(*kept).join(parsed, "signature").select(

@@ -70,7 +70,7 @@ def test_whole_documents_like_python(spark, sf_dir):
 
 FRAGMENTS = st.sampled_from(
     ["token", "api-key", "=", ":", '"', " ", "\t", " ", " ", "a" * 16, "B9_-.~" * 3, "@", "x.com",
-     "4111", " 1111", "-", "eyJhbGciOi", ".", "é", "日", "\x85", "\x1c", "secret", "_", "1" * 15]
+     "4111", " 1111", "-", "eyJhbGciOi", ".", "é", "日", "\x85", "\x1c", "secret", "_", "1" * 15, "apı", "ſecret", "K", "İ"]
 )
 
 
