@@ -54,6 +54,7 @@ TABLES = {
     "retries": ENTRY_SCHEMA,
     "dead_letters": DEAD_LETTER_SCHEMA,
     "commits": "entries bigint",
+    "streams": "stream string, base bigint",
 }
 
 
@@ -101,6 +102,9 @@ def triage_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch_id = _own_number(spark, root, batch_id)
+        if not read_state(spark, root, "commits").where(F.col("batch") == batch_id).isEmpty():
+            return  # Spark repeats a batch whose end it has not noted; it is complete here.
         arrivals = _arrive(spark, root, batch, batch_id, self_service)
         accepted = _accept(spark, root, arrivals.where(F.col("reason").isNull()), batch_id)
         analysed = _analyse(spark, root, accepted, batch_id, analyzer, max_bytes)
@@ -114,6 +118,23 @@ def triage_batch(
     return run
 
 
+def _own_number(spark: SparkSession, root: str, batch_id: int) -> int:
+    """The number of a batch in the state: Spark's own, from the place where its stream began.
+
+    A stream is known by the id in its checkpoint. A new checkpoint counts from 0 again; its batches
+    go behind all that are committed, so no folder of an earlier stream is written over.
+    """
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    known = read_state(spark, root, "streams").where(F.col("stream") == stream)
+    base = known.agg(F.min("base")).first()[0]
+    if base is None:
+        last = read_state(spark, root, "commits").agg(F.max("batch")).first()[0]
+        base = 0 if last is None or stream == "direct" else max(0, last + 1 - batch_id)
+        rows = spark.createDataFrame([(stream, base)], TABLES["streams"]).coalesce(1)
+        rows.write.mode("append").parquet(f"{root}/streams/batch={base}")
+    return base + batch_id
+
+
 def _arrive(
     spark: SparkSession, root: str, batch: DataFrame, batch_id: int, self_service: str
 ) -> DataFrame:
@@ -290,6 +311,7 @@ def compact_state(spark: SparkSession, root: str, target: str) -> None:
     for table in ("ledger", "dead_letters"):
         folded[table] = committed(spark, root, table)
     folded["retries"] = _one_batch(spark, root, "retries", batch_id)
+    folded["streams"] = committed(spark, root, "streams")
     folded["commits"] = spark.createDataFrame([(0,)], TABLES["commits"])
     for table, schema in TABLES.items():
         rows = folded.get(table, spark.createDataFrame([], schema))

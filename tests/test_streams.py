@@ -60,6 +60,24 @@ def test_batches_redelivery_restart_and_compaction(spark, sf_dir, tmp_path, expe
     assert counted(spark, state) == expected
     events.compact_state(spark, state, f"{root}/compact")
     assert counted(spark, f"{root}/compact") == expected
+    # The last batch once more on the folded state, as after a crash before Spark noted its end.
+    events.triage_batch(f"{root}/compact", fixtures.SELF_SERVICE)(
+        spark.createDataFrame([], ENVELOPE_SCHEMA), last + 1
+    )
+    assert counted(spark, f"{root}/compact") == expected
+    assert events.committed(spark, f"{root}/compact", "ledger").count() == errors
+
+
+def test_new_checkpoint_on_old_state(spark, sf_dir, tmp_path, expected):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver(spark, sf_dir, folder, 2)
+    state = run(spark, folder, root)
+    before = events.read_state(spark, state, "commits").where("batch >= 0").count()
+    envelopes = spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    events.start_triage(envelopes, state, fixtures.SELF_SERVICE, f"{root}/second").awaitTermination()
+    assert counted(spark, state) == expected
+    assert events.committed(spark, state, "ledger").count() == sum(n for n, _ in expected.values())
+    assert events.read_state(spark, state, "commits").where("batch >= 0").count() > before
 
 
 def one_entry(insert_id, message="boom"):
