@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from faultfold.functions.display import iso_utc
 from faultfold.functions.prompts import prompt_verdict
@@ -119,7 +118,7 @@ def model_analyzer(
         parsed = asked.select(
             "signature",
             "analysis_error",
-            F.explode_outer(F.from_json("_answer", ArrayType(INCIDENT_FIELDS))).alias("a"),
+            F.explode_outer(F.from_json("_answer", f"array<struct<{INCIDENT_FIELDS}>>")).alias("a"),
         )
         kept = [c for c in faults.columns if c not in INCIDENT_COLUMNS]
         return faults.select(*kept).join(parsed, "signature").select(
