@@ -9,8 +9,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultfold.functions.display import iso_utc
 from faultfold.functions.prompts import prompt_verdict
@@ -79,51 +81,61 @@ def rule_analyzer(faults: DataFrame) -> DataFrame:
     return faults.select(*kept, *[v.alias(n) for n, v in added.items()])
 
 
+def incidents_of(
+    call: Callable[[list[dict], str | None], str], entries: list[dict], instruction: str | None
+) -> tuple[str | None, str | None]:
+    """The incident list of one call as JSON, or why there is none: a failed call is data."""
+    try:
+        found = json.loads(call(entries, instruction))["incidents"]
+        return (json.dumps(found) if found else None), None
+    except Exception as problem:
+        return None, f"{type(problem).__name__}: {problem}"
+
+
+def with_incidents(asked: DataFrame) -> DataFrame:
+    """``_answer`` as incident columns, a row for each incident and its number from 0."""
+    parsed = F.from_json("_answer", f"array<struct<{INCIDENT_FIELDS}>>")
+    kept = [c for c in asked.columns if c not in ("_answer", *INCIDENT_COLUMNS)]
+    return asked.select(*kept, F.posexplode_outer(parsed).alias("incident_no", "_incident")).select(
+        *kept, "incident_no", "_incident.*"
+    )
+
+
 def model_analyzer(
-    call: Callable[[list[dict], str | None], str], instruction: str | None = None
+    call: Callable[[list[dict], str | None], str],
+    instruction: str | None = None,
+    judge: Callable[[str], dict] | None = None,
 ) -> Callable[[DataFrame], DataFrame]:
     """An analyzer around ``call(entries, instruction) -> JSON of an incident list``.
 
     ``call`` runs in the Python workers, once per fault row. A raised error becomes the row's
     ``analysis_error``; an answer without incidents leaves the incident columns null, one with
-    several makes a row of each. Each entry
-    carries its signature, which serves as idempotency key when Spark repeats a task.
+    several makes a row of each. Each entry carries its signature, which serves as idempotency key
+    when Spark repeats a task. The instruction has to pass :func:`usable_instruction`.
     """
 
     def analyze(faults: DataFrame) -> DataFrame:
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        usable = usable_instruction(faults.sparkSession, instruction, judge)
+        entry = F.to_json(F.struct("signature", "severity", "service_name", "log_message",
+                                   "first_seen", "last_seen"))
+        rows = faults.withColumn("_entry", entry)
+        text = T.StringType()
+        added = [T.StructField("_answer", text), T.StructField("analysis_error", text)]
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                answers, errors = [], []
-                for entry in batch["_entry"]:
-                    try:
-                        found = json.loads(call([json.loads(entry)], instruction))["incidents"]
-                        answers.append(json.dumps(found) if found else None)
-                        errors.append(None)
-                    except Exception as problem:  # a failed call is data, not a failed task
-                        answers.append(None)
-                        errors.append(f"{type(problem).__name__}: {problem}")
-                yield pd.DataFrame(
-                    {
-                        "signature": batch["signature"],
-                        "_answer": pd.Series(answers, dtype="object"),
-                        "analysis_error": pd.Series(errors, dtype="object"),
-                    }
+                found = [
+                    incidents_of(call, [json.loads(e.as_py())], usable) for e in batch.column("_entry")
+                ]
+                answers = pa.array([a for a, _ in found], pa.string())
+                errors = pa.array([e for _, e in found], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, answers, errors], [*batch.schema.names, "_answer", "analysis_error"]
                 )
 
-        entry = F.to_json(F.struct("signature", "severity", "service_name", "log_message",
-                                   "first_seen", "last_seen"))
-        asked = faults.select("signature", entry.alias("_entry")).mapInPandas(
-            ask, "signature string, _answer string, analysis_error string"
-        )
-        parsed = asked.select(
-            "signature",
-            "analysis_error",
-            F.explode_outer(F.from_json("_answer", f"array<struct<{INCIDENT_FIELDS}>>")).alias("a"),
-        )
-        kept = [c for c in faults.columns if c not in INCIDENT_COLUMNS]
-        return faults.select(*kept).join(parsed, "signature").select(
-            *kept, "analysis_error", "a.*"
-        )
+        # The columns of a fault go through the worker beside its answer, so nothing is joined back.
+        asked = rows.mapInArrow(ask, T.StructType([*rows.schema.fields, *added]))
+        return with_incidents(asked.drop("_entry"))
 
     return analyze
 
@@ -143,6 +155,16 @@ def get_analyzer(name: str) -> Callable[[DataFrame], DataFrame]:
         raise ValueError(f"Unsupported analyzer: {name!r}") from None
 
 
+def _judged(judge: Callable[[str], dict], prompt: str) -> dict:
+    """The verdict on a prompt; a judge that fails lets nothing pass."""
+    try:
+        found = judge(prompt)
+        return {k: found[k] for k in ("is_safe", "reason", "refined_instruction")}
+    except Exception as problem:
+        reason = f"judge failed: {type(problem).__name__}: {problem}"
+        return {"is_safe": False, "reason": reason, "refined_instruction": None}
+
+
 def check_prompts(
     prompts: DataFrame,
     judge: Callable[[str], dict] | None = None,
@@ -163,7 +185,7 @@ def check_prompts(
 
     def second_look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            verdicts = [judge(p) for p in batch[column]]
+            verdicts = [_judged(judge, p) for p in batch[column]]
             yield pd.DataFrame(
                 {
                     column: batch[column],
@@ -200,5 +222,5 @@ def usable_instruction(spark, instruction: str | None, judge=None) -> str | None
         return None
     row = check_prompts(spark.createDataFrame([(instruction,)], "prompt string"), judge).first()
     if not row["is_safe"]:
-        raise ValueError(f"Prompt contain unsafe instruction: {row['reason']}")
+        raise ValueError(f"the instruction is not safe to use: {row['reason']}")
     return row["refined_instruction"]

@@ -1,10 +1,9 @@
 """Contextual repeats: is a new incident one of the reports of the last hours?
 
 An incident is compared with reports of its own severity and service created in the look-back
-period. Listing all such pairs grows with the square of a busy service, so none of the operators
-does: candidates are counted with running totals, texts are compared once per distinct content
-and only where they share one of their rarest words, and the newest report of a matching content
-is found with a running maximum.
+period. Listing all such pairs grows with the square of a busy service, so candidate sets are ranges of
+running totals, and the best match is found over classes of texts (:func:`best_repeats`).
+:func:`repeat_scores` does list every matching pair of contents, for those who want the list.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.text import fold_space
-from faultfold.operators.prefix import running
+from faultfold.operators.prefix import number_rows, running
+from faultfold.operators.reports import apply_deltas, follower_deltas, make_reports
 from faultfold.session import settle
 
 LOOKBACK_SECONDS = 2 * 3600
@@ -39,6 +39,8 @@ CANDIDATE_FIELDS = [
 _GROUP = ["severity", "service_name"]
 _SIDE = [*_GROUP, "bucket", "content", "words"]
 _SLACK = 1e-9
+# A word of no more contents than this is compared pair by pair, one of more by class; both are exact.
+_RARE = 8
 
 
 def slim_candidates(reports: DataFrame) -> DataFrame:
@@ -59,14 +61,20 @@ def _before(seconds: int) -> Column:
     return F.make_dt_interval(secs=F.lit(seconds))
 
 
-def repeat_candidates(
+def numbered_reports(reports: DataFrame) -> DataFrame:
+    """Reports with their position by creation inside severity and service: what ranges refer to."""
+    return number_rows(reports.select("id", *_GROUP, "created_at"), _GROUP, ["created_at", "id"])
+
+
+def candidate_ranges(
     incidents: DataFrame, reports: DataFrame, seconds: int = LOOKBACK_SECONDS
 ) -> DataFrame:
-    """How many candidates each incident has, and the newest of them.
+    """The candidate set of each incident, as a range of positions of :func:`numbered_reports`.
 
     ``incidents`` need incident_id, severity, service_name and as_of. Candidates have
-    as_of - period <= created_at < as_of. Reports and the two ends of every look-back go through
-    one running total: the difference of the totals at the ends is the number in between.
+    as_of - period <= created_at < as_of, so they lie next to each other: the reports of the same
+    severity and service from ``first_position`` to ``last_position``; both are null for an empty
+    set. Reports and the two ends of every look-back go through one running total.
     """
     checked = incidents.where(F.coalesce("severity", F.lit("")) != "")
     ends = checked.select(
@@ -101,17 +109,28 @@ def repeat_candidates(
         maxima={"newest": F.when(is_report, F.struct(F.col("at").alias("c"), F.col("id").alias("i")))},
     )
     spans = counted.where(~is_report).groupBy("incident_id").agg(
-        F.sum(F.col("n") * F.col("sign")).alias("n_candidates"),
+        F.max(F.when(F.col("sign") < 0, F.col("n"))).alias("before"),
+        F.max(F.when(F.col("sign") > 0, F.col("n"))).alias("upto"),
         F.max("newest").alias("newest"),
     )
-    has_any = F.col("n_candidates") > 0
+    has_any = F.col("upto") > F.col("before")
     return spans.select(
         "incident_id",
-        "n_candidates",
+        (F.col("upto") - F.col("before")).alias("n_candidates"),
         F.when(has_any, F.col("newest.i")).alias("newest_id"),
+        F.when(has_any, F.col("before") + 1).alias("first_position"),
+        F.when(has_any, F.col("upto")).alias("last_position"),
     )
 
 
+def repeat_candidates(
+    incidents: DataFrame, reports: DataFrame, seconds: int = LOOKBACK_SECONDS
+) -> DataFrame:
+    """How many candidates each incident has, and the newest of them."""
+    found = candidate_ranges(incidents, reports, seconds)
+    return found.select("incident_id", "n_candidates", "newest_id")
+
+
 def _contents(rows: DataFrame, at: str, seconds: int) -> DataFrame:
     """Rows with their words, content key and time bucket; buckets are one look-back long."""
     bucket = F.floor(F.unix_timestamp(at) / seconds).cast("bigint")
@@ -194,6 +213,127 @@ def repeat_scores(
     return _newest_per_content(new, old, pairs, seconds)
 
 
+def best_repeats(
+    incidents: DataFrame,
+    reports: DataFrame,
+    threshold: float = THRESHOLD,
+    seconds: int = LOOKBACK_SECONDS,
+) -> DataFrame:
+    """The best candidate per incident, as ``best_match(repeat_scores(...))`` has it, without the list.
+
+    Texts of one template that differ in an id all match each other, so a list of matches grows with
+    their square. Three ways together find the best one, each with few rows:
+
+    * equal contents, by a join on the content;
+    * contents that share a word of at most ``_RARE`` contents, compared pair by pair: such a word
+      makes no more than ``_RARE``² pairs;
+    * all others by *class*. A word that two contents do not share counts by its presence only, so
+      contents with the same common words and the same size are alike; classes are compared, and the
+      newest report of a class stands for it.
+
+    A class score never exceeds that of a pair, and where it falls short of it the pair has a row of
+    its own by one of the other ways. The maximum over all rows is therefore exact.
+    """
+    asked = incidents.where(F.coalesce("severity", F.lit("")) != "")
+    raw_new = _contents(asked, "as_of", seconds).select("incident_id", "as_of", *_SIDE)
+    raw_old = _contents(reports, "created_at", seconds).select("id", "created_at", *_SIDE)
+    raw_new, raw_old = settle(raw_new), settle(raw_old)
+    known = _classes(
+        raw_new.select("content", "words").unionByName(raw_old.select("content", "words")), threshold
+    )
+    classed = settle(known)
+    label = classed.select("content", "class")
+    new = raw_new.drop("words").join(label, "content")
+    old = raw_old.drop("words").join(label, "content")
+
+    place = [*_GROUP, "bucket"]
+    held = old.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    asks, holds = new.select(*place, "content").distinct(), held.select(*place, "content").distinct()
+    same = _meet(asks, holds, place, "content", "content").withColumn("score", F.lit(1.0))
+
+    rare = classed.select("content", F.explode("rare").alias("word"))
+    near = _meet(asks.join(rare, "content"), holds.join(rare, "content"), [*place, "word"], "content", "content")
+    words = classed.select("content", "words")
+    near = _scored(near.drop("word").distinct(), words, "content", threshold)
+
+    common = classed.select("class", "core", "size", "prefix").dropDuplicates(["class"])
+    lead = common.select("class", F.explode("prefix").alias("word"))
+    ask_classes = new.select(*place, "class").distinct().join(lead, "class")
+    hold_classes = held.select(*place, "class").distinct().join(lead, "class")
+    alike = _meet(ask_classes, hold_classes, [*place, "word"], "class", "class")
+    alike = _scored(alike.drop("word").distinct(), common.select("class", "core", "size"), "class", threshold)
+
+    columns = [*place, "content", "report_content", "score"]
+    by_content = same.select(*columns).unionByName(near.select(*columns))
+    by_class = alike.select(
+        *place, F.col("class").alias("content"), F.col("report_class").alias("report_content"), "score"
+    )
+    found = _newest_per_content(new, old, by_content, seconds).unionByName(
+        _newest_per_content(
+            new.drop("content").withColumnRenamed("class", "content"),
+            old.drop("content").withColumnRenamed("class", "content"),
+            by_class,
+            seconds,
+        )
+    )
+    return best_match(found)
+
+
+def _classes(sides: DataFrame, threshold: float) -> DataFrame:
+    """Per content: words, size, its rare words that a match may start with, the common ones (core),
+    the core words that a match may start with, and the class."""
+    once = sides.dropDuplicates(["content"])
+    words = once.select("content", F.explode("words").alias("word"))
+    uses = words.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    ranked = words.join(uses, "word").groupBy("content").agg(
+        F.sort_array(F.collect_list(F.struct("uses", "word"))).alias("ranked")
+    )
+    size = F.size("ranked")
+    keep = (size - F.ceil(size * F.lit(threshold) - F.lit(_SLACK)) + 1).cast("int")
+    lead = F.slice("ranked", F.lit(1), keep)
+    parted = ranked.select(
+        "content",
+        size.alias("size"),
+        F.filter(lead, lambda w: w["uses"] <= _RARE)["word"].alias("rare"),
+        F.filter(lead, lambda w: w["uses"] > _RARE)["word"].alias("prefix"),
+        F.sort_array(F.filter("ranked", lambda w: w["uses"] > _RARE)["word"]).alias("core"),
+        F.sort_array("ranked.word").alias("words"),
+    )
+    name = F.md5(F.concat_ws(" ", F.col("size").cast("string"), "core"))
+    # A content without a word matches nothing but its equal.
+    empty = once.where(F.size("words") == 0).select(
+        "content", F.lit(0).alias("size"), *[F.array().cast("array<string>").alias(c)
+                                             for c in ("rare", "prefix", "core", "words")]
+    )
+    return parted.unionByName(empty).withColumn("class", name)
+
+
+def _meet(asks: DataFrame, holds: DataFrame, on: list[str], ask: str, hold: str) -> DataFrame:
+    """Inner join, null-safe, of asking and held contents (or classes)."""
+    right = holds.select(*[F.col(c).alias(f"_h_{c}") for c in on if c != hold], F.col(hold).alias(f"report_{hold}"))
+    match = F.lit(True)
+    for c in on:
+        if c != hold:
+            match = match & (
+                F.col(c).eqNullSafe(F.col(f"_h_{c}")) if c == "service_name" else F.col(c) == F.col(f"_h_{c}")
+            )
+    if ask == hold and "word" not in on:
+        match = match & (F.col(ask) == F.col(f"report_{hold}"))
+    return asks.join(right, match).select(*on, ask, f"report_{hold}")
+
+
+def _scored(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Jaccard of pairs of keys by their sets: ``words`` in full, or ``core`` beside the full ``size``."""
+    column = "words" if "words" in sets.columns else "core"
+    size = F.size("words") if column == "words" else F.col("size")
+    left = sets.select(F.col(key), F.col(column).alias("_a"), size.alias("_na"))
+    right = sets.select(F.col(key).alias(f"report_{key}"), F.col(column).alias("_b"), size.alias("_nb"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    score = shared / (F.col("_na") + F.col("_nb") - shared)
+    joined = pairs.join(left, key).join(right, f"report_{key}")
+    return joined.withColumn("score", score).where(F.col("score") >= threshold).drop("_a", "_b", "_na", "_nb")
+
+
 def _newest_per_content(new: DataFrame, old: DataFrame, pairs: DataFrame, seconds: int) -> DataFrame:
     """Attach to every (incident, matching content) the newest report of that content in time."""
     p = pairs.select(
@@ -322,3 +462,27 @@ def repeat_decisions(incidents: DataFrame, best: DataFrame) -> DataFrame:
         F.when(repeat, F.col("report_id")).alias("report_id"),
         reason.alias("reason"),
     )
+
+
+def repeat_deltas(incidents: DataFrame, decisions: DataFrame) -> DataFrame:
+    """What repeats add to reports: one occurrence per incident, the last sighting and insert id.
+
+    ``incidents`` need incident_id, last_seen and last_insert_id.
+    """
+    repeats = decisions.where(F.col("action") == "increment").select("incident_id", "report_id")
+    followers = repeats.join(incidents, "incident_id").select(
+        "report_id", F.col("last_seen").alias("ts"), F.col("last_insert_id").alias("insert_id")
+    )
+    return follower_deltas(followers)
+
+
+def apply_repeats(reports: DataFrame, incidents: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Reports after the decisions: repeats counted, all other incidents as new reports.
+
+    An incident whose report exists already, as after a replay, is not inserted again.
+    """
+    inserts = decisions.where(F.col("action") == "insert").select("incident_id")
+    made = make_reports(incidents.join(inserts, "incident_id", "left_semi"))
+    fresh = made.join(reports.select("id"), "id", "left_anti")
+    counted = apply_deltas(reports, repeat_deltas(incidents, decisions))
+    return counted.unionByName(fresh.select(*reports.columns))

@@ -28,10 +28,15 @@ REPORT_COLUMNS = [
 
 
 def make_reports(incidents: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """Report rows for analysed faults; created when the fault was first seen unless told."""
+    """A report row for each incident; created when the fault was first seen unless told."""
     created = F.col("first_seen") if created_at is None else created_at
+    first = F.col("first_insert_id")
+    if "incident_no" in incidents.columns:
+        # Further incidents of the same answer get ids of their own.
+        number = F.when(F.col("incident_no") > 0, F.concat(F.lit("#"), "incident_no"))
+        first = F.concat_ws("", first, number)
     return incidents.select(
-        report_id(F.col("signature"), F.col("first_insert_id")).alias("id"),
+        report_id(F.col("signature"), first).alias("id"),
         *INCIDENT_COLUMNS,
         "severity",
         "signature",

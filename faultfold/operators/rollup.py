@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.fingerprint import signature
@@ -27,13 +27,10 @@ def with_signature(logs: DataFrame, strict: bool = False, keep: tuple[str, ...]
     )
 
 
-def incident_rollup(signed: DataFrame) -> DataFrame:
-    """Occurrences, first and last sighting, first and last insert id per signature.
-
-    Every aggregate merges, so map tasks shrink a hot signature to one row before the shuffle.
-    """
+def fault_totals() -> list[Column]:
+    """The aggregates of a fault: what it is, occurrences, first and last sighting and insert id."""
     position = F.struct("ts", "insert_id")
-    return signed.groupBy("signature").agg(
+    return [
         F.min("severity").alias("severity"),
         F.min("service_name").alias("service_name"),
         F.min("log_message").alias("log_message"),
@@ -42,7 +39,15 @@ def incident_rollup(signed: DataFrame) -> DataFrame:
         F.max("ts").alias("last_seen"),
         F.min(position)["insert_id"].alias("first_insert_id"),
         F.max(position)["insert_id"].alias("last_insert_id"),
-    )
+    ]
+
+
+def incident_rollup(signed: DataFrame) -> DataFrame:
+    """Occurrences, first and last sighting, first and last insert id per signature.
+
+    Every aggregate merges, so map tasks shrink a hot signature to one row before the shuffle.
+    """
+    return signed.groupBy("signature").agg(*fault_totals())
 
 
 def claim_winners(signed: DataFrame) -> DataFrame:

@@ -16,8 +16,10 @@ from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.functions.once import compute_once
 from faultfold.functions.severity import normalize_impact, severity_rank
 from faultfold.operators import (
+    batches,
     claims,
     dashboard,
+    deadletters,
     limits,
     repeats,
     reports,
@@ -27,7 +29,7 @@ from faultfold.operators import (
 from faultfold.operators.analysis import check_prompts, rule_analyzer
 from faultfold.plans import fixtures as fx
 from faultfold.session import work_dir
-from faultfold.sources import envelopes, synthetic
+from faultfold.sources import envelopes
 from faultfold.sources.tables import event_severity, logs, logs_from_events, props_k, read_table
 from faultfold.streaming import counts, events
 
@@ -281,10 +283,8 @@ def dead_letter_split(spark, sf_dir):
     sent = damaged_envelopes(logs(spark, sf_dir))
     decoded = envelopes.decode(sent, keep=("delivery", "failed_at", "attempts"))
     bad = decoded.where(F.col("reason").isNotNull())
-    kept = F.col("failed_at") >= fx.moment(fx.AS_OF) - F.expr("INTERVAL 7 DAYS")
-    exhausted = F.col("attempts") >= events.MAX_ATTEMPTS
-    route = F.when(~exhausted, "retry").when(kept, "dead_letter").otherwise("expired")
-    return bad.select("delivery", "reason", "attempts", route.alias("route"))
+    routed = deadletters.with_route(bad, fx.moment(fx.AS_OF))
+    return routed.select("delivery", "reason", "attempts", "route")
 
 
 @query
@@ -314,7 +314,7 @@ def ledger_status(spark, sf_dir):
 def new_events(spark, sf_dir):
     """All errors delivered twice, against the ledger of the first half of the month."""
     once = fx.error_logs(spark, sf_dir).select("insert_id", "ts", "severity")
-    return claims.new_events(once.unionByName(once), fx.ledger_writes(spark, sf_dir))
+    return claims.new_events(once.unionByName(once), fx.ledger_writes(spark, sf_dir, fx.CUTOFF))
 
 
 @query
@@ -618,6 +618,21 @@ def pack_batches(spark, sf_dir):
     return packed.select("insert_id", "service_name", "chunk", "slot", "oversize")
 
 
+@query
+def analyze_batches(spark, sf_dir):
+    """All entries in batches that keep the caps, and once more per service, mostly over them."""
+    entries = fx.sized_faults(spark, sf_dir)
+    packed = limits.pack_batches(entries, ["service_name"], ["ts", "insert_id"], max_bytes=20_000)
+    own = F.concat_ws("/", "service_name", "chunk", "slot")
+    keyed = packed.withColumn("batch", F.explode(F.array(own, F.col("service_name"))))
+    found = batches.analyze_batches(keyed, "batch", max_bytes=20_000)
+    return found.select(
+        "batch", "entries", "outcome", "reason", "operational_summary", "service_name",
+        "business_impact", "root_cause", "ai_suggestion", "first_seen_timestamp",
+        "last_seen_timestamp", F.size("action_plan").alias("plan_steps"),
+    )
+
+
 # --- repeats -------------------------------------------------------------------------------------
 
 
@@ -637,6 +652,10 @@ def _scores(spark, sf_dir) -> DataFrame:
     return repeats.repeat_scores(fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir))
 
 
+def _best(spark, sf_dir) -> DataFrame:
+    return repeats.best_repeats(fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir))
+
+
 @query
 def repeat_scores(spark, sf_dir):
     return _scores(spark, sf_dir).select(
@@ -646,17 +665,26 @@ def repeat_scores(spark, sf_dir):
 
 @query
 def best_match(spark, sf_dir):
-    best = repeats.best_match(_scores(spark, sf_dir))
-    return best.select("incident_id", "report_id", F.round("score", 6).alias("score"))
+    return _best(spark, sf_dir).select("incident_id", "report_id", F.round("score", 6).alias("score"))
 
 
 @query
 def candidate_sets(spark, sf_dir):
-    """Distinct candidate ids per incident, as their number: the sets themselves have no bound."""
-    found = repeats.repeat_candidates(
-        fx.hourly_incidents(spark, sf_dir), fx.history_reports(spark, sf_dir)
+    """Every candidate set, as positions among the reports of its severity and service, and the reports
+    at those positions: the sets as ranges, since as lists they grow with the square of a service."""
+    found, stored = fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir)
+    group = ["severity", "service_name"]
+    ranges = found.select("incident_id", *group).join(
+        repeats.candidate_ranges(found, stored), "incident_id"
+    )
+    at = repeats.numbered_reports(stored).select(*group, F.col("position").alias("first_position"), "id")
+    rows = ranges.select(
+        F.lit("set").alias("kind"), F.col("incident_id").alias("id"), *group, "first_position", "last_position"
+    )
+    return rows.unionByName(
+        at.select(F.lit("report").alias("kind"), "id", *group, "first_position",
+                  F.col("first_position").alias("last_position"))
     )
-    return found.select("incident_id", F.col("n_candidates").alias("candidate_ids"))
 
 
 @query
@@ -670,7 +698,7 @@ def valid_matches(spark, sf_dir):
     same = found.select("incident_id", "signature").join(
         stored.select("signature", F.col("id").alias("report_id")), "signature"
     )
-    scored = repeats.best_match(repeats.repeat_scores(found, stored))
+    scored = repeats.best_repeats(found, stored)
     claimed = same.select("incident_id", "report_id").unionByName(
         scored.select("incident_id", "report_id")
     )
@@ -679,33 +707,15 @@ def valid_matches(spark, sf_dir):
 
 @query
 def repeat_decision(spark, sf_dir):
-    best = repeats.best_match(_scores(spark, sf_dir))
-    return repeats.repeat_decisions(fx.hourly_incidents(spark, sf_dir), best)
-
-
-# --- synthetic rows ------------------------------------------------------------------------------
-
-
-def _flat(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "insert_id",
-        "severity",
-        F.col("resource.type").alias("resource_type"),
-        F.size("resource.labels").cast("bigint").alias("labels"),
-        selection.service_of().alias("service_name"),
-        F.col("text_payload").alias("message"),
-    )
-
-
-@query
-def synthetic_logs(spark, sf_dir):
-    return _flat(synthetic.synthetic_logs(read_table(spark, sf_dir, "events"), "event_id"))
+    return repeats.repeat_decisions(fx.hourly_incidents(spark, sf_dir), _best(spark, sf_dir))
 
 
 @query
-def repetitive_logs(spark, sf_dir):
-    rows = synthetic.repetitive_logs(read_table(spark, sf_dir, "events"), "event_id")
-    return _flat(rows)
+def repeat_apply(spark, sf_dir):
+    """All hourly incidents decided on, and the decisions applied to all reports."""
+    found, stored = fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir)
+    decisions = repeats.repeat_decisions(found, repeats.best_repeats(found, stored))
+    return repeats.apply_repeats(stored, found, decisions).select(*_COUNTED)
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -750,23 +760,15 @@ def stream_dedup(spark, sf_dir):
     twice = entries.unionByName(
         events.ingest(event_stream(spark, sf_dir), fx.SELF_SERVICE).select("insert_id", "ts")
     )
-    _finish(
-        counts.deduplicated(twice)
-        .writeStream.format("parquet")
-        .option("path", f"{here}/out")
-        .option("checkpointLocation", f"{here}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    return spark.read.schema(entries.schema).parquet(f"{here}/out")
+    _finish(counts.start_deduplicated(twice, f"{here}/out", f"{here}/checkpoint"))
+    return counts.read_deduplicated(spark, f"{here}/out", entries)
 
 
 @query
 def stream_counts(spark, sf_dir):
     here = work_dir(spark, "counts")
     twice = event_stream(spark, sf_dir).unionByName(event_stream(spark, sf_dir))
-    live = counts.live_counts(twice, fx.SELF_SERVICE)
-    _finish(counts.start_counts(live, f"{here}/out", f"{here}/checkpoint"))
+    _finish(counts.start_counts(twice, fx.SELF_SERVICE, f"{here}/out", f"{here}/checkpoint"))
     return counts.latest_counts(spark, f"{here}/out")
 
 

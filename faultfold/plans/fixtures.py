@@ -29,7 +29,8 @@ def moment(at: dt.datetime):
 
 
 def error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs(spark, sf_dir).where(exportable(SELF_SERVICE))
+    # Only error events have a severity that the export takes.
+    return logs(spark, sf_dir, "error").where(exportable(SELF_SERVICE))
 
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +95,12 @@ def worn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumns(changed)
 
 
-def ledger_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger writes for all history: critical entries fail; what came before noon completes later."""
-    past = error_logs(spark, sf_dir).where(F.col("ts") < moment(CUTOFF)).select(
-        "insert_id", "ts", "severity"
-    )
+def ledger_writes(spark: SparkSession, sf_dir: str, until: dt.datetime | None = None) -> DataFrame:
+    """Ledger writes of all errors, or of those before ``until``: critical entries fail; what came
+    before noon completes later."""
+    past = error_logs(spark, sf_dir).select("insert_id", "ts", "severity")
+    if until is not None:
+        past = past.where(F.col("ts") < moment(until))
     first = past.select(
         "insert_id",
         F.when(F.col("severity") == "CRITICAL", claims.FAILED).otherwise(claims.COMPLETED).alias("status"),
@@ -147,6 +149,14 @@ def sized_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sized_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed entries of every severity with the bytes each takes in a JSON payload."""
+    signed_rows = rollup.with_signature(logs(spark, sf_dir))
+    row = F.struct("severity", "service_name", F.col("log_message").alias("message"))
+    written = compute_once(signed_rows, _json=compact_json(row))
+    return written.withColumn("bytes", escaped_bytes(F.col("_json"))).drop("_json")
+
+
 def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     written = compute_once(docs, _json=compact_json(F.struct("doc_id", "text")))

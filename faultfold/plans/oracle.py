@@ -11,7 +11,6 @@ from faultfold.functions.prompts import DENY_RULES, EMPTY, TOO_LONG
 from faultfold.operators.analysis import RULES, UNKNOWN_ADVICE, UNKNOWN_CAUSE
 from faultfold.operators.limits import MAX_BYTES, MAX_ENTRIES, TOO_LARGE, TOO_MANY
 from faultfold.plans.catalog import KEYWORDS, PROMPT_TEMPLATES
-from faultfold.sources.synthetic import RESOURCES, SEVERITY_SHARES, TEMPLATES
 
 CUTOFF = "TIMESTAMP '2024-01-16 00:00:00'"
 PENDING_SINCE = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -184,10 +183,9 @@ followed AS (
 LEDGER = f"""{SIGNED},
 writes AS (
   SELECT insert_id, CASE WHEN severity = 'CRITICAL' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-    ts AS processed_timestamp FROM signed WHERE ts < {CUTOFF}
+    ts AS processed_timestamp FROM signed
   UNION ALL
-  SELECT insert_id, 'COMPLETED', ts + INTERVAL 1 MINUTE FROM signed
-  WHERE ts < {CUTOFF} AND hour(ts) < 12)"""
+  SELECT insert_id, 'COMPLETED', ts + INTERVAL 1 MINUTE FROM signed WHERE hour(ts) < 12)"""
 
 INCIDENTS = f"""{REPORTS},
 hourly AS (SELECT *, date_trunc('hour', ts) AS hour FROM signed),
@@ -296,36 +294,6 @@ ruled AS (SELECT *, CASE {rule} END AS rule FROM prompts)
 SELECT conv_id, turn, kind, rule, CASE rule {reason} END AS reason, rule IS NULL AS is_safe FROM ruled"""
 
 
-def _synthetic() -> str:
-    upto, severity = 0, ""
-    for name, percent in SEVERITY_SHARES:
-        upto += percent
-        severity += f"WHEN event_id * 37 % 100 < {upto} THEN '{name}' "
-    rows = ", ".join(
-        f"({i}, '{t[0]}', {quote(t[1])}, '{t[2]}')" for i, t in enumerate(TEMPLATES)
-    )
-    kinds = ", ".join(f"'{r[0]}'" for r in RESOURCES)
-    labels = ", ".join(str(len(r[1]) + 1) for r in RESOURCES)
-    return f"""
-WITH templates(i, level, message, service_name) AS (VALUES {rows}),
-placed AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY i) - 1 AS place,
-  count(*) OVER (PARTITION BY level) AS width FROM templates),
-drawn AS (SELECT event_id, CASE {severity} END AS severity, (event_id // 100) % 3 AS r,
-  (event_id // 300) % 6 AS t FROM events)
-SELECT CAST(event_id AS VARCHAR) AS insert_id, severity, [{kinds}][r + 1] AS resource_type,
-  CAST([{labels}][r + 1] AS BIGINT) AS labels, service_name, message
-FROM drawn JOIN placed ON level = severity AND place = t % width"""
-
-
-def _repetitive() -> str:
-    return f"""
-SELECT CAST(event_id AS VARCHAR) AS insert_id, 'ERROR' AS severity,
-  'cloud_run_revision' AS resource_type, CAST(2 AS BIGINT) AS labels,
-  CASE event_id % 2 WHEN 0 THEN {quote(TEMPLATES[4][2])} ELSE {quote(TEMPLATES[5][2])} END AS service_name,
-  CASE event_id % 2 WHEN 0 THEN {quote(TEMPLATES[4][1])} ELSE {quote(TEMPLATES[5][1])} END AS message
-FROM events"""
-
-
 _ENTRY = f"""('{{"insertId":"' || insert_id || '","logName":"' || log_name || '","timestamp":"'
   || strftime(ts, {ISO}) || '","receiveTimestamp":"' || strftime(ts, {ISO}) || '","severity":"' || severity
   || '","resource":{{"type":"cloud_run_revision","labels":{{"service_name":"' || service_name
@@ -408,7 +376,8 @@ SELECT event_id, entry FROM sent WHERE json_type(entry) = 'OBJECT'"""
 SELECT insert_id, status, processed_timestamp FROM writes
 QUALIFY row_number() OVER (PARTITION BY insert_id ORDER BY processed_timestamp DESC) = 1"""
     q["new_events"] = f"""WITH {LEDGER}
-SELECT insert_id, ts, severity FROM signed WHERE insert_id NOT IN (SELECT insert_id FROM writes)"""
+SELECT insert_id, ts, severity FROM signed WHERE insert_id NOT IN (
+  SELECT insert_id FROM writes WHERE insert_id IN (SELECT insert_id FROM signed WHERE ts < {CUTOFF}))"""
     q["claim_outcome"] = f"""WITH {HISTORY},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY ts, insert_id) AS k FROM fresh)
 SELECT f.insert_id, f.signature,
@@ -529,6 +498,33 @@ SELECT insert_id, service_name, chunk, CAST(2 * ((upto - bytes - 1) // 19999) +
   (upto - bytes - 1) // 19999 = (upto - 1) // 19999 THEN 0 ELSE 1 END AS BIGINT) AS slot,
   bytes + 1 > 19999 AS oversize FROM laid"""
 
+    q["analyze_batches"] = f"""WITH {LOGS},
+known AS (
+  SELECT *, md5('{{"location":"' || location || '","service_name":"' || service_name || '"}}|'
+    || severity || '|' || message) AS signature,
+    {sized("{'severity': severity, 'service_name': service_name, 'message': message}")} AS bytes
+  FROM clean),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY service_name ORDER BY ts, insert_id) - 1) // 500
+  AS chunk FROM known),
+laid AS (SELECT *, sum(bytes + 1) OVER (PARTITION BY service_name, chunk ORDER BY ts, insert_id
+  ROWS UNBOUNDED PRECEDING) AS upto FROM numbered),
+packed AS (SELECT *, CAST(2 * ((upto - bytes - 1) // 19999) + CASE WHEN
+  (upto - bytes - 1) // 19999 = (upto - 1) // 19999 THEN 0 ELSE 1 END AS BIGINT) AS slot FROM laid),
+keyed AS (
+  SELECT *, message AS log_message, service_name || '/' || chunk || '/' || slot AS batch FROM packed
+  UNION ALL SELECT *, message, service_name FROM packed),
+totals AS (SELECT batch, count(*) AS entries, CAST(sum(bytes) + count(*) + 1 AS BIGINT) AS payload
+  FROM keyed GROUP BY batch),
+judged AS (SELECT batch, entries, CASE WHEN entries > {MAX_ENTRIES}
+    THEN '{TOO_MANY} (entries: ' || entries || ', limit: {MAX_ENTRIES})'
+  WHEN payload > 20000
+    THEN '{TOO_LARGE} (payload: ' || payload || ' bytes, limit: 20000 bytes)' END AS reason FROM totals),
+faults AS ({rollup_of('keyed', 'batch, signature')}),
+found AS (SELECT f.* FROM ({analysed('faults')}) f JOIN judged USING (batch) WHERE reason IS NULL)
+SELECT batch, entries, CASE WHEN reason IS NULL THEN 'incident' ELSE 'rejected' END AS outcome, reason,
+  operational_summary, service_name, business_impact, root_cause, ai_suggestion, first_seen_timestamp,
+  last_seen_timestamp, len(action_plan) AS plan_steps
+FROM judged LEFT JOIN found USING (batch)"""
     q["slim_candidates"] = _report_query(
         "reports",
         "id, operational_summary, root_cause, service_name, business_impact, severity, "
@@ -542,11 +538,15 @@ SELECT incident_id, newest.b AS report_id, newest.a AS report_created_at, round(
     q["best_match"] = f"""WITH {SCORES}
 SELECT incident_id, top.b AS report_id, round(top.s, 6) AS score FROM best"""
     q["candidate_sets"] = f"""WITH {INCIDENTS},
-earlier AS (SELECT * FROM signed WHERE ts < {CUTOFF}),
-earlier_rolled AS ({rollup_of('earlier')}),
-earlier_reports AS ({reports_of('earlier_rolled')})
-SELECT incident_id, count(DISTINCT r.id) AS candidate_ids
-FROM incidents i LEFT JOIN earlier_reports r ON {_CANDIDATE} GROUP BY incident_id"""
+placed AS (SELECT id, severity, service_name, created_at, row_number() OVER (
+  PARTITION BY severity, service_name ORDER BY created_at, id) AS p FROM reports),
+sets AS (
+  SELECT incident_id, any_value(i.severity) AS severity, any_value(i.service_name) AS service_name,
+    min(p) AS low, max(p) AS high
+  FROM incidents i LEFT JOIN placed r ON {_CANDIDATE} GROUP BY incident_id)
+SELECT 'set' AS kind, incident_id AS id, severity, service_name, low AS first_position,
+  high AS last_position FROM sets
+UNION ALL SELECT 'report', id, severity, service_name, p, p FROM placed"""
     q["valid_matches"] = f"""WITH {SCORES},
 claimed AS (
   SELECT incident_id, r.id AS report_id FROM incidents i JOIN reports r USING (signature)
@@ -559,8 +559,19 @@ SELECT incident_id, CASE WHEN top IS NULL THEN 'insert' ELSE 'increment' END AS
     ELSE 'similarity ' || format('{{:.3f}}', top.s) END AS reason
 FROM incidents LEFT JOIN best USING (incident_id)"""
 
-    q["synthetic_logs"] = _synthetic()
-    q["repetitive_logs"] = _repetitive()
+    q["repeat_apply"] = f"""WITH {SCORES},
+decided AS (SELECT i.*, top.b AS report_id, md5(signature || '|' || first_insert_id) AS new_id
+  FROM incidents i LEFT JOIN best USING (incident_id)),
+added AS (SELECT report_id, count(*) AS n, max(last_seen) AS seen,
+    max({{'a': last_seen, 'b': last_insert_id}}).b AS last_id
+  FROM decided WHERE report_id IS NOT NULL GROUP BY report_id)
+SELECT id, signature, incident_count + coalesce(n, 0) AS incident_count,
+  coalesce(strftime(seen, {ISO}), last_seen_timestamp) AS last_seen_timestamp,
+  coalesce(last_id, last_insert_id) AS last_insert_id
+FROM reports LEFT JOIN added ON id = report_id
+UNION ALL
+SELECT new_id, signature, incident_count, last_seen_timestamp, last_insert_id FROM decided
+WHERE report_id IS NULL AND new_id NOT IN (SELECT id FROM reports)"""
 
     q["stream_dedup"] = f"WITH {SIGNED} SELECT insert_id, ts FROM signed"
     q["stream_counts"] = f"WITH {REPORTS} SELECT signature, incident_count, first_seen, last_seen FROM rolled"

@@ -20,6 +20,8 @@ def local_session(app: str = "faultfold", cpus: str | int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         # Longer generated methods are not compiled by the JVM and run many times slower.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FAULTFOLD_DRIVER_MEMORY", "8g"))
         .getOrCreate()
@@ -29,11 +31,14 @@ def local_session(app: str = "faultfold", cpus: str | int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder made and set.
+    Only where that setting is absent and the master is local (tests, a laptop) is a temporary folder
+    made and set.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="faultfold-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)

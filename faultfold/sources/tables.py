@@ -85,5 +85,10 @@ def logs_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from_events(read_table(spark, sf_dir, "events"))
+def logs(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> DataFrame:
+    """The view over the ``events`` table. Severity and log name are derived from the event type, so a
+    caller whose filter implies one names it: that predicate reaches the Parquet reader."""
+    events = read_table(spark, sf_dir, "events")
+    if event_type is not None:
+        events = events.where(F.col("event_type") == event_type)
+    return logs_from_events(events)

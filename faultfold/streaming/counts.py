@@ -1,4 +1,11 @@
-"""Live counters: deduplicated deliveries, and occurrences per signature as they arrive."""
+"""Each entry once, and occurrences per signature as they arrive.
+
+The insert ids seen so far lie in a table by day of the entry, not in the state of the stream: a
+watermark would have to drop what arrives late, and without one the state would grow for ever. A
+redelivered entry keeps its time, so a micro-batch reads the days of its own entries only, in
+whatever order they come. Folders are ``event_date/run/batch``; a repeated micro-batch does not look
+at its own folders and writes them again, and a new checkpoint is a new run.
+"""
 
 from __future__ import annotations
 
@@ -6,51 +13,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultfold.operators.rollup import with_signature
-from faultfold.streaming.events import ingest
+from faultfold.streaming.events import ONCE, ingest, on_days
+
+_PLACE = ["event_date", "run", "batch"]
+_PLACE_SCHEMA = "event_date date, run string, batch bigint"
+COUNTS_SCHEMA = "signature string, incident_count bigint, first_seen timestamp, last_seen timestamp"
+
+
+def _schema(rows: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+
 
-# Fixed value: deliveries are kept, and so may repeat, for one day.
-REDELIVERY_WINDOW = "1 day"
+def _run_of(spark: SparkSession) -> str:
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def deduplicated(entries: DataFrame, window: str | None = REDELIVERY_WINDOW) -> DataFrame:
-    """Each insert id once. The watermark bounds the state to the redelivery window.
+def _replace(rows: DataFrame, path: str, place: list[str]) -> None:
+    """Write ``rows`` over the folders they belong to, and over no others."""
+    writer = rows.write.partitionBy(*place).mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    Rows later than the window are dropped as too late; ``window=None`` keeps ids for ever.
+
+def keep_new(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """The entries of a micro-batch not seen before, each insert id once, as stored under ``path``.
+
+    Needs insert_id and ts. An entry without a time belongs to the day ``null``.
     """
-    if window is None:
-        return entries.dropDuplicates(["insert_id"])
-    return entries.withWatermark("ts", window).dropDuplicatesWithinWatermark(["insert_id"])
-
-
-def live_counts(envelopes: DataFrame, self_service: str, window: str | None = None) -> DataFrame:
-    """Occurrences and last sighting per signature (for ``update`` mode)."""
-    signed = with_signature(ingest(envelopes, self_service))
-    return deduplicated(signed, window).groupBy("signature").agg(
-        F.count(F.lit(1)).alias("incident_count"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"),
+    spark = batch.sparkSession
+    schema = f"{_schema(batch)}, {_PLACE_SCHEMA}"
+    run = _run_of(spark)
+    spark.createDataFrame([], schema).write.partitionBy(*_PLACE).mode("append").parquet(path)
+    own = (F.col("run") == run) & (F.col("batch") == batch_id)
+
+    once = batch.dropDuplicates(["insert_id"]).withColumn("event_date", F.to_date("ts")).persist()
+    try:
+        # As many values as calendar days, however many rows.
+        days = [r[0] for r in once.select("event_date").distinct().collect()]
+        seen = spark.read.schema(schema).parquet(path).where(on_days(days) & ~own)
+        fresh = once.join(seen.select("insert_id"), "insert_id", "left_anti").select(*once.columns)
+        placed = fresh.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("bigint")})
+        # One file a day and batch, several for a large day.
+        _replace(placed.hint("rebalance", "event_date"), path, _PLACE)
+    finally:
+        once.unpersist()
+    return spark.read.schema(schema).parquet(path).where(on_days(days) & own).select(*batch.columns)
+
+
+def start_deduplicated(entries: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
+    """Write each insert id of ``entries`` once under ``out``; see :func:`read_deduplicated`."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        keep_new(batch, batch_id, out)
+
+    return (
+        entries.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE))
+        .start()
     )
 
 
-def start_counts(counts: DataFrame, out: str, checkpoint: str):
-    """Write every batch's changed rows to ``<out>/batch=<id>``; a repeated batch overwrites."""
+def read_deduplicated(spark: SparkSession, out: str, entries: DataFrame) -> DataFrame:
+    """What :func:`start_deduplicated` wrote for the stream ``entries``."""
+    stored = spark.read.schema(f"{_schema(entries)}, {_PLACE_SCHEMA}").parquet(out)
+    return stored.select(*entries.columns)
+
+
+def start_counts(
+    envelopes: DataFrame, self_service: str, out: str, checkpoint: str, trigger: dict | None = None
+):
+    """Count every entry once: its id goes to ``<out>/entries``, what a batch adds to ``<out>/counts``."""
+    signed = with_signature(ingest(envelopes, self_service)).select("insert_id", "ts", "signature")
 
-    def save(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        added = keep_new(batch, batch_id, f"{out}/entries").groupBy("signature").agg(
+            F.count(F.lit(1)).alias("incident_count"),
+            F.min("ts").alias("first_seen"),
+            F.max("ts").alias("last_seen"),
+        )
+        run = _run_of(batch.sparkSession)
+        placed = added.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("bigint")})
+        _replace(placed, f"{out}/counts", ["run", "batch"])
 
     return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(save)
+        signed.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
 
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The newest value of each counter."""
-    rows = spark.read.parquet(out)
-    newest = F.max(F.struct("batch", "incident_count", "first_seen", "last_seen")).alias("n")
-    return rows.groupBy("signature").agg(newest).select(
-        "signature", "n.incident_count", "n.first_seen", "n.last_seen"
+    """Occurrences, first and last sighting per signature over all batches so far."""
+    added = spark.read.schema(f"{COUNTS_SCHEMA}, run string, batch bigint").parquet(f"{out}/counts")
+    return added.groupBy("signature").agg(
+        F.sum("incident_count").alias("incident_count"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
     )

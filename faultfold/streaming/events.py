@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultfold.functions.fingerprint import report_id
 from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.operators import claims, reports, rollup
 from faultfold.operators.analysis import rule_analyzer
+from faultfold.operators.deadletters import DEAD_LETTER, MAX_ATTEMPTS, RETRY, retained, with_route
 from faultfold.operators.limits import MAX_BYTES
 from faultfold.operators.selection import exportable
 from faultfold.schemas import (
@@ -28,8 +29,9 @@ from faultfold.schemas import (
 )
 from faultfold.sources.envelopes import decode, good
 
-# Fixed value: deliveries of an entry before it goes to the dead letters.
-MAX_ATTEMPTS = 5
+# The default trigger: everything available, then stop. ``{"processingTime": "10 seconds"}`` and the
+# like keep a stream on.
+ONCE = {"availableNow": True}
 
 ENTRY_SCHEMA = (
     "insert_id string, ts timestamp, severity string, service_name string, log_message string, "
@@ -86,6 +88,13 @@ def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
     return seen.drop("batch")
 
 
+def on_days(days: list) -> Column:
+    """``event_date`` is one of ``days``, of which ``None`` is one too."""
+    dated = [F.lit(d) for d in days if d is not None]
+    found = F.col("event_date").isin(*dated) if dated else F.lit(False)
+    return found | F.col("event_date").isNull() if None in days else found
+
+
 def ingest(envelopes: DataFrame, self_service: str) -> DataFrame:
     """Decoded entries that pass the export filter; works on streams and tables alike."""
     return good(decode(envelopes)).where(exportable(self_service))
@@ -165,10 +174,10 @@ def _accept(spark: SparkSession, root: str, arrived: DataFrame, batch_id: int) -
         .select("insert_id", *[f"e.{c}" for c in columns], "e.attempts")
     )
     ledger = read_state(spark, root, "ledger").where(F.col("batch") < batch_id)
-    # A redelivered entry keeps its time, so only the ledger days of this batch can know it.
-    days = once.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-    if days[0] is not None:
-        ledger = ledger.where(F.col("event_date").isNull() | F.col("event_date").between(*days))
+    # A redelivered entry keeps its time, so only the ledger days of this batch can know it; they
+    # are as many as calendar days, however many rows.
+    days = [r[0] for r in once.select(F.to_date("ts")).distinct().collect()]
+    ledger = ledger.where(on_days(days))
     fresh = once.join(ledger.select("insert_id"), "insert_id", "left_anti")
     _write(fresh, root, "accepted", batch_id)
     return _one_batch(spark, root, "accepted", batch_id)
@@ -208,6 +217,9 @@ def _analyse(
     answered = asked.withColumns({"outcome": outcome, "problem": F.col("analysis_error")}).drop(
         "analysis_error"
     )
+    if "incident_no" in asked.columns:
+        # An entry makes one report: the first incident of its answer.
+        answered = answered.where(F.coalesce("incident_no", F.lit(0)) == 0)
     rows = answered.unionByName(followed, True).unionByName(too_large, True)
     target = spark.createDataFrame([], TABLES["analysis"]).columns
     _write(rows.select(*target), root, "analysis", batch_id)
@@ -247,15 +259,19 @@ def _settle_entries(
     )
     _write(done, root, "ledger", batch_id)
 
-    failed = ended.where(F.col("outcome") == ERROR).withColumn("attempts", F.col("attempts") + 1)
-    again = failed.where(F.col("attempts") < max_attempts)
+    now = F.current_timestamp()
+    failed = ended.where(F.col("outcome") == ERROR).withColumns(
+        {"attempts": F.col("attempts") + 1, "failed_at": now}
+    )
+    routed = with_route(failed, now, max_attempts)
+    again = routed.where(F.col("route") == RETRY)
     _write(again.select(*accepted.columns), root, "retries", batch_id)
 
-    given_up = failed.where(F.col("attempts") >= max_attempts).select(
+    given_up = routed.where(F.col("route") == DEAD_LETTER).select(
         F.to_json(F.struct("insert_id", "ts", "severity", "service_name", "log_message")).alias("raw"),
         F.col("problem").alias("reason"),
         "attempts",
-        F.current_timestamp().alias("failed_at"),
+        "failed_at",
     )
     unreadable = arrivals.where(F.col("reason").isNotNull()).select(
         "raw", "reason", F.lit(1).alias("attempts"), F.current_timestamp().alias("failed_at")
@@ -264,14 +280,23 @@ def _settle_entries(
 
 
 def start_triage(
-    envelopes: DataFrame, root: str, self_service: str, checkpoint: str, **options
+    envelopes: DataFrame,
+    root: str,
+    self_service: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    **options,
 ):
-    """Process everything available in ``envelopes`` and stop; returns the streaming query."""
+    """Start the event path; returns the streaming query.
+
+    By default it processes everything available and stops. ``trigger`` goes to Spark as it is;
+    with a processing time the path stays on, and its interval is the least time between attempts.
+    """
     prepare_state(envelopes.sparkSession, root)
     return (
         envelopes.writeStream.foreachBatch(triage_batch(root, self_service, **options))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
@@ -302,14 +327,15 @@ def current_signatures(spark: SparkSession, root: str) -> DataFrame:
 def compact_state(spark: SparkSession, root: str, target: str) -> None:
     """Fold all committed batches into one batch under a new root, for the stream to go on from.
 
-    Run between two runs of the stream, against small files and long histories.
+    Run between two runs of the stream, against small files and long histories. Dead letters past
+    their retention end here.
     """
     last = read_state(spark, root, "commits").agg(F.max("batch")).first()[0]
     batch_id = -1 if last is None else last
     counted = _all_sightings(spark, root).withColumn("more", F.lit(0).cast("bigint"))
     folded = {"reports": current_reports(spark, root), "followers": counted}
-    for table in ("ledger", "dead_letters"):
-        folded[table] = committed(spark, root, table)
+    folded["ledger"] = committed(spark, root, "ledger")
+    folded["dead_letters"] = committed(spark, root, "dead_letters").where(retained(F.current_timestamp()))
     folded["retries"] = _one_batch(spark, root, "retries", batch_id)
     folded["streams"] = committed(spark, root, "streams")
     folded["commits"] = spark.createDataFrame([(0,)], TABLES["commits"])

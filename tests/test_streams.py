@@ -1,5 +1,7 @@
 """The event path: redelivery, several micro-batches, restart, failures."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,8 +146,37 @@ def test_live_counts_over_batches(spark, sf_dir, tmp_path, expected):
     folder, root = str(tmp_path / "in"), str(tmp_path / "out")
     deliver(spark, sf_dir, folder, 2)
     deliver(spark, sf_dir, folder, 2)
-    live = counts.live_counts(stream(spark, folder), fixtures.SELF_SERVICE)
-    counts.start_counts(live, f"{root}/rows", f"{root}/cp").awaitTermination()
+    query = counts.start_counts(
+        stream(spark, folder), fixtures.SELF_SERVICE, f"{root}/rows", f"{root}/cp"
+    )
+    query.awaitTermination()
+    got = {r["signature"]: r["incident_count"] for r in counts.latest_counts(spark, f"{root}/rows").collect()}
+    assert got == {k: n for k, (n, _) in expected.items()}
+
+
+def test_entries_of_any_day_in_any_order(spark, tmp_path):
+    """Files that go back in time lose nothing; repeats, a repeated batch and a new run add nothing."""
+    out = str(tmp_path / "out")
+    schema = "insert_id string, ts timestamp"
+    days = ["2024-01-20", "2024-01-05", "2024-01-12", None]
+    given = [[(f"{d}-{i}", d and dt.datetime.fromisoformat(d)) for i in range(5)] for d in days]
+    for number, rows in enumerate(given):
+        batch = spark.createDataFrame(rows * 2 + given[0], schema)
+        for _ in range(2):
+            new = counts.keep_new(batch, number, out)
+            assert new.count() == 5
+    stored = counts.read_deduplicated(spark, out, new)
+    assert sorted(r["insert_id"] for r in stored.collect()) == sorted(i for g in given for i, _ in g)
+    assert counts.keep_new(spark.createDataFrame([], schema), 9, out).count() == 0
+
+
+def test_counts_of_a_new_checkpoint(spark, sf_dir, tmp_path, expected):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver(spark, sf_dir, folder, 2)
+    for checkpoint in ("one", "two"):
+        counts.start_counts(
+            stream(spark, folder), fixtures.SELF_SERVICE, f"{root}/rows", f"{root}/{checkpoint}"
+        ).awaitTermination()
     got = {r["signature"]: r["incident_count"] for r in counts.latest_counts(spark, f"{root}/rows").collect()}
     assert got == {k: n for k, (n, _) in expected.items()}
 
