@@ -222,5 +222,5 @@ def usable_instruction(spark, instruction: str | None, judge=None) -> str | None
         return None
     row = check_prompts(spark.createDataFrame([(instruction,)], "prompt string"), judge).first()
     if not row["is_safe"]:
-        raise ValueError(f"the instruction is not safe to use: {row['reason']}")
+        raise ValueError(f"unsafe instruction: {row['reason']}")
     return row["refined_instruction"]

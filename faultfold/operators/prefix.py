@@ -24,18 +24,20 @@ def running(
     order: list[str],
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add running sums and running maxima, current row included, in ascending ``order``.
 
-    ``order`` must be total inside a group. Keys compare null-safely.
+    ``order`` must be total inside a group. Keys compare null-safely. ``parts`` is the number of
+    partitions, by default what the session shuffles into. A caller who knows the size of the input
+    gives one for every 256 MB or so; Spark's own estimate is of no use behind a join.
     """
     sums = sums or {}
     maxima = maxima or {}
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range partitioning reads its input twice, for a sample and for the shuffle. Rows are few
-    # bytes wide here but may be dear to compute, so they are computed once and kept.
-    valued = settle(rows.select("*", *[v.alias(n) for n, v in {**sums, **maxima}.items()]))
+    valued = rows.select("*", *[v.alias(n) for n, v in {**sums, **maxima}.items()])
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Kept, since the carries and the rows must see the same partitions. The input is computed twice,
+    # for a sample of its keys and for the shuffle.
     placed = settle(
         valued.repartitionByRange(parts, *keys, *order).withColumn(_PART, F.spark_partition_id())
     )
@@ -57,9 +59,11 @@ def running(
     )
 
 
-def number_rows(rows: DataFrame, keys: list[str], order: list[str], out: str = "position") -> DataFrame:
+def number_rows(
+    rows: DataFrame, keys: list[str], order: list[str], out: str = "position", parts: int | None = None
+) -> DataFrame:
     """1-based position of every row in its group."""
-    return running(rows, keys, order, sums={out: F.lit(1).cast("bigint")})
+    return running(rows, keys, order, sums={out: F.lit(1).cast("bigint")}, parts=parts)
 
 
 def _carry(name: str) -> str:

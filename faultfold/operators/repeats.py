@@ -264,19 +264,20 @@ def best_repeats(
     alike = _scored(alike.drop("word").distinct(), common.select("class", "core", "size"), "class", threshold)
 
     columns = [*place, "content", "report_content", "score"]
-    by_content = same.select(*columns).unionByName(near.select(*columns))
-    by_class = alike.select(
-        *place, F.col("class").alias("content"), F.col("report_class").alias("report_content"), "score"
-    )
-    found = _newest_per_content(new, old, by_content, seconds).unionByName(
-        _newest_per_content(
-            new.drop("content").withColumnRenamed("class", "content"),
-            old.drop("content").withColumnRenamed("class", "content"),
-            by_class,
-            seconds,
+    pairs = (
+        same.select(*columns)
+        .unionByName(near.select(*columns))
+        .unionByName(
+            alike.select(
+                *place, F.col("class").alias("content"), F.col("report_class").alias("report_content"), "score"
+            )
         )
     )
-    return best_match(found)
+    # Every row goes by its content and by its class, in one pass.
+    either = F.explode(F.array("content", "class"))
+    return best_match(
+        _newest_per_content(new.withColumn("content", either), old.withColumn("content", either), pairs, seconds)
+    )
 
 
 def _classes(sides: DataFrame, threshold: float) -> DataFrame:
@@ -305,7 +306,7 @@ def _classes(sides: DataFrame, threshold: float) -> DataFrame:
         "content", F.lit(0).alias("size"), *[F.array().cast("array<string>").alias(c)
                                              for c in ("rare", "prefix", "core", "words")]
     )
-    return parted.unionByName(empty).withColumn("class", name)
+    return parted.unionByName(empty).withColumn("class", F.concat(F.lit("class "), name))
 
 
 def _meet(asks: DataFrame, holds: DataFrame, on: list[str], ask: str, hold: str) -> DataFrame:
