@@ -52,9 +52,15 @@ def source_targets(
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _drawn(value: Column, digits: int) -> Column:
+    """A whole number of so many hexadecimal digits, fixed by ``value`` on every engine."""
+    return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")
+
+
 def _offset(source: Column, seed: int) -> Column:
     """A number in [0, 1) fixed by source and seed, in steps that sums of copies keep exactly."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.coalesce(source, F.lit("\0null")), F.lit(seed)), 44)
+    named = F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
+    bits = _drawn(F.concat(F.lit(f"{seed}/"), named), 5)
     return bits.cast("double") / F.lit(float(1 << 20))
 
 
@@ -88,7 +94,7 @@ def systematic_mix(
         return left.join(right, on).drop(*[f"__{n}" for n in names])
 
     celled = same(sized, cut, "source", "size").withColumn(
-        "cell", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+        "cell", _drawn(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), 8) % F.col("pieces")
     )
     cells = celled.groupBy("source", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     walk = Window.partitionBy("source").orderBy(F.desc("size"), "cell")
