@@ -235,13 +235,20 @@ def best_repeats(
     its own by one of the other ways. The maximum over all rows is therefore exact.
     """
     asked = incidents.where(F.coalesce("severity", F.lit("")) != "")
-    raw_new = _contents(asked, "as_of", seconds).select("incident_id", "as_of", *_SIDE)
-    raw_old = _contents(reports, "created_at", seconds).select("id", "created_at", *_SIDE)
-    raw_new, raw_old = settle(raw_new), settle(raw_old)
-    known = _classes(
-        raw_new.select("content", "words").unionByName(raw_old.select("content", "words")), threshold
+    # Both sides are read several times below; together they are worked out side by side.
+    both = settle(
+        _contents(asked, "as_of", seconds)
+        .select(F.lit(True).alias("asks"), "incident_id", "as_of", *_SIDE)
+        .unionByName(
+            _contents(reports, "created_at", seconds).select(
+                F.lit(False).alias("asks"), "id", "created_at", *_SIDE
+            ),
+            allowMissingColumns=True,
+        )
     )
-    classed = settle(known)
+    raw_new = both.where("asks").drop("asks", "id", "created_at")
+    raw_old = both.where("NOT asks").drop("asks", "incident_id", "as_of")
+    classed = settle(_classes(both.select("content", "words"), threshold))
     label = classed.select("content", "class")
     new = raw_new.drop("words").join(label, "content")
     old = raw_old.drop("words").join(label, "content")

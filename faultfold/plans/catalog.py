@@ -28,7 +28,7 @@ from faultfold.operators import (
 )
 from faultfold.operators.analysis import check_prompts, rule_analyzer
 from faultfold.plans import fixtures as fx
-from faultfold.session import work_dir
+from faultfold.session import settle, work_dir
 from faultfold.sources import envelopes
 from faultfold.sources.tables import event_severity, logs, logs_from_events, props_k, read_table
 from faultfold.streaming import counts, events
@@ -648,24 +648,23 @@ def repeat_candidates(spark, sf_dir):
     )
 
 
-def _scores(spark, sf_dir) -> DataFrame:
-    return repeats.repeat_scores(fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir))
-
-
-def _best(spark, sf_dir) -> DataFrame:
-    return repeats.best_repeats(fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir))
+def _asked_and_stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Incidents and reports over errors that are read, masked and signed once for both."""
+    faults = settle(fx.signed(spark, sf_dir))
+    return fx.hourly_incidents(spark, sf_dir, faults), fx.all_reports(spark, sf_dir, faults)
 
 
 @query
 def repeat_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).select(
+    return repeats.repeat_scores(*_asked_and_stored(spark, sf_dir)).select(
         "incident_id", "report_id", "report_created_at", F.round("score", 6).alias("score")
     )
 
 
 @query
 def best_match(spark, sf_dir):
-    return _best(spark, sf_dir).select("incident_id", "report_id", F.round("score", 6).alias("score"))
+    best = repeats.best_repeats(*_asked_and_stored(spark, sf_dir))
+    return best.select("incident_id", "report_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -693,8 +692,7 @@ def valid_matches(spark, sf_dir):
 
     Few matches of the second are candidates: their reports are mostly too old.
     """
-    found = fx.hourly_incidents(spark, sf_dir)
-    stored = fx.all_reports(spark, sf_dir)
+    found, stored = _asked_and_stored(spark, sf_dir)
     same = found.select("incident_id", "signature").join(
         stored.select("signature", F.col("id").alias("report_id")), "signature"
     )
@@ -707,13 +705,14 @@ def valid_matches(spark, sf_dir):
 
 @query
 def repeat_decision(spark, sf_dir):
-    return repeats.repeat_decisions(fx.hourly_incidents(spark, sf_dir), _best(spark, sf_dir))
+    found, stored = _asked_and_stored(spark, sf_dir)
+    return repeats.repeat_decisions(found, repeats.best_repeats(found, stored))
 
 
 @query
 def repeat_apply(spark, sf_dir):
     """All hourly incidents decided on, and the decisions applied to all reports."""
-    found, stored = fx.hourly_incidents(spark, sf_dir), fx.all_reports(spark, sf_dir)
+    found, stored = _asked_and_stored(spark, sf_dir)
     decisions = repeats.repeat_decisions(found, repeats.best_repeats(found, stored))
     return repeats.apply_repeats(stored, found, decisions).select(*_COUNTED)
 

@@ -58,9 +58,13 @@ def signature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def all_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One report per signature over all errors, by the rule analyzer."""
-    return reports.make_reports(rule_analyzer(rollup.incident_rollup(signed(spark, sf_dir))))
+def all_reports(spark: SparkSession, sf_dir: str, faults: DataFrame | None = None) -> DataFrame:
+    """One report per signature over all errors, by the rule analyzer.
+
+    ``faults`` are the signed errors, where a caller has them at hand.
+    """
+    faults = signed(spark, sf_dir) if faults is None else faults
+    return reports.make_reports(rule_analyzer(rollup.incident_rollup(faults)))
 
 
 def history_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +118,11 @@ def ledger_writes(spark: SparkSession, sf_dir: str, until: dt.datetime | None =
     return first.unionByName(again)
 
 
-def hourly_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_incidents(spark: SparkSession, sf_dir: str, faults: DataFrame | None = None) -> DataFrame:
     """Incidents of hourly batches per service: one per signature and hour, analysed by rules."""
     hour = F.date_trunc("hour", F.col("ts"))
-    s = signed(spark, sf_dir).withColumn("hour", hour)
+    faults = signed(spark, sf_dir) if faults is None else faults
+    s = faults.withColumn("hour", hour)
     rolled = s.groupBy("signature", "hour").agg(
         F.min("severity").alias("severity"),
         F.min("service_name").alias("service_name"),
