@@ -1,14 +1,17 @@
 """Operator 7: licence scans by TF-IDF cosine to templates, and inheritance along directories.
 
-Every line of every file, and every stretch of ``STRETCH`` words, that bears a marker word is compared
-with the licence templates as a sparse TF-IDF vector; document frequencies are counted over all lines
-of the corpus. A file without a licence of its own takes that of the nearest directory above it that
-has a licence file, found by joining each distinct directory's ancestors with the licensed ones.
+Around every marker word each line, each sentence and, for every template, each window of as many
+terms as the template has is compared with the licence templates as a sparse TF-IDF vector; document
+frequencies of all terms are counted over all lines of the corpus and joined to the terms of the
+passages around markers. A file without a licence of its own takes that of the nearest directory above
+it that has a licence file, found by joining each distinct directory's ancestors with the licensed ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,10 +41,10 @@ TEMPLATES = [
 ]
 
 LEAST_COSINE = 0.7
-STRETCH = 40
 #: A stretch of text without any of these is not taken for a notice; every template has one.
 _MARKER = re.compile(r"licen[cs]e|permission is hereby|redistribut|public domain", re.IGNORECASE)
 _TERM = re.compile(r"[^\W_]+(?:\.\d+)*")
+_SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n")
 _FILE = r"^(?i:licen[cs]e|copying|notice)([-.].*)?$"
 
 
@@ -49,73 +52,144 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
-_PLACE = {t: i for i, t in enumerate(VOCABULARY)}
+#: Terms of each template, and the most that one has.
+_OWN = [terms(text) for _, text in TEMPLATES]
+WIDEST = max(map(len, _OWN))
 
 
-def line_frequencies(files: DataFrame) -> tuple[int, np.ndarray]:
-    """Lines with words, and in how many of them each template term occurs, over all files.
-
-    What comes to the driver has one row per template term at most.
-    """
+def line_frequencies(files: DataFrame) -> DataFrame:
+    """(term, n): in how many lines of all files each term occurs; the empty term counts the lines with words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
         for part in parts:
+            counts: Counter[str] = Counter()
             for text in part.column("text"):
                 for line in (text.as_py() or "").split("\n"):
                     own = set(terms(line))
-                    counts[-1] += bool(own)
-                    counts.update([_PLACE[t] for t in own.intersection(_PLACE)])
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-    rows = files.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(len(VOCABULARY), np.int64)
-    lines = 0
-    for r in rows:
-        if r["term"] < 0:
-            lines = r["n"]
+                    if own:
+                        counts.update(own)
+                        counts[""] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    return files.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def passages(text: str | None) -> list[str]:
+    """The distinct stretches of ``text`` around markers, ``WIDEST`` terms to each side, whole lines at least."""
+    if not text or not _MARKER.search(text):
+        return []
+    edges = [m.span() for m in _TERM.finditer(text)]
+    starts = [a for a, _ in edges]
+    found: list[list[int]] = []
+    for m in _MARKER.finditer(text):
+        lo, hi = bisect_right(starts, m.start()) - 1, bisect_left(starts, m.end())
+        a = min(edges[max(0, lo - WIDEST)][0], text.rfind("\n", 0, m.start()) + 1)
+        line = text.find("\n", m.end())
+        b = max(edges[min(len(edges), hi + WIDEST) - 1][1], len(text) if line < 0 else line)
+        if found and a <= found[-1][1]:
+            found[-1][1] = max(b, found[-1][1])
         else:
-            found[r["term"]] = r["n"]
-    return lines, found
+            found.append([a, b])
+    return list(dict.fromkeys(text[a:b] for a, b in found))
 
 
 class Scanner:
-    """Best template of a text."""
-
-    def __init__(self, lines: int, found: np.ndarray):
-        self.idf = np.log((1 + lines) / (1 + found)) + 1
-        self.other = float(np.log(1 + lines) + 1)  # of a term outside the templates
-        self.rows = np.stack([self._vector(terms(text))[0] for _, text in TEMPLATES])
-
-    def _vector(self, words: list[str]) -> tuple[np.ndarray, float]:
-        vector, rest = np.zeros(len(VOCABULARY)), 0.0
-        for term, n in Counter(words).items():
-            at = _PLACE.get(term)
-            if at is None:
-                rest += (n * self.other) ** 2
-            else:
-                vector[at] = n * self.idf[at]
-        norm = float(np.sqrt(vector @ vector + rest)) or 1.0
-        return vector / norm, norm
-
-    def best(self, text: str | None) -> tuple[str | None, float]:
-        """(licence, cosine) of the closest notice; equal ones go to the first template."""
-        licence, score = None, 0.0
+    """Best template of a text, given the lines with words and in how many of them each term occurs."""
+
+    def __init__(self, lines: int, found: dict[str, int]):
+        self.lines, self.found = lines, found
+        self.templates = []
+        for own in _OWN:
+            weights = {t: n * self._idf(t, found) for t, n in Counter(own).items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            self.templates.append({t: w / norm for t, w in weights.items()})
+        self.by_length: dict[int, list[int]] = {}
+        for i, own in enumerate(_OWN):
+            self.by_length.setdefault(len(own), []).append(i)
+
+    def _idf(self, term: str, found: dict[str, int]) -> float:
+        return math.log((1 + self.lines) / (1 + found.get(term, 0))) + 1
+
+    def best(self, text: str | None, found: dict[str, int] | None = None) -> tuple[int, float]:
+        """(template, cosine) of the closest notice, -1 without one; equal ones go to the first template."""
+        top, score = -1, 0.0
         if not text or not _MARKER.search(text):
-            return licence, score
-        spans = [s for s in text.split("\n") if _MARKER.search(s)]
-        words = text.split()
-        for i in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
-            span = " ".join(words[i : i + STRETCH])
+            return top, score
+        found = self.found if found is None else found
+        for span in {*text.split("\n"), *_SENTENCE.split(text)}:
             if _MARKER.search(span):
-                spans.append(span)
-        for span in spans:
-            cosines = self.rows @ self._vector(terms(span))[0]
-            top = int(cosines.argmax())
-            if cosines[top] > score:
-                licence, score = TEMPLATES[top][0], float(cosines[top])
-        return (licence, score) if score >= LEAST_COSINE else (None, score)
+                own = {t: n * self._idf(t, found) for t, n in Counter(terms(span)).items()}
+                norm = math.sqrt(sum(w * w for w in own.values())) or 1.0
+                for i, template in enumerate(self.templates):
+                    cosine = sum(w * own.get(t, 0.0) for t, w in template.items()) / norm
+                    if cosine > score + 1e-12 or (cosine > score - 1e-12 and -1 < i < top):
+                        top, score = i, max(score, cosine)
+        low = text.lower()
+        spans = [m.span() for m in _TERM.finditer(low)]
+        words = [low[a:b] for a, b in spans]
+        starts = [a for a, _ in spans]
+        marked = np.zeros(len(words) + 1, np.int64)
+        for m in _MARKER.finditer(low):
+            marked[bisect_right(starts, m.start())] = 1
+        marked = np.cumsum(marked)
+        idf = np.array([self._idf(w, found) for w in words])
+        for length, picks in self.by_length.items():
+            n = len(words) - length + 1
+            if n < 1:
+                continue
+            has = marked[length:] > marked[:n]
+            norms = np.sqrt(_window_squares(words, idf, length))
+            for i in picks:
+                sums = np.concatenate(([0.0], np.cumsum([self.templates[i].get(w, 0.0) for w in words] * idf)))
+                cosines = np.where(has, (sums[length:] - sums[:n]) / norms, 0.0)
+                cosine = float(cosines.max())
+                if cosine > score + 1e-12 or (cosine > score - 1e-12 and i < top):
+                    top, score = i, max(score, cosine)
+        return top, min(score, 1.0)
+
+
+def _window_squares(words: list[str], idf: np.ndarray, length: int) -> np.ndarray:
+    """Squared norms of the TF-IDF vectors of all windows of ``length`` words."""
+    counts: Counter[str] = Counter()
+    total, out, square = 0.0, [], (idf * idf).tolist()
+    for i, word in enumerate(words):
+        total += (2 * counts[word] + 1) * square[i]
+        counts[word] += 1
+        if i >= length:
+            old = words[i - length]
+            counts[old] -= 1
+            total -= (2 * counts[old] + 1) * square[i - length]
+        if i >= length - 1:
+            out.append(total)
+    return np.array(out)
+
+
+def judged_passages(near: DataFrame, files: DataFrame) -> DataFrame:
+    """(passage, template, score) of every distinct passage of ``near`` (passage); frequencies over ``files``."""
+    frequencies = settle(line_frequencies(files))
+    vocabulary = sorted({t for own in _OWN for t in own} | {""})
+    known = {r["term"]: r["n"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
+    scanner = Scanner(known.pop("", 0), known)
+    distinct = near.select("passage").distinct()
+
+    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for text in part.column("passage").to_pylist():
+                own = sorted(set(terms(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([text] * len(own), pa.string()), pa.array(own, pa.string())], ["passage", "term"])
+
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column("passage").to_pylist()
+            found = [
+                scanner.best(text, {t["term"]: t["n"] for t in own})
+                for text, own in zip(texts, part.column("own").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("passage"), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], ["passage", "template", "score"])
+
+    counted = distinct.mapInArrow(split, "passage string, term string").join(frequencies, "term")
+    counted = counted.groupBy("passage").agg(F.collect_list(F.struct("term", "n")).alias("own"))
+    return counted.mapInArrow(judge, "passage string, template int, score double")
 
 
 def license_scan(files: DataFrame, *keep: str) -> DataFrame:
@@ -130,21 +204,29 @@ def license_scan(files: DataFrame, *keep: str) -> DataFrame:
     nothing; repeated rows are judged alike; an empty table gives no rows; other columns are left
     out.
     """
-    scanner = Scanner(*line_frequencies(files))
     names = ["path", *keep]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column("text").to_pylist()
             for a, b in batches_of(texts, lambda t: len(t or ""), 8 << 20):
-                found = [scanner.best(t) for t in texts[a:b]]
-                columns = [part.column(c).slice(a, b - a) for c in names]
-                columns += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "own_license", "score"])
+                columns = [part.column(c).slice(a, b - a) for c in [*names, "__row"]]
+                near = pa.array([passages(t) for t in texts[a:b]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*columns, near], [*names, "__row", "__near"])
 
     source = files.select(*names, "text")
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name in names)
-    rows = settle(source.mapInArrow(run, ddl + "own_license string, score double"))
+    source = source.withColumn("__row", F.monotonically_increasing_id())
+    rows = settle(source.mapInArrow(run, ddl + "__row long, __near array<string>"))
+    near = rows.select("__row", F.explode("__near").alias("passage"))
+    found = near.join(judged_passages(near, files), "passage")
+    found = found.groupBy("__row").agg(F.max(F.struct("score", (-F.col("template")).alias("at"))).alias("best"))
+    licence = F.element_at(F.array(*[F.lit(name) for name, _ in TEMPLATES]), 1 - F.col("best.at"))
+    own = F.when(F.col("best.score") >= LEAST_COSINE, licence)
+    rows = rows.drop("__near").join(found, "__row", "left").select(
+        *names, own.alias("own_license"), F.coalesce("best.score", F.lit(0.0)).alias("score")
+    )
+    rows = settle(rows)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     rows = rows.withColumn("dir", F.when(F.col("path").isNotNull(), folder))
     named = rows.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(_FILE) & F.col("own_license").isNotNull())
