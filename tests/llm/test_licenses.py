@@ -1,7 +1,49 @@
-"""The licence scan: document frequencies."""
+"""Licence notices in running text, against brute force over all windows."""
+
+import math
+import random
+from collections import Counter
 
 from faultfold.llm import licenses
 
+COMMON = [f"common{i}" for i in range(300)]
+
+
+def cosine(a, b, idf):
+    x, y = ({t: n * idf(t) for t, n in Counter(w).items()} for w in (a, b))
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y.get(t, 0.0) for t, v in x.items()) / norm if norm else 0.0
+
+
+def corpus():
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choices(COMMON, k=n))
+    notices = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0",
+               "This file is made available under the Mozilla Public License, version 2.0", "Distributed under the BSD 3-Clause License"]
+    files = [(f"d{i}/n.txt", f"{words(50)} {notice} {words(50)}") for i, notice in enumerate(notices)]
+    files += [(f"e/{i}.txt", "\n".join(words(12) for _ in range(40))) for i in range(30)]
+    return [*files, ("f/a.txt", f"{words(9)} licence {words(30)}\n\nlicense"), ("f/b.txt", None), ("f/c.txt", "")]
+
+
+def test_notices_within_long_lines(spark):
+    files = corpus()
+    lines = [set(licenses.terms(x)) for _, t in files for x in (t or "").split("\n") if licenses.terms(x)]
+    counts = Counter(t for own in lines for t in own)
+    idf = lambda t: math.log((1 + len(lines)) / (1 + counts[t])) + 1
+    found = {r["path"]: r for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [found[f"d{i}/n.txt"]["own_license"] for i in range(5)] == ["Apache-2.0", "MIT", "Apache-2.0", "MPL-2.0", "BSD-3-Clause"]
+    assert len(found) == len(files) and all(r["own_license"] is None for p, r in found.items() if p[0] != "d")
+    for path, text in files[:5]:
+        words = licenses.terms(text)
+        best = 0.0
+        for _, template in licenses.TEMPLATES:
+            own = licenses.terms(template)
+            for i in range(len(words) - len(own) + 1):
+                window = words[i : i + len(own)]
+                if any("licen" in w for w in window):
+                    best = max(best, cosine(window, own, idf))
+        assert math.isclose(found[path]["score"], best, rel_tol=1e-9)
+
 
 def test_frequencies_of_all_terms(spark):
     files = spark.createDataFrame([("a", "Is this it\nit is\n\n"), ("b", "is is licensed"), ("c", None)], "path string, text string")
