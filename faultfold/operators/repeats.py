@@ -41,6 +41,8 @@ _SIDE = [*_GROUP, "bucket", "content", "words"]
 _SLACK = 1e-9
 # A word of no more contents than this is compared pair by pair, one of more by class; both are exact.
 _RARE = 8
+# Candidates that a judge is shown at a time.
+BLOCK = 50
 
 
 def slim_candidates(reports: DataFrame) -> DataFrame:
@@ -430,7 +432,7 @@ def judged_scores(
     """Scores again by ``judge(incident, candidate)``, a model perhaps, in the Python workers.
 
     Only pairs that :func:`repeat_scores` found come here, one per incident and matching content,
-    with the compared fields. Follow with :func:`best_match` and :func:`valid_matches`.
+    with the compared fields; :func:`judged_repeats` shows the judge all candidates. Follow with :func:`best_match` and :func:`valid_matches`.
     """
     fields = ["operational_summary", "root_cause", "service_name", "business_impact"]
     new = incidents.select("incident_id", F.to_json(F.struct(*fields)).alias("_new"))
@@ -450,6 +452,83 @@ def judged_scores(
     return pairs.select(*kept, "_new", "_old").mapInPandas(ask, schema)
 
 
+def judged_repeats(
+    incidents: DataFrame,
+    reports: DataFrame,
+    judge: Callable[[dict, list[dict]], dict],
+    seconds: int = LOOKBACK_SECONDS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Verdicts of ``judge(incident, candidates)``, a model perhaps, on all candidates of every incident.
+
+    No word filter comes before: candidates are the whole look-back, handed over in blocks of at most
+    ``block`` neighbours by position. The judge answers with is_repetitive, matching_report_id and
+    reason; an id that is not among the block's candidates is no match. Of several blocks with a match
+    the newest report counts, then the greatest id. A failed call becomes data: ``error`` holds the
+    failure of some block, and the other blocks still count.
+
+    Columns: incident_id, report_id and report_created_at (null without a match), score (1.0 for a
+    match), reason, error. Incidents without candidates have no row. Rows with a report_id go into
+    :func:`repeat_decisions`.
+    """
+    fields = ["operational_summary", "root_cause", "service_name", "business_impact"]
+    new = incidents.select("incident_id", *_GROUP, F.to_json(F.struct(*fields)).alias("_new"))
+    number = lambda c: F.floor((F.col(c) - 1) / block).cast("bigint")
+    spans = candidate_ranges(incidents, reports, seconds).where("n_candidates > 0")
+    asks = new.join(spans, "incident_id").withColumn(
+        "_block", F.explode(F.sequence(number("first_position"), number("last_position")))
+    )
+    slim = slim_candidates(reports)
+    texts = slim.select("id", F.to_json(F.struct(*slim.columns)).alias("json"))
+    held = numbered_reports(reports).join(texts, "id").withColumn("_block", number("position"))
+    held = held.groupBy(*[F.col(c).alias(f"_{c}") for c in _GROUP], F.col("_block").alias("_held")).agg(
+        F.sort_array(F.collect_list(F.struct("position", "id", "json"))).alias("_old")
+    )
+    same = (F.col("_block") == F.col("_held")) & F.col("severity").eqNullSafe(F.col("_severity"))
+    pairs = asks.join(held, same & F.col("service_name").eqNullSafe(F.col("_service_name")))
+    inside = F.filter("_old", lambda c: c["position"].between(F.col("first_position"), F.col("last_position")))
+    pairs = pairs.select("incident_id", "_new", inside.alias("_old"))
+    pairs = pairs.select("incident_id", "_new", F.col("_old.json").alias("_json"), F.col("_old.id").alias("_ids"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, reasons, errors = [], [], []
+            for new_, old, ids in zip(batch["_new"], batch["_json"], batch["_ids"], strict=True):
+                match = reason = error = None
+                try:
+                    answer = judge(json.loads(new_), [json.loads(x) for x in old])
+                    reason = answer.get("reason")
+                    if answer.get("is_repetitive") and answer.get("matching_report_id") in list(ids):
+                        match = answer["matching_report_id"]
+                except Exception as failure:
+                    error = f"{type(failure).__name__}: {failure}"
+                found.append(match)
+                reasons.append(reason)
+                errors.append(error)
+            yield batch[["incident_id"]].assign(
+                report_id=pd.Series(found, index=batch.index, dtype="object"),
+                reason=pd.Series(reasons, index=batch.index, dtype="object"),
+                error=pd.Series(errors, index=batch.index, dtype="object"),
+            )
+
+    kinds = dict(incidents.dtypes)["incident_id"], dict(reports.dtypes)["id"]
+    schema = f"incident_id {kinds[0]}, report_id {kinds[1]}, reason string, error string"
+    # Settled, so that no later action asks the model again.
+    answers = settle(pairs.select("incident_id", "_new", "_json", "_ids").mapInPandas(ask, schema))
+    times = reports.select(F.col("id").alias("report_id"), F.col("created_at").alias("report_created_at"))
+    answers = answers.join(times, "report_id", "left")
+    rank = F.struct(F.col("report_id").isNotNull(), "report_created_at", "report_id", "reason").alias("r")
+    top = answers.groupBy("incident_id").agg(F.max(rank).alias("t"), F.max("error").alias("error"))
+    return top.select(
+        "incident_id",
+        F.col("t.report_id").alias("report_id"),
+        F.col("t.report_created_at").alias("report_created_at"),
+        F.when(F.col("t.report_id").isNotNull(), F.lit(1.0)).alias("score"),
+        F.col("t.reason").alias("reason"),
+        "error",
+    )
+
+
 def repeat_decisions(incidents: DataFrame, best: DataFrame) -> DataFrame:
     """increment an existing report, or insert a new one.
 
