@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultfold.llm.common import give_back
 from faultfold.session import work_dir
 
 #: About so many characters of text make a batch; it is what one task holds when ids are put in place.
@@ -155,7 +156,7 @@ _CUT = pa.schema(
 )
 
 
-def pre_tokens(docs: DataFrame, pattern: str, groups: int) -> DataFrame:
+def pre_tokens(docs: DataFrame, pattern: str, groups: int, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """One row per batch and one per share (``part``) of its distinct pre-tokens.
 
     The row of a batch (part null) has its doc_ids, the pre-tokens of each text (lengths), all their
@@ -194,11 +195,13 @@ def pre_tokens(docs: DataFrame, pattern: str, groups: int) -> DataFrame:
                 doc_ids.append(doc_id)
                 rows.append(table.cut(text))
                 chars += len(text)
-                if chars >= BATCH_CHARS:
+                if chars >= batch_chars:
                     yield flush(batch, table, doc_ids, rows)
                     batch, table, doc_ids, rows, chars = batch + 1, PreTokens(pattern), [], [], 0
         if rows:
             yield flush(batch, table, doc_ids, rows)
+        del table, rows
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "batch long, part long, doc_ids array<long>, lengths binary, data binary, numbers binary"
@@ -242,12 +245,15 @@ def byte_bpe(
     path: str | None = None,
     pattern: str | None = None,
     with_ids: bool = False,
+    batch_chars: int = BATCH_CHARS,
 ) -> DataFrame:
     """Encode every whole text of ``docs`` (doc_id, text) and decode the ids again.
 
     Columns: doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
     decoded_sha256 (of the decoded bytes) and, ``with_ids``, ids (array of int). ``path`` names the
-    rank file on every machine, ``pattern`` the expression that cuts texts.
+    rank file on every machine, ``pattern`` the expression that cuts texts. Texts are cut at single spaces
+    first, so a pattern has to start a match at a single space between two other characters, as the
+    default one does. ``batch_chars`` of text is what a task holds.
 
     Cases: a null text counts as empty and has no tokens; a null doc_id is passed on; repeated rows
     are encoded each; very long texts make a batch of their own; an empty table gives no rows; other
@@ -258,7 +264,7 @@ def byte_bpe(
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     groups = max(4, int(chars) // GROUP_CHARS)
     folder = work_dir(spark, "pre-tokens")
-    pre_tokens(docs, pattern, groups).write.option("compression", "none").parquet(folder)
+    pre_tokens(docs, pattern, groups, batch_chars).write.option("compression", "none").parquet(folder)
     cut = spark.read.parquet(folder)
     texts = cut.where("part is null").select("batch", "doc_ids", "lengths", "data", "numbers")
 
@@ -289,7 +295,10 @@ def byte_bpe(
         }
         if with_ids:
             out["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
-        return pa.table(out)
+        made = pa.table(out)
+        del positions, flat, all_ids
+        give_back()
+        return made
 
     ids = encode_words(cut, path, pattern)
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,3 +72,13 @@ def text_groups(docs: DataFrame, group_bytes: int, column: str = "text") -> int:
 
 def arrow_table(schema: pa.Schema, **columns) -> pa.Table:
     return pa.table({f.name: pa.array(columns[f.name], f.type) for f in schema}, schema=schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers are used again, and what one stage has freed but
+    still holds would count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

@@ -7,9 +7,10 @@ bit by bit.
 
 Distances of 64-bit fingerprints to any fixed references crowd around 32, so the coordinates alone
 cannot keep a large table from comparing everything with everything. The table is therefore cut into
-cells first: the fingerprint is cut into ``BLOCKS`` runs of bits, and two fingerprints that differ in
-at most ``radius`` bits agree in at least ``BLOCKS - radius`` runs. Each choice of that many runs is a
-cell key, so every linked pair meets in some cell, and only pairs of a cell reach the pivot tables.
+cells first: the fingerprint is cut into ``radius + 2`` runs of bits, and two fingerprints that differ
+in at most ``radius`` bits agree in at least two of them. Each choice of two runs is a cell key, so
+every linked pair meets in some cell, and only pairs of a cell reach the pivot tables. A cell that many
+fingerprints share is cut again by the bits that are left.
 
 A cell emits a spanning forest of its links, not the pairs: a fingerprint's row joins the component
 it is linked to once. Components of the forest are found by alternating label steps on Spark.
@@ -26,14 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultfold.llm.common import U64, batches_of
+from faultfold.llm.common import U64, give_back, mixed
 from faultfold.session import settle
 
 RADIUS = 4
 SHINGLE = 4
 BITS = 64
-#: Runs of bits; with radius 4, any pair within it agrees in two of the six.
-BLOCKS = 6
+#: The bits are cut into ``radius + AGREE`` runs; any pair within the radius agrees in two of them.
+AGREE = 2
+#: Fingerprints of a cell that is not cut again, and how often at most cells are cut.
+CELL_ROWS = 4_096
+CUTS = 4
+#: Rows of cells that one group works off.
+GROUP_ROWS = 150_000
 #: Reference fingerprints of a cell's pivot table.
 PIVOTS = 16
 
@@ -70,15 +76,19 @@ def fingerprints(docs: DataFrame, *keep: str, name: str = "fp") -> DataFrame:
             values = np.fromiter(map(fingerprint, part.column("text").to_pylist()), U64, part.num_rows)
             kept = [part.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(values.view(np.int64))], [*keep, name])
+        give_back()
 
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep]
     return source.mapInArrow(run, ", ".join([*fields, f"`{name}` long"]))
 
 
-def block_masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
-    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+def run_masks(free: int, runs: int, agree: int = AGREE) -> list[int]:
+    """Masks of every choice of ``agree`` runs, when the set bits of ``free`` are cut into ``runs``."""
+    places = [i for i in range(BITS) if free >> i & 1]
+    edges = [round(i * len(places) / runs) for i in range(runs + 1)]
+    cut = [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(pick) for pick in combinations(cut, agree)]
 
 
 def pivot_table(values: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -138,20 +148,61 @@ def cell_forest(values: np.ndarray, radius: int = RADIUS, pivots: int = PIVOTS)
     return links
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def cut_cells(rows: DataFrame, radius: int) -> DataFrame:
+    """The smaller cells of every row of ``rows`` (cell, free, fp, id), the same columns.
+
+    ``free`` has the bits in which members of a cell may differ. They are cut into ``radius + AGREE``
+    runs, and a fingerprint goes to the cell of each choice of ``AGREE``: two members within
+    ``radius`` agree in one of them.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            cell, free, fp = (part.column(c).to_numpy().view(U64) for c in ("cell", "free", "fp"))
+            for bits in np.unique(free).tolist():
+                at = np.flatnonzero(free == U64(bits))
+                own, kept = fp[at], pa.array(at)
+                for i, mask in enumerate(run_masks(bits, radius + AGREE)):
+                    named = mixed(mixed((own & U64(mask)) + U64(i + 1)) ^ cell[at])
+                    left = np.full(len(at), bits & ~mask, U64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(named.view(np.int64)), pa.array(left.view(np.int64)), part.column("fp").take(kept), part.column("id").take(kept)],
+                        ["cell", "free", "fp", "id"],
+                    )
+
+    return rows.select("cell", "free", "fp", "id").mapInArrow(run, "cell long, free long, fp long, id long")
+
+
+def cells(nodes: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, int]:
+    """Cells (cell, fp, id) of all fingerprints, and how many rows they have.
+
+    Cells of more than ``cell_rows`` rows are cut again, as long as bits are free: after ``CUTS`` cuts
+    about 13 are, so no cell has more than some 8,000 distinct fingerprints, however many texts one
+    template makes.
+    """
+    dealt = cut_cells(nodes.select(F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("free"), "fp", "id"), radius)
+    rows = nodes.count() * len(run_masks((1 << BITS) - 1, radius + AGREE))
+    done = []
+    for _ in range(CUTS - 1):
+        sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        hot = settle(sizes.where(F.col("n") > cell_rows).select("cell"))
+        if hot.isEmpty():
+            break
+        done.append(dealt.join(hot, "cell", "left_anti"))
+        dealt = settle(cut_cells(dealt.join(hot, "cell"), radius))
+        rows += dealt.count()
+    for part in done:
+        dealt = dealt.unionByName(part)
+    return dealt.select("cell", "fp", "id"), rows
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Spanning links (a, b), a < b, between the ids of ``nodes`` (fp, id), distinct in fp.
 
     All cells of a task are worked off together, so small cells cost no call each.
     """
-    masks = block_masks(radius + 2) if radius + 2 != BLOCKS else block_masks()
-    keys = [sum(masks[i] for i in pick) for pick in combinations(range(len(masks)), len(masks) - radius)]
-    signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-    cells = F.array(
-        *[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(k).cast("long"))) for i, k in enumerate(signed)]
-    )
-    # Cells that hold one fingerprint make no pair; counting them out first keeps them off the wire.
-    dealt = nodes.select(F.explode(cells).alias("cell"), "fp", "id")
-    groups = F.pmod(F.col("cell"), F.lit(_cell_groups(nodes)))
+    dealt, rows = cells(nodes, radius, cell_rows)
+    groups = F.pmod(F.col("cell"), F.lit(max(8, rows // GROUP_ROWS)))
 
     def run(table: pa.Table) -> pa.Table:
         cell = table.column("cell").to_numpy()
@@ -176,12 +227,6 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.distinct()
 
 
-def _cell_groups(nodes: DataFrame) -> int:
-    """Groups of cells: about 150,000 rows each, whatever the size of the table."""
-    rows = nodes.count() * len(list(combinations(range(BLOCKS), 2)))
-    return max(8, rows // 150_000)
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable, for every id of ``edges`` (a, b).
 
@@ -259,16 +304,21 @@ def simhash_components(docs: DataFrame, *keep: str, radius: int = RADIUS) -> Dat
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the row with the smallest doc_id.
+    """The rows of ``docs`` (doc_id, text and others) that stay: one of every component.
 
-    Rows without a doc_id stay when their component has no other; repeated rows stay once.
+    It is the row with the smallest doc_id, one without a doc_id only where the component has no
+    other; of rows that share it, the one with the smaller hash of its text. Rows that repeat doc_id
+    and text stay once. No name of a column of ``docs`` clashes with those used inside.
     """
-    names = docs.columns
-    found = simhash_components(docs, radius=radius)
-    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti")
-    lone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    named = stay.where("doc_id is not null").dropDuplicates(["doc_id"])
-    nameless = fingerprints(docs.where("doc_id is null"), *names, name="__fp")
-    nameless = nameless.join(lone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names)
-    return named.select(*names).union(nameless)
+    key = [F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.xxhash64("text").alias("__text")]
+    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key)
+    slim = settle(fingerprints(named.select("__none", "__id", "__text", "text"), "__none", "__id", "__text", name="fp"))
+    # A fingerprint is its own id here.
+    nodes = settle(slim.select("fp", F.col("fp").alias("id")).distinct())
+    found = components(links(nodes, radius))
+    placed = slim.withColumnRenamed("fp", "id").join(found, "id", "left")
+    best = placed.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct("__none", "__id", "__text")).alias("k"))
+    # The copies of a row are merged before the shuffle; the semi-join needs no other one.
+    once = named.dropDuplicates(["__none", "__id", "__text"])
+    stay = once.join(best.select("k.*"), ["__none", "__id", "__text"], "left_semi")
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

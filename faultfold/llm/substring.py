@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from faultfold.llm.common import U64, batches_of, inverse, mixed, powers, text_groups
+from faultfold.llm.common import U64, batches_of, give_back, inverse, mixed, powers, text_groups
 
 WINDOW = 50
 #: Words of a phrase; a window of 50 has 39 phrases of 12.
@@ -151,16 +152,16 @@ def windows_at(chunk: Chunk, at: np.ndarray, window: int = WINDOW, phrase: int =
 
 
 def _rows_of(left: pa.Table) -> pa.Table:
-    return left.sort_by([("d", "ascending"), ("tk", "ascending")])
+    return left.sort_by([("__d", "ascending"), ("__tk", "ascending")])
 
 
 def _copies_of(left: pa.Table, right: pa.Table) -> np.ndarray:
     """Which rows of a group are copies of a text of a smaller document."""
-    right = right.filter(right.column("kind").to_numpy() == 1)
-    known = set(zip(right.column("d").to_pylist(), right.column("tk").to_pylist(), strict=True))
+    right = right.filter(right.column("__kind").to_numpy() == 1)
+    known = set(zip(right.column("__d").to_pylist(), right.column("__tk").to_pylist(), strict=True))
     if not known:
         return np.zeros(left.num_rows, bool)
-    own = zip(left.column("d").to_pylist(), left.column("tk").to_pylist(), strict=True)
+    own = zip(left.column("__d").to_pylist(), left.column("__tk").to_pylist(), strict=True)
     return np.fromiter((x in known for x in own), bool, left.num_rows)
 
 
@@ -182,32 +183,34 @@ def substring_dedup(docs: DataFrame, *keep: str, window: int = WINDOW, with_text
     Cases: null and empty texts have no words; a null doc_id counts as larger than all others; rows
     that repeat a doc_id are judged each and never against one another; texts shorter than a window
     lose nothing; words longer than a chunk are one word; an empty table gives no rows; other
-    columns are left out.
+    columns are left out. ``keep`` may not name a column of the result.
     """
+    clash = {"doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"} & set(keep)
+    if clash:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     phrase = min(PHRASE, window)
     groups = text_groups(docs, GROUP_BYTES)
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
-    def group_of(column):
-        return F.pmod(F.xxhash64(column), F.lit(groups)).alias("g")
-
+    # By document and text, so that rows without a doc_id spread too.
+    group = F.pmod(F.xxhash64("__d", "__tk"), F.lit(groups)).alias("__g")
     texts = docs.select(
-        d.alias("d"), F.xxhash64("text").alias("tk"), "text", F.col("doc_id").cast("long").alias("doc_id"), *keep
+        d.alias("__d"), F.xxhash64("text").alias("__tk"), "text", F.col("doc_id").cast("long").alias("doc_id"), *keep
     )
-    texts = texts.select(group_of(F.col("d")), "*")
-    dealt = texts.groupBy("g")
+    texts = texts.select(group, "*")
+    dealt = texts.groupBy("__g")
 
     # Exact copies: rows whose whole text is also that of a smaller document.
     digest = docs.where("text is not null").select(
-        d.alias("d"), F.xxhash64("text").alias("tk"), F.md5(F.col("text").cast("binary")).alias("digest")
+        d.alias("__d"), F.xxhash64("text").alias("__tk"), F.md5(F.col("text").cast("binary")).alias("__digest")
     )
-    first = digest.groupBy("digest").agg(F.min("d").alias("first"))
-    copies = digest.join(first, "digest").where("d > first")
-    copies = copies.select(group_of(F.col("d")), F.lit(1).alias("kind"), "d", "tk").distinct()
+    first = digest.groupBy("__digest").agg(F.min("__d").alias("__first"))
+    copies = digest.join(first, "__digest").where("__d > __first")
+    copies = copies.select(group, F.lit(1).alias("__kind"), "__d", "__tk").distinct()
 
     def phrases(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _rows_of(left)
-        ids = left.column("d").to_numpy()
+        ids = left.column("__d").to_numpy()
         found = [(selected(c, window, phrase), c) for c in _chunks(left, right)]
         h = np.concatenate([x for (_, x), _ in found] + [np.empty(0, U64)]).view(np.int64)
         own = np.concatenate([ids[c.row[at]] for (at, _), c in found] + [np.empty(0, np.int64)])
@@ -215,20 +218,20 @@ def substring_dedup(docs: DataFrame, *keep: str, window: int = WINDOW, with_text
         h, own = h[order], own[order]
         heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
         tails = np.concatenate((heads[1:], [len(h)])) - 1 if len(h) else heads
-        g = left.column("g")[0].as_py() if left.num_rows else 0
+        g = left.column("__g")[0].as_py() if left.num_rows else 0
         return pa.table(
-            {"g": pa.array(np.full(len(heads), g)), "h": pa.array(h[heads]), "lo": pa.array(own[heads]), "hi": pa.array(own[tails])}
+            {"__g": pa.array(np.full(len(heads), g)), "__h": pa.array(h[heads]), "__lo": pa.array(own[heads]), "__hi": pa.array(own[tails])}
         )
 
-    made = dealt.cogroup(copies.groupBy("g")).applyInArrow(phrases, "g long, h long, lo long, hi long")
-    same = Window.partitionBy("h")
-    recurring = made.select("g", "h", F.min("lo").over(same).alias("lo"), F.max("hi").over(same).alias("hi"))
-    recurring = recurring.where("lo < hi").select("g", F.lit(0).alias("kind"), F.col("h").alias("d"), F.lit(0).cast("long").alias("tk"))
+    made = dealt.cogroup(copies.groupBy("__g")).applyInArrow(phrases, "__g long, __h long, __lo long, __hi long")
+    same = Window.partitionBy("__h")
+    recurring = made.select("__g", "__h", F.min("__lo").over(same).alias("__lo"), F.max("__hi").over(same).alias("__hi"))
+    recurring = recurring.where("__lo < __hi").select("__g", F.lit(0).alias("__kind"), F.col("__h").alias("__d"), F.lit(0).cast("long").alias("__tk"))
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _rows_of(left)
-        ids = left.column("d").to_numpy()
-        known = np.sort(right.filter(right.column("kind").to_numpy() == 0).column("d").to_numpy().view(U64))
+        ids = left.column("__d").to_numpy()
+        known = np.sort(right.filter(right.column("__kind").to_numpy() == 0).column("__d").to_numpy().view(U64))
         chunks = _chunks(left, right) if len(known) and left.num_rows else []
         shard: dict[int, str] = {}
         for c in chunks:
@@ -239,6 +242,7 @@ def substring_dedup(docs: DataFrame, *keep: str, window: int = WINDOW, with_text
                     stop = c.starts[i + phrase] if i + phrase < len(c.starts) else len(c.flat)
                     shard[key] = c.flat[c.starts[i] - 1 : stop].decode("latin-1")
         machine = automaton(shard)
+        g = left.column("__g")[0].as_py() if left.num_rows else 0
         out = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         for c in chunks:
             at = windows_at(c, occurrences(machine, c, phrase), window, phrase)
@@ -247,20 +251,25 @@ def substring_dedup(docs: DataFrame, *keep: str, window: int = WINDOW, with_text
                 out[1].append((rolling(c.hashes[1], window, _ROLL[1])[at] >> U64(32)).astype(np.uint32).view(np.int32))
                 out[2].append(ids[c.row[at]])
                 out[3].append(c.row[at].astype(np.int64) << 32 | c.place[at])
-        return pa.table({n: pa.array(np.concatenate(v)) for n, v in zip(("k1", "k2", "d", "at"), out, strict=True)})
+        made = pa.table({n: pa.array(np.concatenate(v)) for n, v in zip(("__k1", "__k2", "__d", "__at"), out, strict=True)})
+        del chunks, machine, shard, out
+        give_back()
+        return made.add_column(0, "__g", pa.array(np.full(made.num_rows, g)))
 
     hints = recurring.unionByName(copies)
-    windows = dealt.cogroup(hints.groupBy("g")).applyInArrow(locate, "k1 long, k2 int, d long, at long")
-    owner = F.min("d").over(Window.partitionBy("k1", "k2"))
-    later = windows.withColumn("owner", owner).where("owner < d")
-    gone = later.select(group_of(F.col("d")), F.lit(2).alias("kind"), "d", F.col("at").alias("tk"))
+    windows = dealt.cogroup(hints.groupBy("__g")).applyInArrow(locate, "__g long, __k1 long, __k2 int, __d long, __at long")
+    owner = F.min("__d").over(Window.partitionBy("__k1", "__k2"))
+    later = windows.withColumn("__owner", owner).where("__owner < __d")
+    gone = later.select("__g", F.lit(2).alias("__kind"), "__d", F.col("__at").alias("__tk"))
 
-    kept_fields = [texts.schema[c] for c in keep]
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
+    added += [StructField("kept_text", StringType())] * with_text
+    fields = StructType([StructField("doc_id", LongType()), *[texts.schema[c] for c in keep], *added])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         left = _rows_of(left)
         copy = _copies_of(left, right)
-        at = right.filter(right.column("kind").to_numpy() == 2).column("tk").to_numpy()
+        at = right.filter(right.column("__kind").to_numpy() == 2).column("__tk").to_numpy()
         at = np.sort(at)
         edges = np.searchsorted(at >> 32, np.arange(left.num_rows + 1))
         n_words, n_removed, digests, kept_texts = [], [], [], []
@@ -288,10 +297,9 @@ def substring_dedup(docs: DataFrame, *keep: str, window: int = WINDOW, with_text
         out |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
             out["kept_text"] = pa.array(kept_texts, pa.string())
-        return pa.table(out)
+        made = pa.table(out)
+        del left, kept_texts
+        give_back()
+        return made
 
-    kept_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept_fields)
-    return dealt.cogroup(gone.unionByName(copies).groupBy("g")).applyInArrow(
-        remove,
-        f"doc_id long, {kept_ddl}n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text,
-    )
+    return dealt.cogroup(gone.unionByName(copies).groupBy("__g")).applyInArrow(remove, fields)

@@ -98,6 +98,45 @@ def test_pivot_cells_lose_no_link():
                 assert root(i) == root(j)
 
 
+@pytest.mark.parametrize("cell_rows", [5, 40, 4096])
+def test_cut_cells_lose_no_link(spark, cell_rows):
+    """One template makes a hot cell: it is cut again and every link stays."""
+    rng = np.random.default_rng(4)
+    flips = rng.integers(0, 20, (700, 6)).astype(np.uint64)
+    values = np.unique(np.uint64(0x5A5A123400000000) ^ np.bitwise_or.reduce(np.uint64(1) << flips, axis=1))
+    nodes = [(int(v), i) for i, v in enumerate(values.view(np.int64))]
+    found = simhash.links(spark.createDataFrame(nodes, "fp long, id long"), 4, cell_rows).collect()
+    bits = np.bitwise_count(values[:, None] ^ values[None, :])
+    group = list(range(len(values)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for r in found:
+        assert bits[r["a"], r["b"]] <= 4
+        group[root(r["a"])] = root(r["b"])
+    for i, j in zip(*np.nonzero(bits <= 4), strict=True):
+        assert root(int(i)) == root(int(j))
+    cells, n = simhash.cells(spark.createDataFrame(nodes, "fp long, id long"), 4, cell_rows)
+    largest = max(r["count"] for r in cells.groupBy("cell").count().collect())
+    assert cells.count() <= n and (cell_rows > 5 or largest < len(values) / 3)
+
+
+def test_one_of_each(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    table = [(5, base, 1), (3, base, 2), (3, base, 3), (None, base, 4), (None, "alone here", 5), (None, "alone here", 6)]
+    table += [(9, None, 7), (8, "", 8), (4, "two texts", 9), (4, "one identity but another text", 10)]
+    names = "doc_id long, text string, __kept int, fp int, id int, component int, component_id int"
+    given = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in table], names)
+    kept = simhash.one_of_each(given)
+    assert kept.columns == given.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(3, base), (0, "alone here"), (8, ""), (4, "two texts"), (4, "one identity but another text")])
+    assert simhash.one_of_each(given.where("false")).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 95), (95, 93)], "a long, b long")
     want = {i: 0 for i in range(41)} | {90: 90, 95: 90, 93: 90}

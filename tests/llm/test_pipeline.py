@@ -133,3 +133,18 @@ def test_ids_are_those_of_the_whole_text(results):
 def test_run_gives_the_rows_of_the_last_stage(spark, folder, results):
     rows = corpus_pipeline.run(spark, str(folder[0])).collect()
     assert Counter(map(repr, rows)) == Counter(map(repr, results[5]))
+
+
+def test_clashing_columns_null_ids_and_empty_tables(spark, folder):
+    """Every stage returns the columns it was given, whatever they are called."""
+    path, _ = folder
+    docs = spark.read.parquet(str(path / "documents.parquet")).where("doc_id < 120 or doc_id > 650")
+    names = ["d", "g", "n_words", "kept_text", "size", "copies", "score", "fp", "id", "cell", "a column", "__others"]
+    extra = docs.selectExpr("if(doc_id = 50, null, doc_id) as doc_id", "text", "lang", "source", "n_chars", *[f"'x' as `{n}`" for n in names])
+    for given in (extra, extra.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, given, str(path))
+            assert made.columns == given.columns
+            assert {r["a column"] for r in made.collect()} <= {"x"}
+        last = corpus_pipeline.STAGES[-1][1](spark, given, str(path))
+        assert last.count() == given.count()
