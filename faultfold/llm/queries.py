@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultfold.llm import ann, bpe, licenses, mixing, quality, sharding, simhash, substring, toxicity, warc
+from faultfold.llm import (
+    ann,
+    bpe,
+    lexical,
+    licenses,
+    mixing,
+    multiindex,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+    warc,
+    whitening,
+)
 from faultfold.sources.tables import read_table
 
 
@@ -54,6 +68,18 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hash_tree_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,5 +93,8 @@ QUERIES = {
         op8_systematic_mix,
         op9_simhash_pivots,
         op10_hash_tree,
+        op11_feast_whitening,
+        op12_bloom_search,
+        op13_multi_index,
     )
 }
