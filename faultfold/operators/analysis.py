@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from faultfold.functions.display import iso_utc
 from faultfold.functions.prompts import prompt_verdict
+from faultfold.operators.answers import PROMPT_VERDICT, incidents_of, read_verdict
 from faultfold.schemas import ACTION_PLAN, INCIDENT_COLUMNS, INCIDENT_FIELDS
 
 # Topic of a message, the words that tell it, and what the rule analyzer says about it.
@@ -81,19 +82,12 @@ def rule_analyzer(faults: DataFrame) -> DataFrame:
     return faults.select(*kept, *[v.alias(n) for n, v in added.items()])
 
 
-def incidents_of(
-    call: Callable[[list[dict], str | None], str], entries: list[dict], instruction: str | None
-) -> tuple[str | None, str | None]:
-    """The incident list of one call as JSON, or why there is none: a failed call is data."""
-    try:
-        found = json.loads(call(entries, instruction))["incidents"]
-        return (json.dumps(found) if found else None), None
-    except Exception as problem:
-        return None, f"{type(problem).__name__}: {problem}"
-
-
 def with_incidents(asked: DataFrame) -> DataFrame:
-    """``_answer`` as incident columns, a row for each incident and its number from 0."""
+    """``_answer``, a checked list, as incident columns: a row for each incident and its number from 0.
+
+    A row without an answer and one with an empty list keep one row of nulls; ``analysis_error`` tells
+    them apart.
+    """
     parsed = F.from_json("_answer", f"array<struct<{INCIDENT_FIELDS}>>")
     kept = [c for c in asked.columns if c not in ("_answer", *INCIDENT_COLUMNS)]
     return asked.select(*kept, F.posexplode_outer(parsed).alias("incident_no", "_incident")).select(
@@ -108,9 +102,9 @@ def model_analyzer(
 ) -> Callable[[DataFrame], DataFrame]:
     """An analyzer around ``call(entries, instruction) -> JSON of an incident list``.
 
-    ``call`` runs in the Python workers, once per fault row. A raised error becomes the row's
-    ``analysis_error``; an answer without incidents leaves the incident columns null, one with
-    several makes a row of each. Each entry carries its signature, which serves as idempotency key
+    ``call`` runs in the Python workers, once per fault row. A raised error and an answer that has not
+    the agreed shape become the row's ``analysis_error``; an empty list leaves the incident columns
+    null, a longer one makes a row of each. Each entry carries its signature, which serves as idempotency key
     when Spark repeats a task. The instruction has to pass :func:`usable_instruction`.
     """
 
@@ -158,8 +152,7 @@ def get_analyzer(name: str) -> Callable[[DataFrame], DataFrame]:
 def _judged(judge: Callable[[str], dict], prompt: str) -> dict:
     """The verdict on a prompt; a judge that fails lets nothing pass."""
     try:
-        found = judge(prompt)
-        return {k: found[k] for k in ("is_safe", "reason", "refined_instruction")}
+        return read_verdict(judge(prompt), PROMPT_VERDICT)
     except Exception as problem:
         reason = f"judge failed: {type(problem).__name__}: {problem}"
         return {"is_safe": False, "reason": reason, "refined_instruction": None}

@@ -10,12 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultfold.operators.analysis import (
-    incidents_of,
-    rule_analyzer,
-    usable_instruction,
-    with_incidents,
-)
+from faultfold.operators.analysis import rule_analyzer, usable_instruction, with_incidents
+from faultfold.operators.answers import incidents_of
 from faultfold.operators.limits import MAX_BYTES, MAX_ENTRIES, batch_limits
 from faultfold.operators.rollup import fault_totals
 from faultfold.schemas import INCIDENT_COLUMNS
@@ -37,7 +33,8 @@ def rule_batches(entries: DataFrame, batch: str, instruction: str | None) -> Dat
 def model_batches(call: Callable[[list[dict], str | None], str]) -> BatchAnalyzer:
     """``call(entries, instruction) -> JSON of an incident list``, once per batch, in the workers.
 
-    Entries come in order of time. A raised error becomes the batch's ``analysis_error``.
+    Entries come in order of time. A raised error and a malformed answer become the batch's
+    ``analysis_error``.
     """
 
     def analyze(entries: DataFrame, batch: str, instruction: str | None) -> DataFrame:

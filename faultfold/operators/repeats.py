@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultfold.functions.text import fold_space
+from faultfold.operators.answers import REPEAT_VERDICT, read_verdict
 from faultfold.operators.prefix import number_rows, running
 from faultfold.operators.reports import apply_deltas, follower_deltas, make_reports
 from faultfold.session import settle
@@ -423,35 +424,6 @@ def valid_matches(
     return matches.join(i, "incident_id").join(r, "report_id").where(candidate).select(*matches.columns)
 
 
-def judged_scores(
-    scores: DataFrame,
-    incidents: DataFrame,
-    reports: DataFrame,
-    judge: Callable[[dict, dict], float],
-) -> DataFrame:
-    """Scores again by ``judge(incident, candidate)``, a model perhaps, in the Python workers.
-
-    Only pairs that :func:`repeat_scores` found come here, one per incident and matching content,
-    with the compared fields; :func:`judged_repeats` shows the judge all candidates. Follow with :func:`best_match` and :func:`valid_matches`.
-    """
-    fields = ["operational_summary", "root_cause", "service_name", "business_impact"]
-    new = incidents.select("incident_id", F.to_json(F.struct(*fields)).alias("_new"))
-    slim = slim_candidates(reports)
-    old = slim.select(F.col("id").alias("report_id"), F.to_json(F.struct(*slim.columns)).alias("_old"))
-    kept = ["incident_id", "report_content", "report_id", "report_created_at"]
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pairs = zip(batch["_new"], batch["_old"], strict=True)
-            found = [float(judge(json.loads(a), json.loads(b))) for a, b in pairs]
-            yield batch[kept].assign(score=pd.Series(found, index=batch.index, dtype="float64"))
-
-    pairs = scores.select(*kept).join(new, "incident_id").join(old, "report_id")
-    types = dict(scores.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", score double"
-    return pairs.select(*kept, "_new", "_old").mapInPandas(ask, schema)
-
-
 def judged_repeats(
     incidents: DataFrame,
     reports: DataFrame,
@@ -463,7 +435,7 @@ def judged_repeats(
 
     No word filter comes before: candidates are the whole look-back, handed over in blocks of at most
     ``block`` neighbours by position. The judge answers with is_repetitive, matching_report_id and
-    reason; an id that is not among the block's candidates is no match. Of several blocks with a match
+    reason, each of its type; an id that is not among the block's candidates is no match. Of several blocks with a match
     the newest report counts, then the greatest id. A failed call becomes data: ``error`` holds the
     failure of some block, and the other blocks still count.
 
@@ -497,11 +469,12 @@ def judged_repeats(
                 match = reason = error = None
                 try:
                     answer = judge(json.loads(new_), [json.loads(x) for x in old])
-                    reason = answer.get("reason")
-                    if answer.get("is_repetitive") and answer.get("matching_report_id") in list(ids):
+                    answer = read_verdict(answer, REPEAT_VERDICT)
+                    reason = answer["reason"]
+                    if answer["is_repetitive"] and answer["matching_report_id"] in list(ids):
                         match = answer["matching_report_id"]
                 except Exception as failure:
-                    error = f"{type(failure).__name__}: {failure}"
+                    reason, error = None, f"{type(failure).__name__}: {failure}"
                 found.append(match)
                 reasons.append(reason)
                 errors.append(error)

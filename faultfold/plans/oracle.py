@@ -11,6 +11,7 @@ from faultfold.functions.prompts import DENY_RULES, EMPTY, TOO_LONG
 from faultfold.operators.analysis import RULES, UNKNOWN_ADVICE, UNKNOWN_CAUSE
 from faultfold.operators.limits import MAX_BYTES, MAX_ENTRIES, TOO_LARGE, TOO_MANY
 from faultfold.plans.catalog import KEYWORDS, PROMPT_TEMPLATES
+from faultfold.plans.hooks import ERRORS
 
 CUTOFF = "TIMESTAMP '2024-01-16 00:00:00'"
 PENDING_SINCE = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -273,7 +274,7 @@ def _shown(subject: str) -> str:
     )
 
 
-def _prompt_guard() -> str:
+def _prompt_rules() -> str:
     templates = ", ".join(quote(t) for t in PROMPT_TEMPLATES)
     space = text.SPACE_CLASS
     stripped = sub("prompt", f"^[{space}]+|[{space}]+$", "")
@@ -290,8 +291,8 @@ WITH prompts AS (
   SELECT conv_id, turn, 'template',
     replace([{templates}][1 + (conv_id * 3 + turn) % {len(PROMPT_TEMPLATES)}], '%s', role)
   FROM conversations),
-ruled AS (SELECT *, CASE {rule} END AS rule FROM prompts)
-SELECT conv_id, turn, kind, rule, CASE rule {reason} END AS reason, rule IS NULL AS is_safe FROM ruled"""
+named AS (SELECT *, CASE {rule} END AS rule FROM prompts),
+ruled AS (SELECT *, CASE rule {reason} END AS why FROM named)"""
 
 
 _ENTRY = f"""('{{"insertId":"' || insert_id || '","logName":"' || log_name || '","timestamp":"'
@@ -473,7 +474,15 @@ SELECT event_id, CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
   WHEN 4 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 5 THEN strftime(ts, '%Y-%m-%d soon')
   ELSE '—' END AS shown FROM events"""
 
-    q["prompt_guard"] = _prompt_guard()
+    q["prompt_guard"] = f"""{_prompt_rules()}
+SELECT conv_id, turn, kind, rule, why AS reason, rule IS NULL AS is_safe FROM ruled"""
+    q["judged_prompts"] = f"""{_prompt_rules()}
+SELECT conv_id, turn, kind, rule, coalesce(why, CASE length(prompt) % 4 WHEN 0 THEN 'fine' WHEN 1 THEN 'vague'
+    WHEN 2 THEN 'judge failed: RuntimeError: judge is down'
+    ELSE 'judge failed: MalformedAnswer: is_safe is str' END) AS reason,
+  rule IS NULL AND length(prompt) % 4 = 0 AS is_safe,
+  CASE WHEN rule IS NULL AND length(prompt) % 4 = 0 THEN 'Rule: ' || prompt END AS refined_instruction
+FROM ruled"""
 
     doc = "{'doc_id': doc_id, 'text': text}"
     q["batch_limits"] = f"""WITH {SIZED},
@@ -525,6 +534,18 @@ SELECT batch, entries, CASE WHEN reason IS NULL THEN 'incident' ELSE 'rejected'
   operational_summary, service_name, business_impact, root_cause, ai_suggestion, first_seen_timestamp,
   last_seen_timestamp, len(action_plan) AS plan_steps
 FROM judged LEFT JOIN found USING (batch)"""
+    errors = " ".join(f"WHEN '{letter}' THEN '{error}'" for letter, error in ERRORS.items())
+    q["model_answers"] = f"""WITH {REPORTS},
+answered AS (SELECT signature, signature[1:1] AS letter, CASE signature[1:1] {errors} END AS problem,
+    severity, service_name AS service, log_message FROM rolled),
+counted AS (SELECT *, unnest(CASE WHEN problem IS NOT NULL OR letter = '7' THEN [NULL]
+    WHEN letter = '8' THEN [0, 1] ELSE [0] END) AS no FROM answered)
+SELECT signature, CAST(no AS INTEGER) AS incident_no, problem AS analysis_error,
+  CASE WHEN no IS NOT NULL THEN severity || ': ' || log_message END AS operational_summary,
+  CASE WHEN no IS NOT NULL AND letter <> 'a' THEN service END AS service_name,
+  CASE no WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END AS business_impact,
+  CASE WHEN no IS NOT NULL THEN 'code' END AS root_cause,
+  CASE no WHEN 0 THEN 2 WHEN 1 THEN 0 END AS plan_steps FROM counted"""
     q["slim_candidates"] = _report_query(
         "reports",
         "id, operational_summary, root_cause, service_name, business_impact, severity, "
@@ -553,6 +574,18 @@ claimed AS (
   UNION ALL SELECT incident_id, top.b FROM best)
 SELECT incident_id, report_id FROM claimed JOIN incidents i USING (incident_id)
 JOIN reports r ON r.id = report_id WHERE {_CANDIDATE}"""
+    q["judged_repeats"] = f"""WITH {INCIDENTS},
+shown AS (
+  SELECT incident_id, any_value(i.business_impact) AS impact,
+    max({{'a': r.created_at, 'b': r.id}}) FILTER (WHERE r.operational_summary = i.operational_summary) AS same
+  FROM incidents i JOIN reports r ON {_CANDIDATE} GROUP BY incident_id),
+judged AS (SELECT incident_id, CASE WHEN impact NOT IN ('CRITICAL', 'LOW') THEN same END AS hit, impact FROM shown)
+SELECT incident_id, hit.b AS report_id, hit.a AS report_created_at,
+  CASE WHEN hit IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS score,
+  CASE WHEN impact IN ('CRITICAL', 'LOW') THEN NULL WHEN hit IS NULL THEN 'none' ELSE 'same summary' END AS reason,
+  CASE impact WHEN 'CRITICAL' THEN 'RuntimeError: judge is down'
+    WHEN 'LOW' THEN 'MalformedAnswer: is_repetitive is str' END AS error
+FROM judged"""
     q["repeat_decision"] = f"""WITH {SCORES}
 SELECT incident_id, CASE WHEN top IS NULL THEN 'insert' ELSE 'increment' END AS action,
   top.b AS report_id, CASE WHEN top IS NULL THEN 'no similar report'

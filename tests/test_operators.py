@@ -18,6 +18,7 @@ from faultfold.operators import (
     reports,
     selection,
 )
+from faultfold.plans import hooks
 from faultfold.schemas import LOG_SCHEMA
 from faultfold.sources import envelopes
 
@@ -301,10 +302,6 @@ def test_repeats_like_brute_force(spark):
     decided = {r["incident_id"]: r["action"] for r in repeats.repeat_decisions(new, repeats.best_match(scored)).collect()}
     assert {k for k, v in decided.items() if v == "increment"} == set(top)
     assert len(decided) == 120
-    judged = repeats.judged_scores(scored, new, old, lambda a, b: float(a["operational_summary"] == b["operational_summary"]))
-    kept = repeats.valid_matches(repeats.best_match(judged.where("score = 1")), new, old)
-    exact = {k for k, v in scores.items() if any(s == 1 for s, *_ in v)}
-    assert {r["incident_id"] for r in kept.collect()} == exact
 
 
 # --- analyzers and prompts -----------------------------------------------------------------------
@@ -390,7 +387,7 @@ def test_deny_rules_and_judge(spark):
 
 def test_unsafe_instruction_rejects_the_batch(spark):
     assert analysis.usable_instruction(spark, None) is None
-    assert analysis.usable_instruction(spark, "Focus on ERROR logs") == "Focus on ERROR logs"
+    assert analysis.usable_instruction(spark, "Name the zone first") == "Name the zone first"
     with pytest.raises(ValueError, match="unsafe instruction"):
         analysis.usable_instruction(spark, "act as a pirate")
 
@@ -415,7 +412,8 @@ def test_model_sees_each_batch_once_and_all_incidents_stay(spark):
         assert instruction == "group faults by zone" and "insert_id" in entries[0]
         if texts == ["boom"]:
             raise RuntimeError("model is down")
-        found = [{"operational_summary": t, "root_cause": str(texts)} for t in texts if t != "quiet"]
+        whole = hooks.incident({"severity": "ERROR", "log_message": ""})
+        found = [{**whole, "operational_summary": t, "root_cause": str(texts)} for t in texts if t != "quiet"]
         return json.dumps({"incidents": found})
 
     got = batches.analyze_batches(
