@@ -43,8 +43,8 @@ MOST_CENTRES = 1024
 TARGET = 0.995
 PROBES = 512
 MOST_CELLS = 64
-#: A cell of more nodes than this is condensed, around so many leaders a round.
-CROWD = 64
+#: A cell of more nodes than this, twice the average, is condensed, around so many leaders a round.
+CROWD = 512
 LEADERS = 8
 CONDENSINGS = 3
 #: Members of a cell that one group holds, and rows of small cells that share a group.
@@ -73,6 +73,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             ends = np.cumsum(np.diff(column.offsets.to_numpy())).tolist()
             packed = [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "v"])
+        give_back()
 
     return rows.mapInArrow(run, "id long, v binary")
 
@@ -195,6 +196,7 @@ def cells_for_target(classes: DataFrame, grid: Grid, least: float, target: float
                 for i in np.flatnonzero(linked.any(axis=1)).tolist():
                     at = np.minimum(grid.ranks(probes[i], homes[linked[i]]), most)
                     count[i] += np.bincount(at, minlength=most + 1)
+        give_back()
         probe, rank = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(rank), pa.array(count[probe, rank])], ["probe", "rank", "n"])
 
@@ -335,6 +337,7 @@ def meetings(nodes: DataFrame, grid: Grid, least: float, alpha: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([*rest, home, home, path], names)
                 for k in range(visits.shape[1]):
                     yield pa.RecordBatch.from_arrays([*rest, home, pa.array(visits[:, k]), none], names)
+        give_back()
 
     sizes = nodes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     travelled = nodes.mapInArrow(travel, "id long, v binary, w long, r double, home long, cell long, visits binary")
@@ -382,6 +385,8 @@ def meetings(nodes: DataFrame, grid: Grid, least: float, alpha: float) -> DataFr
                 look.append((ids[from_[~sure]], ids[to[~sure]]))
                 if sum(len(x) for x, _ in links) > 500_000:
                     links = [merged(links)]
+        del units
+        give_back()
         a, b = merged(links)
         c, d = (np.concatenate(x) for x in zip(*look, strict=True))
         kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(total), len(a), len(c)])

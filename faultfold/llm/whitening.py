@@ -32,6 +32,8 @@ COMPONENTS = 16
 SLICE = 8
 NODES = 8
 MOST_ROUNDS = 40
+#: Tasks that add the sums of all others.
+SUMS = 16
 #: Eigenvalues below this share of the largest count as zero; there is nothing to divide by.
 LEAST_SHARE = 1e-12
 _WIDTHS = ("<i1", "<i2", "<i4", "<i8")
@@ -84,9 +86,12 @@ def whole(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, dim int, x binary")
 
 
-def added_up(rows: DataFrame, dim: int, size: int, terms) -> np.ndarray:
-    """The sum over all rows of what ``terms(matrix)`` makes of a batch: ``size`` numbers per task are
-    added on Spark, and ``size`` numbers reach the driver."""
+def added_up(rows: DataFrame, dim: int, terms) -> np.ndarray:
+    """The sum over all rows of what ``terms(matrix)`` makes of a batch.
+
+    Each task has one vector of sums. ``SUMS`` tasks add those of all others, and the driver adds theirs.
+    """
+    kind = terms(np.zeros((1, dim), np.int64)).dtype
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -95,21 +100,26 @@ def added_up(rows: DataFrame, dim: int, size: int, terms) -> np.ndarray:
                 own = terms(unpack(part.column("x").slice(a, 4096).to_pylist(), dim))
                 total = own if total is None else total + own
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    kind = "long" if np.issubdtype(terms(np.zeros((1, dim), np.int64)).dtype, np.integer) else "double"
-    found = rows.select("x").mapInArrow(run, f"k long, v {kind}").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(size, np.int64 if kind == "long" else np.float64)
-    for r in found:
-        out[r["k"]] = r["v"]
-    return out
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in parts:
+            for x in part.column("sums"):
+                own = np.frombuffer(x.as_py(), kind)
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    found = rows.select("x").mapInArrow(run, "sums binary").repartition(SUMS).mapInArrow(add, "sums binary").collect()
+    return sum(np.frombuffer(bytes(r["sums"]), kind) for r in found)
 
 
 def covariance(rows: DataFrame, dim: int, n: int, change=None) -> tuple[np.ndarray, np.ndarray]:
     """(sums, covariance) of the rows after ``change``, centred before multiplying, divisor ``n``."""
     change = change or (lambda x: x)
     size = change(np.zeros((1, dim), np.int64)).shape[1]
-    sums = added_up(rows, dim, size, lambda x: change(x).sum(axis=0))
+    sums = added_up(rows, dim, lambda x: change(x).sum(axis=0))
     upper = np.triu_indices(size)
     mean = sums / n
 
@@ -117,7 +127,7 @@ def covariance(rows: DataFrame, dim: int, n: int, change=None) -> tuple[np.ndarr
         centred = change(x) - mean
         return (centred.T @ centred)[upper]
 
-    flat = added_up(rows, dim, len(upper[0]), second) / n
+    flat = added_up(rows, dim, second) / n
     v = np.zeros((size, size))
     v[upper] = flat
     return sums, v + np.triu(v, 1).T
