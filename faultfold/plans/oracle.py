@@ -610,6 +610,10 @@ WHERE report_id IS NULL AND new_id NOT IN (SELECT id FROM reports)"""
     q["stream_counts"] = f"WITH {REPORTS} SELECT signature, incident_count, first_seen, last_seen FROM rolled"
     q["stream_claims"] = _report_query(
         "reports", "signature, 'ready' AS status, incident_count AS count, id AS report_id")
+    gone = " ".join(f"WHEN '{letter}' THEN '{error}'" for letter, error in ERRORS.items())
+    q["stream_answers"] = f"""WITH {SIGNED},
+judged AS (SELECT insert_id, CASE signature[1:1] {gone} END AS reason FROM signed)
+SELECT insert_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'DEAD' END AS status, reason FROM judged"""
     q["stream_reports"] = _report_query(
         "reports",
         "id, signature, incident_count, last_seen_timestamp, last_insert_id, severity, service_name, "

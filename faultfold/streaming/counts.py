@@ -1,10 +1,8 @@
 """Each entry once, and occurrences per signature as they arrive.
 
-The insert ids seen so far lie in a table by day of the entry, not in the state of the stream: a
-watermark would have to drop what arrives late, and without one the state would grow for ever. A
-redelivered entry keeps its time, so a micro-batch reads the days of its own entries only, in
-whatever order they come. Folders are ``event_date/run/batch``; a repeated micro-batch does not look
-at its own folders and writes them again, and a new checkpoint is a new run.
+The insert ids seen so far lie in a :class:`BatchTable` by day of the entry, not in the state of the
+stream: a watermark would have to drop what arrives late. A redelivered entry keeps its time, so a
+micro-batch reads the folders with days of its own entries only, in whatever order they come.
 """
 
 from __future__ import annotations
@@ -13,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultfold.operators.rollup import with_signature
-from faultfold.streaming.events import ONCE, ingest, on_days
+from faultfold.streaming.events import ONCE, ingest, run_of, unseen
+from faultfold.streaming.stored import BatchTable
 
-_PLACE = ["event_date", "run", "batch"]
-_PLACE_SCHEMA = "event_date date, run string, batch bigint"
 COUNTS_SCHEMA = "signature string, incident_count bigint, first_seen timestamp, last_seen timestamp"
 
 
@@ -24,39 +21,20 @@ def _schema(rows: DataFrame) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
 
 
-def _run_of(spark: SparkSession) -> str:
-    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-
-
-def _replace(rows: DataFrame, path: str, place: list[str]) -> None:
-    """Write ``rows`` over the folders they belong to, and over no others."""
-    writer = rows.write.partitionBy(*place).mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+def _seen(spark: SparkSession, path: str, rows: DataFrame) -> BatchTable:
+    return BatchTable(spark, path, f"{_schema(rows)}, event_date date", day="event_date")
 
 
 def keep_new(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
     """The entries of a micro-batch not seen before, each insert id once, as stored under ``path``.
 
-    Needs insert_id and ts. An entry without a time belongs to the day ``null``.
+    Needs insert_id and ts. An entry without a time belongs to the day ``null``. A repeated batch
+    gives what it gave before.
     """
     spark = batch.sparkSession
-    schema = f"{_schema(batch)}, {_PLACE_SCHEMA}"
-    run = _run_of(spark)
-    spark.createDataFrame([], schema).write.partitionBy(*_PLACE).mode("append").parquet(path)
-    own = (F.col("run") == run) & (F.col("batch") == batch_id)
-
-    once = batch.dropDuplicates(["insert_id"]).withColumn("event_date", F.to_date("ts")).persist()
-    try:
-        # As many values as calendar days, however many rows.
-        days = [r[0] for r in once.select("event_date").distinct().collect()]
-        seen = spark.read.schema(schema).parquet(path).where(on_days(days) & ~own)
-        fresh = once.join(seen.select("insert_id"), "insert_id", "left_anti").select(*once.columns)
-        placed = fresh.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("bigint")})
-        # One file a day and batch, several for a large day.
-        _replace(placed.hint("rebalance", "event_date"), path, _PLACE)
-    finally:
-        once.unpersist()
-    return spark.read.schema(schema).parquet(path).where(on_days(days) & own).select(*batch.columns)
+    table = _seen(spark, path, batch)
+    rows, _ = unseen(table, batch, run_of(spark), batch_id)
+    return rows.select(*batch.columns)
 
 
 def start_deduplicated(entries: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
@@ -75,8 +53,19 @@ def start_deduplicated(entries: DataFrame, out: str, checkpoint: str, trigger: d
 
 def read_deduplicated(spark: SparkSession, out: str, entries: DataFrame) -> DataFrame:
     """What :func:`start_deduplicated` wrote for the stream ``entries``."""
-    stored = spark.read.schema(f"{_schema(entries)}, {_PLACE_SCHEMA}").parquet(out)
-    return stored.select(*entries.columns)
+    return _seen(spark, out, entries).read().select(*entries.columns)
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("signature").agg(
+        F.sum("incident_count").alias("incident_count"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+    )
+
+
+def _counts(spark: SparkSession, out: str) -> BatchTable:
+    return BatchTable(spark, f"{out}/counts", COUNTS_SCHEMA, fold=_added_up)
 
 
 def start_counts(
@@ -91,9 +80,8 @@ def start_counts(
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),
         )
-        run = _run_of(batch.sparkSession)
-        placed = added.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("bigint")})
-        _replace(placed, f"{out}/counts", ["run", "batch"])
+        spark = batch.sparkSession
+        _counts(spark, out).append(added, run_of(spark), batch_id)
 
     return (
         signed.writeStream.foreachBatch(save)
@@ -105,9 +93,4 @@ def start_counts(
 
 def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     """Occurrences, first and last sighting per signature over all batches so far."""
-    added = spark.read.schema(f"{COUNTS_SCHEMA}, run string, batch bigint").parquet(f"{out}/counts")
-    return added.groupBy("signature").agg(
-        F.sum("incident_count").alias("incident_count"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-    )
+    return _added_up(_counts(spark, out).read())

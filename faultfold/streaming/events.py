@@ -1,33 +1,30 @@
-"""The event path as a Structured Streaming query.
+"""The event path as two Structured Streaming queries.
 
-One micro-batch decodes deliveries, drops what was processed before, lets one entry per new
-signature be analysed, counts the rest, and writes what changed. Results are append-only tables
-with one folder per micro-batch, ``<root>/<table>/batch=<id>``: a repeated batch overwrites its own
-folders, and readers look only at committed batches, so every event counts exactly once.
+*Intake* decodes deliveries, keeps each insert id once (a table by day, behind a manifest) and writes one
+fault per signature and batch. *Triage* follows the faults with keyed state (:mod:`.state`): it lets the
+first of a signature be analysed, counts the rest, and tries failed analyses again by timers. What it
+decides goes to a table of outcomes; reports, signatures, ledger and dead letters are views of it.
+
+Both write behind manifests and know a batch that Spark repeats; faults that are delivered twice are
+known by their number. So every event counts exactly once, and a batch costs what it brings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultfold.functions.fingerprint import report_id
 from faultfold.functions.jsontext import compact_json, escaped_bytes
 from faultfold.operators import claims, reports, rollup
-from faultfold.operators.analysis import rule_analyzer
-from faultfold.operators.deadletters import DEAD_LETTER, MAX_ATTEMPTS, RETRY, retained, with_route
-from faultfold.operators.limits import MAX_BYTES
+from faultfold.operators.analysis import rule_analyzer, usable_instruction
+from faultfold.operators.deadletters import retained
 from faultfold.operators.selection import exportable
-from faultfold.schemas import (
-    DEAD_LETTER_SCHEMA,
-    INCIDENT_FIELDS,
-    LEDGER_SCHEMA,
-    REPORT_SCHEMA,
-)
+from faultfold.schemas import DEAD_LETTER_SCHEMA, INCIDENT_COLUMNS, INCIDENT_FIELDS
 from faultfold.sources.envelopes import decode, good
+from faultfold.streaming import state
+from faultfold.streaming.stored import BatchTable
 
 # The default trigger: everything available, then stop. ``{"processingTime": "10 seconds"}`` and the
 # like keep a stream on.
@@ -35,310 +32,282 @@ ONCE = {"availableNow": True}
 
 ENTRY_SCHEMA = (
     "insert_id string, ts timestamp, severity string, service_name string, log_message string, "
-    "signature string, attempts int"
+    "signature string, seq bigint"
 )
-FAULT_SCHEMA = (
-    "signature string, severity string, log_message string, "
-    "incident_count bigint, first_seen timestamp, last_seen timestamp, first_insert_id string, "
-    "last_insert_id string"
+FAULT_SCHEMA = f"signature string, {state.FAULT}"
+OUTCOME_SCHEMA = (
+    f"{state.OUTCOME.replace('incidents string, ', '')}, {INCIDENT_FIELDS.replace('service_name', 'incident_service')}, "
+    "at timestamp"
 )
-
-# Outcome of a signature group inside one micro-batch.
-FOLLOWS, REPORTED, NOTHING, REJECTED, ERROR = "follows", "reported", "nothing", "rejected", "error"
-
-TABLES = {
-    "arrivals": f"{ENTRY_SCHEMA}, raw string, reason string",
-    "accepted": ENTRY_SCHEMA,
-    "analysis": f"{FAULT_SCHEMA}, {INCIDENT_FIELDS}, report_id string, outcome string, problem string",
-    "reports": REPORT_SCHEMA,
-    "followers": "report_id string, more bigint, last_seen timestamp, last_insert_id string",
-    "ledger": f"{LEDGER_SCHEMA}, event_date date",
-    "retries": ENTRY_SCHEMA,
-    "dead_letters": DEAD_LETTER_SCHEMA,
-    "commits": "entries bigint",
-    "streams": "stream string, base bigint",
-}
-
-
-def prepare_state(spark: SparkSession, root: str) -> None:
-    """Make the tables, empty, where they do not exist yet."""
-    for name, schema in TABLES.items():
-        try:
-            spark.read.schema(schema).parquet(f"{root}/{name}")
-        except AnalysisException:
-            _write(spark.createDataFrame([], schema), root, name, -1)
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _write(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
+def ingest(envelopes: DataFrame, self_service: str) -> DataFrame:
+    """Decoded entries that pass the export filter; works on streams and tables alike."""
+    return good(decode(envelopes)).where(exportable(self_service))
 
 
-def read_state(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A state table with its ``batch`` column."""
-    return spark.read.schema(f"{TABLES[table]}, batch bigint").parquet(f"{root}/{table}")
+def run_of(spark: SparkSession) -> str:
+    """The id of the running stream, which its checkpoint keeps."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def _one_batch(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame:
-    return read_state(spark, root, table).where(F.col("batch") == batch_id).drop("batch")
+# --- tables --------------------------------------------------------------------------------------
 
 
-def committed(spark: SparkSession, root: str, table: str) -> DataFrame:
-    last = read_state(spark, root, "commits").agg(F.max("batch")).first()[0]
-    seen = read_state(spark, root, table).where(F.col("batch") <= F.lit(-1 if last is None else last))
-    return seen.drop("batch")
+def entry_table(spark: SparkSession, root: str) -> BatchTable:
+    return BatchTable(spark, f"{root}/entries", f"{ENTRY_SCHEMA}, event_date date", day="event_date")
 
 
-def on_days(days: list) -> Column:
-    """``event_date`` is one of ``days``, of which ``None`` is one too."""
-    dated = [F.lit(d) for d in days if d is not None]
-    found = F.col("event_date").isin(*dated) if dated else F.lit(False)
-    return found | F.col("event_date").isNull() if None in days else found
+def unreadable_table(spark: SparkSession, root: str) -> BatchTable:
+    return BatchTable(spark, f"{root}/unreadable", DEAD_LETTER_SCHEMA)
 
 
-def ingest(envelopes: DataFrame, self_service: str) -> DataFrame:
-    """Decoded entries that pass the export filter; works on streams and tables alike."""
-    return good(decode(envelopes)).where(exportable(self_service))
+def outcome_table(spark: SparkSession, root: str) -> BatchTable:
+    return BatchTable(spark, f"{root}/outcomes", OUTCOME_SCHEMA, fold=merge_followers)
 
 
-def triage_batch(
-    root: str,
-    self_service: str,
-    analyzer: Callable[[DataFrame], DataFrame] = rule_analyzer,
-    max_attempts: int = MAX_ATTEMPTS,
-    max_bytes: int = MAX_BYTES,
-) -> Callable[[DataFrame, int], None]:
-    """The function for ``foreachBatch``; ``root`` must lie in storage all executors share."""
+def merge_followers(outcomes: DataFrame) -> DataFrame:
+    """Followers of a report become one row, with its counts, sightings and batches; the rest stays,
+    but for attempts that another one has followed."""
+    columns = outcomes.columns
+    follows = F.col("outcome") == state.FOLLOWS
+    merged = outcomes.where(follows).groupBy("signature", "outcome", "report_id").agg(
+        F.sum("incident_count").alias("incident_count"),
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        F.min(F.struct("first_us", "first_insert_id"))["first_insert_id"].alias("first_insert_id"),
+        F.max(F.struct("last_us", "last_insert_id"))["last_insert_id"].alias("last_insert_id"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.max("at").alias("at"),
+    )
+    rest = outcomes.where(~follows & (F.col("outcome") != state.WAITING))
+    return rest.unionByName(merged, allowMissingColumns=True).select(*columns)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch_id = _own_number(spark, root, batch_id)
-        if not read_state(spark, root, "commits").where(F.col("batch") == batch_id).isEmpty():
-            return  # Spark repeats a batch whose end it has not noted; it is complete here.
-        arrivals = _arrive(spark, root, batch, batch_id, self_service)
-        accepted = _accept(spark, root, arrivals.where(F.col("reason").isNull()), batch_id)
-        analysed = _analyse(spark, root, accepted, batch_id, analyzer, max_bytes)
-
-        _write(reports.make_reports(analysed.where(F.col("outcome") == REPORTED)).select(
-            *reports.REPORT_COLUMNS), root, "reports", batch_id)
-        _write(_sightings(analysed), root, "followers", batch_id)
-        _settle_entries(spark, root, accepted, analysed, arrivals, batch_id, max_attempts)
-        _write(accepted.agg(F.count(F.lit(1)).alias("entries")).coalesce(1), root, "commits", batch_id)
 
-    return run
+# --- intake --------------------------------------------------------------------------------------
 
 
-def _own_number(spark: SparkSession, root: str, batch_id: int) -> int:
-    """The number of a batch in the state: Spark's own, from the place where its stream began.
+def unseen(table: BatchTable, batch: DataFrame, run: str, batch_id: int, number: bool = False) -> tuple[DataFrame, int]:
+    """Rows of ``batch`` whose insert id is not in ``table`` yet, committed there, and their number.
 
-    A stream is known by the id in its checkpoint. A new checkpoint counts from 0 again; its batches
-    go behind all that are committed, so no folder of an earlier stream is written over.
+    ``table`` has the columns of the batch and event_date, and seq where ``number`` is set. A
+    repeated batch gives the rows it gave before.
     """
-    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-    known = read_state(spark, root, "streams").where(F.col("stream") == stream)
-    base = known.agg(F.min("base")).first()[0]
-    if base is None:
-        last = read_state(spark, root, "commits").agg(F.max("batch")).first()[0]
-        base = 0 if last is None or stream == "direct" else max(0, last + 1 - batch_id)
-        rows = spark.createDataFrame([(stream, base)], TABLES["streams"]).coalesce(1)
-        rows.write.mode("append").parquet(f"{root}/streams/batch={base}")
-    return base + batch_id
-
-
-def _arrive(
-    spark: SparkSession, root: str, batch: DataFrame, batch_id: int, self_service: str
-) -> DataFrame:
-    """Decode, filter and sign the batch in one pass over its source, and keep the result.
-
-    Unreadable deliveries stay beside the entries; only they keep their raw text.
-    """
-    wanted = F.col("reason").isNotNull() | exportable(self_service)
-    signed = rollup.with_signature(decode(batch).where(wanted), keep=("raw", "reason"))
-    kept = F.when(F.col("reason").isNotNull(), F.col("raw"))
-    rows = signed.withColumns({"attempts": F.lit(0), "raw": kept})
-    _write(rows, root, "arrivals", batch_id)
-    return _one_batch(spark, root, "arrivals", batch_id)
-
+    there = table.own(run, batch_id)
+    if there is not None:
+        return there
+    once = batch.dropDuplicates(["insert_id"]).withColumn("event_date", F.to_date("ts")).persist()
+    try:
+        # As many values as calendar days, however many rows.
+        days = [r[0] and r[0].isoformat() for r in once.select("event_date").distinct().collect()]
+        fresh = once.join(table.read(days).select("insert_id"), "insert_id", "left_anti")
+        columns = list(once.columns)
+        if number:
+            fresh = fresh.withColumn("seq", F.lit(table.next_number()).cast("bigint"))
+            columns.insert(-1, "seq")
+        # One file a day, several for a large one.
+        table.append(fresh.select(*columns).hint("rebalance", "event_date"), run, batch_id, days)
+    finally:
+        once.unpersist()
+    return table.own(run, batch_id)
+
+
+def faults_of(entries: DataFrame) -> DataFrame:
+    """One row per signature of a batch, with the bytes that its entry takes in a JSON payload."""
+    row = F.struct("severity", "service_name", "log_message")
+    size = escaped_bytes(compact_json(row)) + 2
+    rolled = entries.groupBy("signature").agg(*rollup.fault_totals(), F.min("seq").alias("seq"))
+    return rolled.select(
+        "signature", "severity", "service_name", "log_message", size.cast("bigint").alias("bytes"),
+        "incident_count",
+        F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"),
+        "first_insert_id", "last_insert_id",
+        F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"),
+    )
+
+
+def intake_batch(root: str, self_service: str) -> Callable[[DataFrame, int], None]:
+    """The function for ``foreachBatch``; ``root`` must lie in storage all executors share."""
 
-def _accept(spark: SparkSession, root: str, arrived: DataFrame, batch_id: int) -> DataFrame:
-    """New entries of the batch plus the retries of the one before, each insert id once.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream = run_of(spark)
+        wanted = F.col("reason").isNotNull() | exportable(self_service)
+        rows = rollup.with_signature(decode(batch).where(wanted), keep=("raw", "reason")).persist()
+        try:
+            unreadable = rows.where(F.col("reason").isNotNull()).select(
+                "raw", "reason", F.lit(1).alias("attempts"), F.current_timestamp().alias("failed_at")
+            )
+            unreadable_table(spark, root).append(unreadable, stream, batch_id)
+            entries = rows.where(F.col("reason").isNull()).drop("raw", "reason")
+            fresh, _ = unseen(entry_table(spark, root), entries, stream, batch_id, number=True)
+        finally:
+            rows.unpersist()
+        # Written last: a batch that is repeated writes them again, and triage knows them by their number.
+        faults_of(fresh).write.mode("append").parquet(f"{root}/faults")
 
-    Written and read back, so that everything later in the batch starts from the same rows.
-    """
-    waiting = _one_batch(spark, root, "retries", batch_id - 1)
-    columns = [c for c in waiting.columns if c not in ("insert_id", "attempts")]
-    once = (
-        arrived.drop("raw", "reason")
-        .unionByName(waiting)
-        .groupBy("insert_id")
-        .agg(F.max(F.struct("attempts", *columns)).alias("e"))
-        .select("insert_id", *[f"e.{c}" for c in columns], "e.attempts")
-    )
-    ledger = read_state(spark, root, "ledger").where(F.col("batch") < batch_id)
-    # A redelivered entry keeps its time, so only the ledger days of this batch can know it; they
-    # are as many as calendar days, however many rows.
-    days = [r[0] for r in once.select(F.to_date("ts")).distinct().collect()]
-    ledger = ledger.where(on_days(days))
-    fresh = once.join(ledger.select("insert_id"), "insert_id", "left_anti")
-    _write(fresh, root, "accepted", batch_id)
-    return _one_batch(spark, root, "accepted", batch_id)
+    return run
 
 
-def _analyse(
-    spark: SparkSession,
-    root: str,
-    accepted: DataFrame,
-    batch_id: int,
-    analyzer: Callable[[DataFrame], DataFrame],
-    max_bytes: int,
-) -> DataFrame:
-    """One row per signature of the batch with its outcome; new signatures are analysed once.
-
-    Written before use, so that the several outputs of a batch do not call a model again.
-    """
-    faults = rollup.incident_rollup(accepted)
-    known = read_state(spark, root, "reports").where(F.col("batch") < batch_id).select(
-        "signature", F.col("id").alias("report_id")
-    )
-    placed = faults.join(known, "signature", "left")
-    entry = F.struct("severity", "service_name", "log_message")
-    size = escaped_bytes(compact_json(entry)) + 2
-    unknown = F.col("report_id").isNull()
-
-    followed = placed.where(~unknown).withColumn("outcome", F.lit(FOLLOWS))
-    too_large = placed.where(unknown & (size > max_bytes)).withColumn("outcome", F.lit(REJECTED))
-    asked = analyzer(placed.where(unknown & (size <= max_bytes)).drop("report_id"))
-    if "analysis_error" not in asked.columns:
-        asked = asked.withColumn("analysis_error", F.lit(None).cast("string"))
-    outcome = (
-        F.when(F.col("analysis_error").isNotNull(), ERROR)
-        .when(F.col("operational_summary").isNull(), NOTHING)
-        .otherwise(REPORTED)
-    )
-    answered = asked.withColumns({"outcome": outcome, "problem": F.col("analysis_error")}).drop(
-        "analysis_error"
-    )
-    if "incident_no" in asked.columns:
-        # An entry makes one report: the first incident of its answer.
-        answered = answered.where(F.coalesce("incident_no", F.lit(0)) == 0)
-    rows = answered.unionByName(followed, True).unionByName(too_large, True)
-    target = spark.createDataFrame([], TABLES["analysis"]).columns
-    _write(rows.select(*target), root, "analysis", batch_id)
-    return _one_batch(spark, root, "analysis", batch_id)
-
-
-def _sightings(analysed: DataFrame) -> DataFrame:
-    """What the batch adds to reports. A new report adds nothing but its last sighting, so that
-    entries which arrive later but happened earlier do not take its place."""
-    new = F.col("outcome") == REPORTED
-    own = report_id(F.col("signature"), F.col("first_insert_id"))
-    return analysed.where(F.col("outcome").isin(FOLLOWS, REPORTED)).select(
-        F.when(new, own).otherwise(F.col("report_id")).alias("report_id"),
-        F.when(new, 0).otherwise(F.col("incident_count")).cast("bigint").alias("more"),
-        "last_seen",
-        "last_insert_id",
+def start_intake(
+    envelopes: DataFrame, root: str, self_service: str, checkpoint: str, trigger: dict | None = None
+):
+    """Start the first query of the path; by default it takes everything available and stops."""
+    spark = envelopes.sparkSession
+    # A stream needs the folder to be there.
+    spark.createDataFrame([], FAULT_SCHEMA).write.mode("append").parquet(f"{root}/faults")
+    return (
+        envelopes.writeStream.foreachBatch(intake_batch(root, self_service))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ONCE))
+        .start()
     )
 
 
-def _settle_entries(
-    spark: SparkSession,
-    root: str,
-    accepted: DataFrame,
-    analysed: DataFrame,
-    arrivals: DataFrame,
-    batch_id: int,
-    max_attempts: int,
-) -> None:
-    """Ledger rows for what is done, retries for what failed, dead letters for the hopeless."""
-    # Rows of a hot signature are split by adaptive skew handling; nothing groups them afterwards.
-    ended = accepted.join(analysed.select("signature", "outcome", "problem"), "signature")
-    done = ended.where(F.col("outcome") != ERROR).select(
-        "insert_id",
-        F.when(F.col("outcome") == REJECTED, claims.FAILED).otherwise(claims.COMPLETED).alias("status"),
-        F.current_timestamp().alias("processed_timestamp"),
-        F.to_date("ts").alias("event_date"),
-    )
-    _write(done, root, "ledger", batch_id)
+# --- triage --------------------------------------------------------------------------------------
 
-    now = F.current_timestamp()
-    failed = ended.where(F.col("outcome") == ERROR).withColumns(
-        {"attempts": F.col("attempts") + 1, "failed_at": now}
-    )
-    routed = with_route(failed, now, max_attempts)
-    again = routed.where(F.col("route") == RETRY)
-    _write(again.select(*accepted.columns), root, "retries", batch_id)
-
-    given_up = routed.where(F.col("route") == DEAD_LETTER).select(
-        F.to_json(F.struct("insert_id", "ts", "severity", "service_name", "log_message")).alias("raw"),
-        F.col("problem").alias("reason"),
-        "attempts",
-        "failed_at",
-    )
-    unreadable = arrivals.where(F.col("reason").isNotNull()).select(
-        "raw", "reason", F.lit(1).alias("attempts"), F.current_timestamp().alias("failed_at")
-    )
-    _write(given_up.unionByName(unreadable), root, "dead_letters", batch_id)
+
+def _with_incident(rows: DataFrame, ruled: bool) -> DataFrame:
+    """Outcomes with the columns of the first incident of their answer, or by the rules."""
+    reported = F.col("outcome") == state.REPORTED
+    own = [c for c in INCIDENT_COLUMNS if c != "service_name"]
+    if ruled:
+        made = rule_analyzer(_times(rows))
+        values = {c: F.col(c) for c in own} | {"incident_service": F.col("service_name")}
+    else:
+        first = F.element_at(F.from_json("incidents", f"array<struct<{INCIDENT_FIELDS}>>"), 1)
+        made = rows.withColumn("_incident", first)
+        values = {c: F.col("_incident")[c] for c in own} | {"incident_service": F.col("_incident")["service_name"]}
+    kept = [c for c in rows.columns if c != "incidents"]
+    return made.select(
+        *kept,
+        *[F.when(reported, v).alias(c) for c, v in values.items()],
+        F.current_timestamp().alias("at"),
+    )
 
 
 def start_triage(
-    envelopes: DataFrame,
+    spark: SparkSession,
     root: str,
-    self_service: str,
     checkpoint: str,
     trigger: dict | None = None,
+    call: Callable[[list[dict], str | None], str] | None = None,
+    instruction: str | None = None,
+    judge: Callable[[str], dict] | None = None,
     **options,
 ):
-    """Start the event path; returns the streaming query.
+    """Start the second query of the path. ``options`` go to :class:`~.state.SignatureState`.
 
-    By default it processes everything available and stops. ``trigger`` goes to Spark as it is;
-    with a processing time the path stays on, and its interval is the least time between attempts.
+    Without ``call`` the rules analyse. Waiting signatures are tried again when they are due, with or
+    without new data, as long as the query is on; one that stops goes on with them at its next start.
     """
-    prepare_state(envelopes.sparkSession, root)
+    usable = usable_instruction(spark, instruction, judge)
+    processor = state.SignatureState(call, usable, **options)
+    # A session of its own, since the kind of state store is a setting of the session.
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    if trigger is None or "availableNow" in trigger:
+        # Timers would ask for another batch without end.
+        session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    # Faults that have been processed are deleted, so their folder does not grow.
+    faults = session.readStream.schema(FAULT_SCHEMA).option("cleanSource", "delete").parquet(f"{root}/faults")
+    outcomes = faults.groupBy("signature").transformWithState(processor, state.OUTCOME, "update", "processingTime")
+    target = session.createDataFrame([], OUTCOME_SCHEMA).columns
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = _with_incident(batch, call is None).select(*target)
+        # Timers make batches without rows, too.
+        outcome_table(batch.sparkSession, root).append(rows, run_of(batch.sparkSession), batch_id, skip_empty=True)
+
     return (
-        envelopes.writeStream.foreachBatch(triage_batch(root, self_service, **options))
+        outcomes.writeStream.foreachBatch(save)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or ONCE))
         .start()
     )
 
 
-def _all_sightings(spark: SparkSession, root: str) -> DataFrame:
-    return committed(spark, root, "followers").groupBy("report_id").agg(
-        F.sum("more").alias("more"),
-        F.max("last_seen").alias("last_seen"),
-        F.max(F.struct("last_seen", "last_insert_id"))["last_insert_id"].alias("last_insert_id"),
+def run_triage(envelopes: DataFrame, root: str, self_service: str, checkpoint: str, **options) -> None:
+    """Both queries, one after the other, over everything available."""
+    for query in (
+        lambda: start_intake(envelopes, root, self_service, f"{checkpoint}/intake"),
+        lambda: start_triage(envelopes.sparkSession, root, f"{checkpoint}/triage", **options),
+    ):
+        running = query()
+        try:
+            running.awaitTermination()
+        finally:
+            running.stop()
+
+
+# --- views ---------------------------------------------------------------------------------------
+
+
+def _times(outcomes: DataFrame) -> DataFrame:
+    return outcomes.withColumns(
+        {"first_seen": F.timestamp_micros("first_us"), "last_seen": F.timestamp_micros("last_us")}
     )
 
 
 def current_reports(spark: SparkSession, root: str) -> DataFrame:
     """Reports with all followers of committed batches counted in."""
-    return reports.apply_deltas(committed(spark, root, "reports"), _all_sightings(spark, root))
+    rows = _times(outcome_table(spark, root).read())
+    made = rows.where(F.col("outcome") == state.REPORTED).drop("service_name")
+    made = reports.make_reports(made.withColumnRenamed("incident_service", "service_name"))
+    # A new report adds nothing but its last sighting, so that entries which arrive later but happened
+    # earlier do not take its place.
+    seen = rows.where(F.col("outcome").isin(state.REPORTED, state.FOLLOWS)).groupBy("report_id").agg(
+        F.sum(F.when(F.col("outcome") == state.FOLLOWS, F.col("incident_count")).otherwise(0)).alias("more"),
+        F.max("last_seen").alias("last_seen"),
+        F.max(F.struct("last_seen", "last_insert_id"))["last_insert_id"].alias("last_insert_id"),
+    )
+    return reports.apply_deltas(made, seen)
 
 
 def current_signatures(spark: SparkSession, root: str) -> DataFrame:
-    """The signature table: every reported signature with its count."""
-    return current_reports(spark, root).select(
+    """The signature table: every reported signature with its count, of several reports the newest."""
+    rows = current_reports(spark, root)
+    newest = F.max(F.struct("created_at", "id", "incident_count"))
+    return rows.groupBy("signature").agg(newest.alias("r")).select(
         "signature",
         F.lit(claims.READY).alias("status"),
-        F.col("incident_count").alias("count"),
-        F.col("id").alias("report_id"),
+        F.col("r.incident_count").alias("count"),
+        F.col("r.id").alias("report_id"),
     )
 
 
-def compact_state(spark: SparkSession, root: str, target: str) -> None:
-    """Fold all committed batches into one batch under a new root, for the stream to go on from.
+def current_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """insert_id, status and processed_timestamp of every entry whose signature has been settled.
 
-    Run between two runs of the stream, against small files and long histories. Dead letters past
-    their retention end here.
+    Batches of a signature are settled in order, so an outcome covers a range of them.
     """
-    last = read_state(spark, root, "commits").agg(F.max("batch")).first()[0]
-    batch_id = -1 if last is None else last
-    counted = _all_sightings(spark, root).withColumn("more", F.lit(0).cast("bigint"))
-    folded = {"reports": current_reports(spark, root), "followers": counted}
-    folded["ledger"] = committed(spark, root, "ledger")
-    folded["dead_letters"] = committed(spark, root, "dead_letters").where(retained(F.current_timestamp()))
-    folded["retries"] = _one_batch(spark, root, "retries", batch_id)
-    folded["streams"] = committed(spark, root, "streams")
-    folded["commits"] = spark.createDataFrame([(0,)], TABLES["commits"])
-    for table, schema in TABLES.items():
-        rows = folded.get(table, spark.createDataFrame([], schema))
-        _write(rows, target, table, batch_id)
+    status = F.when(F.col("outcome") == state.REJECTED, claims.FAILED).otherwise(claims.COMPLETED)
+    settled = outcome_table(spark, root).read()
+    settled = settled.where(F.col("outcome").isin(state.REPORTED, state.FOLLOWS, state.NOTHING, state.REJECTED))
+    settled = settled.select(
+        F.col("signature").alias("_signature"), "first_seq", "last_seq", status.alias("status"),
+        F.col("at").alias("processed_timestamp"),
+    )
+    entries = entry_table(spark, root).read().select("insert_id", "signature", "seq")
+    same = (F.col("signature") == F.col("_signature")) & F.col("seq").between(F.col("first_seq"), F.col("last_seq"))
+    return entries.join(settled, same).select("insert_id", "status", "processed_timestamp")
+
+
+def current_dead_letters(spark: SparkSession, root: str, as_of=None) -> DataFrame:
+    """Unreadable deliveries and entries of signatures that were given up, while they are retained."""
+    dead = outcome_table(spark, root).read().where(F.col("outcome") == state.DEAD)
+    dead = dead.select(
+        F.col("signature").alias("_signature"), "first_seq", "last_seq", F.col("problem").alias("reason"),
+        "attempts", F.col("at").alias("failed_at"),
+    )
+    entries = entry_table(spark, root).read()
+    same = (F.col("signature") == F.col("_signature")) & F.col("seq").between(F.col("first_seq"), F.col("last_seq"))
+    raw = F.to_json(F.struct("insert_id", "ts", "severity", "service_name", "log_message")).alias("raw")
+    given_up = entries.join(dead, same).select(raw, "reason", "attempts", "failed_at")
+    rows = given_up.unionByName(unreadable_table(spark, root).read())
+    return rows.where(retained(F.current_timestamp() if as_of is None else as_of))

@@ -1,13 +1,14 @@
 """The event path: redelivery, several micro-batches, restart, failures."""
 
 import datetime as dt
+import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from faultfold.operators.analysis import rule_analyzer
 from faultfold.operators.rollup import incident_rollup
-from faultfold.plans import catalog, fixtures
+from faultfold.plans import fixtures, hooks
 from faultfold.schemas import ENVELOPE_SCHEMA
 from faultfold.sources import envelopes
 from faultfold.sources.tables import logs
@@ -30,9 +31,7 @@ def stream(spark, folder):
 
 
 def run(spark, folder, root, **options):
-    source = stream(spark, folder)
-    query = events.start_triage(source, f"{root}/state", fixtures.SELF_SERVICE, f"{root}/cp", **options)
-    query.awaitTermination()
+    events.run_triage(stream(spark, folder), f"{root}/state", fixtures.SELF_SERVICE, f"{root}/cp", **options)
     return f"{root}/state"
 
 
@@ -41,45 +40,31 @@ def counted(spark, state):
     return {r["signature"]: (r["incident_count"], r["last_insert_id"]) for r in rows}
 
 
-def test_batches_redelivery_restart_and_compaction(spark, sf_dir, tmp_path, expected):
+def statuses(spark, state):
+    return {r["insert_id"]: r["status"] for r in events.current_ledger(spark, state).collect()}
+
+
+def test_batches_redelivery_and_restart(spark, sf_dir, tmp_path, expected):
     folder, root = str(tmp_path / "in"), str(tmp_path / "out")
     deliver(spark, sf_dir, folder, 3)
     state = run(spark, folder, root)
     assert counted(spark, state) == expected
-    assert events.read_state(spark, state, "commits").where("batch >= 0").count() == 3
-    # Everything once more, to a query that restarts from its checkpoint.
+    assert events.entry_table(spark, state).manifest()["number"] == 3
+    # Everything once more, to queries that restart from their checkpoints.
     deliver(spark, sf_dir, folder, 2)
     run(spark, folder, root)
     assert counted(spark, state) == expected
     errors = sum(n for n, _ in expected.values())
-    ledger = events.committed(spark, state, "ledger")
+    ledger = events.current_ledger(spark, state)
     assert ledger.count() == errors == ledger.select("insert_id").distinct().count()
-    # A repeated batch writes what it wrote before.
-    last = events.read_state(spark, state, "commits").agg(F.max("batch")).first()[0]
-    events.triage_batch(state, fixtures.SELF_SERVICE)(
-        spark.createDataFrame([], ENVELOPE_SCHEMA), last + 1
-    )
-    assert counted(spark, state) == expected
-    events.compact_state(spark, state, f"{root}/compact")
-    assert counted(spark, f"{root}/compact") == expected
-    # The last batch once more on the folded state, as after a crash before Spark noted its end.
-    events.triage_batch(f"{root}/compact", fixtures.SELF_SERVICE)(
-        spark.createDataFrame([], ENVELOPE_SCHEMA), last + 1
-    )
-    assert counted(spark, f"{root}/compact") == expected
-    assert events.committed(spark, f"{root}/compact", "ledger").count() == errors
-
-
-def test_new_checkpoint_on_old_state(spark, sf_dir, tmp_path, expected):
-    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
-    deliver(spark, sf_dir, folder, 2)
-    state = run(spark, folder, root)
-    before = events.read_state(spark, state, "commits").where("batch >= 0").count()
-    envelopes = spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    events.start_triage(envelopes, state, fixtures.SELF_SERVICE, f"{root}/second").awaitTermination()
+    # A new checkpoint of the intake goes behind what is committed.
+    query = events.start_intake(stream(spark, folder), state, fixtures.SELF_SERVICE, f"{root}/second")
+    query.awaitTermination()
+    events.start_triage(spark, state, f"{root}/cp/triage").awaitTermination()
     assert counted(spark, state) == expected
-    assert events.committed(spark, state, "ledger").count() == sum(n for n, _ in expected.values())
-    assert events.read_state(spark, state, "commits").where("batch >= 0").count() > before
+    assert events.entry_table(spark, state).manifest()["number"] > 5
+    # What has been processed does not pile up.
+    assert spark.read.schema(events.FAULT_SCHEMA).parquet(f"{state}/faults").count() < 3 * errors
 
 
 def one_entry(insert_id, message="boom"):
@@ -99,47 +84,115 @@ def batch_of(spark, *texts):
     )
 
 
-def failing(faults):
-    return rule_analyzer(faults).withColumn("analysis_error", F.lit("model is down"))
+def intake(spark, state, batch_id, *texts):
+    events.intake_batch(state, "self")(batch_of(spark, *texts), batch_id)
+
+
+def triage(spark, state, root, **options):
+    events.start_triage(spark, state, f"{root}/triage", **options).awaitTermination()
 
 
-def test_failures_are_retried_then_dead_lettered(spark, tmp_path):
+def test_repeated_batches_count_once(spark, tmp_path, monkeypatch):
+    """A batch with rows is repeated wholly, and after a crash between its entries and its faults."""
     state = str(tmp_path / "state")
-    events.prepare_state(spark, state)
-    fails = events.triage_batch(state, "self", failing, max_attempts=3)
-    fails(batch_of(spark, one_entry("e1"), one_entry("e2")), 0)
-    assert events.committed(spark, state, "ledger").count() == 0
-    # A redelivered copy of a waiting entry is the same entry.
-    works = events.triage_batch(state, "self")
-    # The batch is repeated, as after a crash; it must not count twice.
+    spark.createDataFrame([], events.FAULT_SCHEMA).write.parquet(f"{state}/faults")
+    first = (one_entry("e1"), one_entry("e2"), one_entry("e3", "other"), "not json")
     for _ in range(2):
-        works(batch_of(spark, one_entry("e1"), one_entry("e3", "other")), 1)
+        intake(spark, state, 0, *first)
+    triage(spark, state, tmp_path)
+
+    def crash(entries):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(events, "faults_of", crash)
+        with pytest.raises(RuntimeError, match="killed"):
+            intake(spark, state, 1, one_entry("e2"), one_entry("e4"), one_entry("e5", "third"))
+    assert events.entry_table(spark, state).manifest()["number"] == 2
+    triage(spark, state, tmp_path)
+    intake(spark, state, 1, one_entry("e2"), one_entry("e4"), one_entry("e5", "third"))
+    intake(spark, state, 2, one_entry("e1"), one_entry("e6"))
+    for _ in range(2):
+        triage(spark, state, tmp_path)
     got = {r["log_message"]: r["incident_count"] for r in events.current_reports(spark, state).collect()}
-    assert got == {"boom": 2, "other": 1}
-
-    fails(batch_of(spark, one_entry("e5", "hopeless")), 2)
-    fails(batch_of(spark), 3)
-    fails(batch_of(spark, "not json"), 4)
-    fails(batch_of(spark), 5)
-    dead = {r["reason"]: r["attempts"] for r in events.committed(spark, state, "dead_letters").collect()}
-    assert dead == {"model is down": 3, "bad_json": 1}
-
-
-def test_rejected_and_empty_analyses(spark, tmp_path):
+    assert got == {"boom": 4, "other": 1, "third": 1}
+    assert statuses(spark, state) == {f"e{i}": "COMPLETED" for i in range(1, 7)}
+    dead = [(r["reason"], r["attempts"]) for r in events.current_dead_letters(spark, state).collect()]
+    assert dead == [("bad_json", 1)]
+    later = F.current_timestamp() + F.make_dt_interval(days=F.lit(8))
+    assert events.current_dead_letters(spark, state, later).count() == 0
+
+
+def test_failures_are_tried_again_without_new_data(spark, tmp_path):
+    state, calls = str(tmp_path / "state"), str(tmp_path / "calls")
+    spark.createDataFrame([], events.FAULT_SCHEMA).write.parquet(f"{state}/faults")
+    intake(spark, state, 0, one_entry("e1"), one_entry("e2"), one_entry("e3", "hopeless"), one_entry("e4", "quiet"))
+
+    def call(entries, instruction):
+        """Fails twice for one signature, always for another; says nothing of the third."""
+        import os
+
+        text = entries[0]["log_message"]
+        os.makedirs(calls, exist_ok=True)
+        before = len([n for n in os.listdir(calls) if n.startswith(text)])
+        open(f"{calls}/{text}-{before}", "w").close()
+        if text == "quiet":
+            return '{"incidents": []}'
+        if text == "hopeless" or before < 2:
+            return json.dumps({"incidents": "disk is full"})
+        return json.dumps({"incidents": [hooks.incident(entries[0])]})
+
+    query = events.start_triage(
+        spark, state, f"{tmp_path}/triage", {"processingTime": "300 milliseconds"}, call,
+        max_attempts=3, first_wait=0.5, longest_wait=1.0,
+    )
+    try:
+        end = time.time() + 90
+        while time.time() < end and len(statuses(spark, state)) + events.current_dead_letters(spark, state).count() < 4:
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert statuses(spark, state) == {"e1": "COMPLETED", "e2": "COMPLETED", "e4": "COMPLETED"}
+    report, = events.current_reports(spark, state).collect()
+    assert (report["incident_count"], report["operational_summary"], report["last_insert_id"]) == (2, "ERROR: boom", "e2")
+    dead, = events.current_dead_letters(spark, state).collect()
+    assert dead["attempts"] == 3 and "incidents is a text" in dead["reason"] and json.loads(dead["raw"])["insert_id"] == "e3"
+    # Batches that timers made without rows left nothing.
+    assert events.outcome_table(spark, state).manifest()["number"] <= 6
+
+
+def test_waiting_signatures_survive_a_restart(spark, tmp_path):
     state = str(tmp_path / "state")
-    events.prepare_state(spark, state)
-    events.triage_batch(state, "self", max_bytes=200)(batch_of(spark, one_entry("e1", "x" * 300)), 0)
+    spark.createDataFrame([], events.FAULT_SCHEMA).write.parquet(f"{state}/faults")
+    intake(spark, state, 0, one_entry("e1"))
+
+    def down(entries, instruction):
+        raise RuntimeError("model is down")
+
+    triage(spark, state, tmp_path, call=down, first_wait=0.1, longest_wait=0.1)
+    assert statuses(spark, state) == {} and events.current_reports(spark, state).count() == 0
+    # A redelivered copy of a waiting entry is the same entry; another one waits with it.
+    intake(spark, state, 1, one_entry("e1"), one_entry("e2"))
+    triage(spark, state, tmp_path)
+    if not statuses(spark, state):  # the timer was due after the batch had begun
+        intake(spark, state, 2, one_entry("e9", "another"))
+        triage(spark, state, tmp_path)
+    got = {r["log_message"]: r["incident_count"] for r in events.current_reports(spark, state).collect()}
+    assert got["boom"] == 2 and statuses(spark, state)["e2"] == "COMPLETED"
 
-    def nothing(faults):
-        return rule_analyzer(faults).withColumn("operational_summary", F.lit(None).cast("string"))
 
-    events.triage_batch(state, "self", nothing)(batch_of(spark, one_entry("e2", "quiet")), 1)
-    ledger = {r["insert_id"]: r["status"] for r in events.committed(spark, state, "ledger").collect()}
-    assert ledger == {"e1": "FAILED", "e2": "COMPLETED"}
-    assert events.current_reports(spark, state).count() == 0
-    # The claim was released: the next entry of the signature is analysed anew.
-    events.triage_batch(state, "self")(batch_of(spark, one_entry("e3", "quiet")), 2)
-    assert events.current_signatures(spark, state).first()["count"] == 1
+def test_rejected_entries_and_expired_reports(spark, tmp_path):
+    state = str(tmp_path / "state")
+    spark.createDataFrame([], events.FAULT_SCHEMA).write.parquet(f"{state}/faults")
+    options = {"max_bytes": 200, "expire_after": 1.0}
+    intake(spark, state, 0, one_entry("e1", "x" * 300), one_entry("e2"))
+    triage(spark, state, tmp_path, **options)
+    assert statuses(spark, state) == {"e1": "FAILED", "e2": "COMPLETED"}
+    time.sleep(1.5)
+    intake(spark, state, 1, one_entry("e3"))
+    triage(spark, state, tmp_path, **options)
+    assert events.current_reports(spark, state).count() == 2
+    assert events.current_signatures(spark, state).count() == 1
 
 
 def test_live_counts_over_batches(spark, sf_dir, tmp_path, expected):
@@ -185,4 +238,3 @@ def test_shared_folder_is_the_one_named(spark):
     from faultfold.session import shared_dir, work_dir
 
     assert work_dir(spark, "x").startswith(shared_dir(spark))
-    assert catalog.QUERIES
