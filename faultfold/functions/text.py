@@ -78,8 +78,33 @@ def mask_email(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)
 
 
-def mask_card(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)" + CARD_PATTERN, CARD_MASK)
+def mask_card(text: Column, luhn: bool = False) -> Column:
+    """Mask what may be a card number; with ``luhn`` only what has a right check digit.
+
+    The text is cut at its matches and put together again, so that each is judged by itself.
+    """
+    pattern = "(?U)" + CARD_PATTERN
+    if not luhn:
+        return F.regexp_replace(text, pattern, CARD_MASK)
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    shown = F.transform(found, lambda m: F.when(passes_luhn(m), F.lit(CARD_MASK)).otherwise(m))
+    rest = F.split(text, pattern, -1)
+    whole = F.array_join(F.zip_with(rest, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    # Most texts have no match at all.
+    return F.when(text.rlike(pattern), whole).otherwise(text)
+
+
+def passes_luhn(number: Column) -> Column:
+    """True if the check digit is right: every second digit from the right is doubled, less nine where
+    that has two digits, and the sum ends in zero. Other digits than ASCII ones count as right."""
+    digits = F.split(F.reverse(F.regexp_replace(number, "[ -]", "")), "")
+    value = lambda c, i: F.try_to_number(c, F.lit("9")).cast("int") * (1 + i % 2)
+    summed = F.aggregate(
+        F.transform(digits, lambda c, i: value(c, i) - F.when(value(c, i) > 9, 9).otherwise(0)),
+        F.lit(0).cast("int"),
+        lambda a, b: (a + b).cast("int"),
+    )
+    return F.coalesce(summed % 10 == 0, F.lit(True))
 
 
 def mask_secret(text: Column, strict: bool = False) -> Column:
@@ -129,7 +154,7 @@ def redacted(df: DataFrame, text: Column, out: str, strict: bool = False) -> Dat
     return step.drop("_m0", "_m1", "_m2", "_m3")
 
 
-def redact(text: Column, strict: bool = False, phones: bool = False) -> Column:
+def redact(text: Column, strict: bool = False, phones: bool = False, luhn: bool = False) -> Column:
     """All masks in their fixed order: token, e-mail, card, secret."""
-    text = mask_secret(mask_card(mask_email(mask_jwt(text))), strict)
+    text = mask_secret(mask_card(mask_email(mask_jwt(text)), luhn), strict)
     return mask_phone(text) if phones else text

@@ -162,6 +162,7 @@ _over_documents("normalize_ws", text.fold_space)
 _over_documents("redact_jwt", lambda c: text.mask_jwt(_with_token(c)))
 _over_documents("redact_email", text.mask_email)
 _over_documents("redact_card", text.mask_card)
+_over_documents("redact_card_checked", lambda c: text.mask_card(c, luhn=True))
 _over_documents("redact_secret", lambda c: text.mask_secret(_with_secret(c)))
 _over_documents("redact_documents", lambda c: text.redact(text.fold_space(c)))
 

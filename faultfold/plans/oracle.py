@@ -44,6 +44,17 @@ def card(subject: str) -> str:
     return sub(subject, text.CARD_PATTERN, text.CARD_MASK)
 
 
+def checked_card(subject: str) -> str:
+    """Matches whose check digit is right are masked; digits are counted from the right."""
+    found = f"regexp_extract_all({subject}, {quote(text.CARD_PATTERN)})"
+    digits = "reverse(regexp_replace(m, '[ -]', '', 'g'))"
+    digit = f"CAST(substr({digits}, i, 1) AS INTEGER) * (2 - i % 2)"
+    total = f"list_sum([({digit}) - CASE WHEN {digit} > 9 THEN 9 ELSE 0 END FOR i IN range(1, length({digits}) + 1)])"
+    shown = f"[CASE WHEN {total} % 10 = 0 THEN {quote(text.CARD_MASK)} ELSE m END FOR m IN {found}]"
+    rest = f"string_split_regex({subject}, {quote(text.CARD_PATTERN)})"
+    return f"array_to_string([x[1] || coalesce(x[2], '') FOR x IN list_zip({rest}, {shown})], '')"
+
+
 def secret(subject: str) -> str:
     gap = f'["{text.SPACE_CLASS}]*'
     pattern = f"(?i)({text.SECRET_KEYS}{gap})([:=]){gap}{text.SECRET_VALUE}"
@@ -331,6 +342,7 @@ SELECT event_id, CASE WHEN value < 5 THEN 0 ELSE coalesce(list_position(
     q["redact_jwt"] = _documents(jwt(_TOKEN))
     q["redact_email"] = _documents(email("text"))
     q["redact_card"] = _documents(card("text"))
+    q["redact_card_checked"] = _documents(checked_card("text"))
     q["redact_secret"] = _documents(secret(_SECRET))
     q["redact_documents"] = _documents(redact(fold("text")))
     q["payload_bytes"] = f"SELECT doc_id, {sized(_NOTED)} AS payload_bytes FROM documents"
