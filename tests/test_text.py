@@ -129,7 +129,7 @@ def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT normalize_impact('low to HIGH')").first()[0] == "HIGH"
     assert spark.sql("SELECT fold_space(' a \t b ')").first()[0] == "a b"
-    values = [case for case, _ in CASES if not case.startswith("line")]
+    values = [case for case, _ in CASES if "first row" not in case]
     rows = spark.createDataFrame([(v,) for v in values], "t string")
     rows.createOrReplaceTempView("cases")
     for row in spark.sql("SELECT t, redact(t) AS r FROM cases").collect():
