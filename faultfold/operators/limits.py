@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultfold.operators.prefix import number_rows
+from faultfold.operators.packing import next_fit
 
 # The caps of one analysis and the texts of their errors.
 MAX_ENTRIES = 500
@@ -54,29 +54,13 @@ def pack_batches(
     max_entries: int = MAX_ENTRIES,
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """Split every group into batches that keep both caps, in order.
+    """Split every group into batches that keep both caps, in order, as few as a pass in order makes.
 
-    Adds ``chunk`` (runs of ``max_entries`` rows), ``slot`` inside the chunk and ``oversize``.
-    Positions come from a skew-safe numbering; after that a window holds at most ``max_entries``
-    rows. A chunk's bytes are laid end to end and cut at multiples of the cap: rows inside one
-    stretch share a slot, a row across a cut gets its own. Only a row that alone breaks the cap is
-    oversize.
+    Adds ``batch_no`` (from 0 in its group) and ``oversize``: a row that alone breaks the cap is a
+    batch of its own. ``entries`` carries ``bytes`` per entry; a JSON array adds a comma between
+    entries and two brackets.
     """
     _check_caps(max_entries, max_bytes)
     room = max_bytes - 1
-    numbered = number_rows(entries, group, order)
-    chunked = numbered.withColumn(
-        "chunk", F.floor((F.col("position") - 1) / max_entries).cast("bigint")
-    )
-    here = Window.partitionBy(*group, "chunk").orderBy(*order)
-    end = F.sum(F.col("bytes") + 1).over(here.rowsBetween(Window.unboundedPreceding, 0))
-    laid = chunked.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("bytes") - 1)
-    first = F.floor(F.col("_start") / room).cast("bigint")
-    last = F.floor((F.col("_end") - 1) / room).cast("bigint")
-    slot = F.when(first == last, first * 2).otherwise(first * 2 + 1)
-    return laid.select(
-        *entries.columns,
-        "chunk",
-        slot.alias("slot"),
-        (F.col("bytes") + 1 > room).alias("oversize"),
-    )
+    packed = next_fit(entries, group, order, F.col("bytes") + 1, max_entries, room)
+    return packed.withColumn("oversize", F.col("bytes") + 1 > room)

@@ -629,7 +629,7 @@ def pack_batches(spark, sf_dir):
     packed = limits.pack_batches(
         fx.sized_entries(spark, sf_dir), ["service_name"], ["ts", "insert_id"], max_bytes=20_000
     )
-    return packed.select("insert_id", "service_name", "chunk", "slot", "oversize")
+    return packed.select("insert_id", "service_name", "batch_no", "oversize")
 
 
 @query
@@ -637,7 +637,7 @@ def analyze_batches(spark, sf_dir):
     """All entries in batches that keep the caps, and once more per service, mostly over them."""
     entries = fx.sized_faults(spark, sf_dir)
     packed = limits.pack_batches(entries, ["service_name"], ["ts", "insert_id"], max_bytes=20_000)
-    own = F.concat_ws("/", "service_name", "chunk", "slot")
+    own = F.concat_ws("/", "service_name", "batch_no")
     keyed = packed.withColumn("batch", F.explode(F.array(own, F.col("service_name"))))
     found = batches.analyze_batches(keyed, "batch", max_bytes=20_000)
     return found.select(

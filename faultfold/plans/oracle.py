@@ -67,6 +67,24 @@ def redact(subject: str) -> str:
     return secret(card(email(jwt(subject))))
 
 
+def greedy(source: str, most: int = 500, room: int = 19999) -> str:
+    """``packed``: the rows of ``source`` with the batch that a pass in order puts them into, a step per batch."""
+    return f"""
+placed AS (SELECT *, row_number() OVER own AS place, sum(bytes + 1) OVER own AS upto FROM {source}
+  WINDOW own AS (PARTITION BY service_name ORDER BY ts, insert_id ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT a.service_name, a.place, a.place + greatest(1, least({most}, (SELECT count(*) FROM placed b
+    WHERE b.service_name IS NOT DISTINCT FROM a.service_name AND b.place >= a.place AND b.place < a.place + {most}
+      AND b.upto <= a.upto - a.bytes - 1 + {room}))) AS following FROM placed a),
+begins AS (
+  SELECT service_name, CAST(1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS batch_no FROM placed WHERE place = 1
+  UNION ALL
+  SELECT e.service_name, CAST(e.following AS BIGINT), s.batch_no + 1 FROM begins s JOIN ends e
+    ON e.service_name = s.service_name AND e.place = s.place
+  WHERE e.following <= (SELECT count(*) FROM placed p WHERE p.service_name = e.service_name)),
+packed AS (SELECT p.*, (SELECT max(s.batch_no) FROM begins s
+    WHERE s.service_name = p.service_name AND s.place <= p.place) AS batch_no FROM placed p)"""
+
+
 ISO = "'%Y-%m-%dT%H:%M:%S.%fZ'"
 
 LOGS = f"""
@@ -510,29 +528,19 @@ judged AS (SELECT *, CASE WHEN entries > {MAX_ENTRIES}
     THEN '{TOO_LARGE} (payload: ' || payload_bytes || ' bytes, limit: {MAX_BYTES} bytes)' END AS reason
   FROM totals)
 SELECT batch, entries, payload_bytes, reason IS NULL AS accepted, reason FROM judged"""
-    q["pack_batches"] = f"""WITH {SIZED},
-numbered AS (SELECT *, (row_number() OVER (PARTITION BY service_name ORDER BY ts, insert_id) - 1) // 500
-  AS chunk FROM sized),
-laid AS (SELECT *, sum(bytes + 1) OVER (PARTITION BY service_name, chunk ORDER BY ts, insert_id
-  ROWS UNBOUNDED PRECEDING) AS upto FROM numbered)
-SELECT insert_id, service_name, chunk, CAST(2 * ((upto - bytes - 1) // 19999) + CASE WHEN
-  (upto - bytes - 1) // 19999 = (upto - 1) // 19999 THEN 0 ELSE 1 END AS BIGINT) AS slot,
-  bytes + 1 > 19999 AS oversize FROM laid"""
-
-    q["analyze_batches"] = f"""WITH {LOGS},
+    q["pack_batches"] = f"""WITH RECURSIVE {SIZED},
+{greedy("sized")}
+SELECT insert_id, service_name, batch_no, bytes + 1 > 19999 AS oversize FROM packed"""
+
+    q["analyze_batches"] = f"""WITH RECURSIVE {LOGS},
 known AS (
   SELECT *, md5('{{"location":"' || location || '","service_name":"' || service_name || '"}}|'
     || severity || '|' || message) AS signature,
     {sized("{'severity': severity, 'service_name': service_name, 'message': message}")} AS bytes
   FROM clean),
-numbered AS (SELECT *, (row_number() OVER (PARTITION BY service_name ORDER BY ts, insert_id) - 1) // 500
-  AS chunk FROM known),
-laid AS (SELECT *, sum(bytes + 1) OVER (PARTITION BY service_name, chunk ORDER BY ts, insert_id
-  ROWS UNBOUNDED PRECEDING) AS upto FROM numbered),
-packed AS (SELECT *, CAST(2 * ((upto - bytes - 1) // 19999) + CASE WHEN
-  (upto - bytes - 1) // 19999 = (upto - 1) // 19999 THEN 0 ELSE 1 END AS BIGINT) AS slot FROM laid),
+{greedy("known")},
 keyed AS (
-  SELECT *, message AS log_message, service_name || '/' || chunk || '/' || slot AS batch FROM packed
+  SELECT *, message AS log_message, service_name || '/' || batch_no AS batch FROM packed
   UNION ALL SELECT *, message, service_name FROM packed),
 totals AS (SELECT batch, count(*) AS entries, CAST(sum(bytes) + count(*) + 1 AS BIGINT) AS payload
   FROM keyed GROUP BY batch),
