@@ -186,26 +186,27 @@ def judged_passages(near: DataFrame, files: DataFrame) -> DataFrame:
     vocabulary = sorted({t for own in _OWN for t in own} | {""})
     known = {r["term"]: r["n"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
     scanner = Scanner(known.pop("", 0), known)
-    distinct = near.select("passage").distinct()
+    # Terms travel with a name of their passage, not with its text: a line may be long and rich in terms.
+    distinct = near.select("passage").distinct().withColumn("id", F.md5(F.col("passage").cast("binary")))
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for text in part.column("passage").to_pylist():
-                own = sorted(set(terms(text)))
-                yield pa.RecordBatch.from_arrays([pa.array([text] * len(own), pa.string()), pa.array(own, pa.string())], ["passage", "term"])
+            for name, text in zip(part.column("id").to_pylist(), part.column("passage"), strict=True):
+                own = sorted(set(terms(text.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.string())], ["id", "term"])
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column("passage").to_pylist()
             found = [
-                scanner.best(text, {t["term"]: t["n"] for t in own})
-                for text, own in zip(texts, part.column("own").to_pylist(), strict=True)
+                scanner.best(text.as_py(), {t["term"]: t["n"] for t in own.as_py()})
+                for text, own in zip(part.column("passage"), part.column("own"), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([part.column("passage"), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.float64())], ["passage", "template", "score"])
 
-    counted = distinct.mapInArrow(split, "passage string, term string").join(frequencies, "term")
-    counted = counted.groupBy("passage").agg(F.collect_list(F.struct("term", "n")).alias("own"))
-    return counted.mapInArrow(judge, "passage string, template int, score double")
+    counted = distinct.mapInArrow(split, "id string, term string").join(frequencies, "term")
+    counted = counted.groupBy("id").agg(F.collect_list(F.struct("term", "n")).alias("own"))
+    joined = distinct.join(counted, "id").select("passage", "own")
+    return joined.mapInArrow(judge, "passage string, template int, score double")
 
 
 def license_scan(files: DataFrame, *keep: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operator 6: toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over the words of a text learns from confirmed toxic texts (P) and unlabelled
-texts (U) only. With class prior ``pi`` the risk is ``pi * R_P(+) + max(0, R_U(-) - pi * R_P(-))``: the
-part for the negatives is what U shows once its share of positives is taken away, and it is kept from
-going below zero, or a flexible model would drive it there. When it does go below, the step is taken
-against it, as in the published method. A step that shrinks small weights to zero keeps rare chance
-words out of the model.
+texts (U) only. With class prior ``pi`` the risk is ``pi * R_P(+) + max(0, R_all(-) - pi * R_P(-))``: the
+part for the negatives is what all texts show once their share of positives is taken away, and it is
+kept from going below zero, or a flexible model would drive it there. When it does go below, the step is
+taken against it, as in the published method. U leaves the confirmed texts out, so where these are a
+share ``rho`` of all, ``R_all(-)`` is ``(1 - rho) * R_U(-) + rho * R_P(-)``; with all toxic texts confirmed
+that is plain supervised learning. A step that shrinks small weights to zero keeps rare chance words out
+of the model.
 
 Training runs on the driver over a bounded sample (``MOST_POSITIVE``, ``MOST_UNLABELLED`` texts, as
 arrays of distinct hashed words); scoring reads every whole text in one pass, without a shuffle.
@@ -27,13 +29,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Bounds of the training sample, in texts. The class prior is counted over all labelled rows.
 MOST_POSITIVE = 3000
 MOST_UNLABELLED = 9000
-#: Longer texts are described by so many of their features (the smallest hashes) in training.
-MOST_TRAIN_FEATURES = 20_000
 #: Beginnings of words that are features beside the words, so that inflected forms share weight.
 PREFIXES = (4, 5, 6)
-#: A feature has to be so many times as frequent in P as in U; a pure sign of the class reaches
-#: one over the prior.
-LEAST_LIFT = 4.0
+#: A feature has to be so many times as frequent in P as in U, or half as many times as a pure sign of the
+#: class can be, which is one over the prior; but always a little more frequent.
+LIFT, LEAST_LIFT = 4.0, 1.2
 THRESHOLD = 0.7
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -82,10 +82,38 @@ def _csr(rows: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(at_row), np.concatenate(at_col)
 
 
+def least_lift(prior: float) -> float:
+    return max(LEAST_LIFT, min(LIFT, 0.5 / prior))
+
+
+def risk(
+    w: np.ndarray, positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], prior: float, confirmed: float = 0.0
+) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the risk of weights ``w`` (the bias last), for the positives and the negatives, and
+    their gradients. Texts are (row, column) of their features and a number of rows."""
+    v = len(w) - 1
+
+    def probability(rows, cols, n):
+        return 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n) + w[v], -30, 30)))
+
+    def gradient(rows, cols, slope):
+        return np.append(np.bincount(cols, slope[rows], v), slope.sum())
+
+    (pr, pc, n_p), (ur, uc, n_u) = positive, unlabelled
+    p, u = probability(*positive), probability(*unlabelled)
+    share, rest = 1 - min(confirmed, prior), prior - min(confirmed, prior)
+    above = -prior * np.log(np.maximum(p, 1e-12)).mean()
+    below = -share * np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + rest * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
+    g_pos = gradient(pr, pc, prior * (p - 1) / n_p)
+    g_neg = gradient(ur, uc, share * u / n_u) - gradient(pr, pc, rest * p / n_p)
+    return float(above), float(below), g_pos, g_neg
+
+
 def fit_nnpu(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
     prior: float,
+    confirmed: float = 0.0,
     steps: int = 400,
     rate: float = 0.05,
     shrink: float = 0.0002,
@@ -93,8 +121,9 @@ def fit_nnpu(
 ) -> ToxicModel:
     """Minimise the non-negative risk with the logistic loss by Adam with a shrinking step.
 
-    Features are screened first: those found in ``least_rows`` positive texts and ``LEAST_LIFT`` times
-    as often there as in the unlabelled ones.
+    ``prior`` is the share of toxic among all texts, ``confirmed`` that of the texts known to be. Features
+    are screened first: those found in ``least_rows`` positive texts and :func:`least_lift` times as
+    often there as in the unlabelled ones.
 
     Without positive or unlabelled texts there is nothing to learn: the model scores the prior.
     """
@@ -106,28 +135,17 @@ def fit_nnpu(
     _, at = _csr(unlabelled, found)
     in_u = np.bincount(at, minlength=len(found))
     least = max(min(least_rows, len(positive)), 0.003 * len(positive))
-    vocabulary = found[(in_p >= least) & (in_p / len(positive) >= LEAST_LIFT * in_u / len(unlabelled))]
+    lift = least_lift(prior)
+    vocabulary = found[(in_p >= least) & (in_p / len(positive) >= lift * in_u / len(unlabelled))]
     (pr, pc), (ur, uc) = _csr(positive, vocabulary), _csr(unlabelled, vocabulary)
     n_p, n_u, v = len(positive), len(unlabelled), len(vocabulary)
     w, b = np.zeros(v + 1), start
     w[v] = b
     first, second = np.zeros(v + 1), np.zeros(v + 1)
 
-    def margin(rows, cols, n):
-        return np.bincount(rows, w[cols], n) + w[v]
-
-    def gradient(rows, cols, slope):
-        return np.append(np.bincount(cols, slope[rows], v), slope.sum())
-
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(margin(pr, pc, n_p), -30, 30)))
-        u = 1 / (1 + np.exp(-np.clip(margin(ur, uc, n_u), -30, 30)))
-        negative = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
-        g_neg = gradient(ur, uc, u / n_u) - gradient(pr, pc, prior * p / n_p)
-        if negative < 0:
-            g = -g_neg
-        else:
-            g = gradient(pr, pc, prior * (p - 1) / n_p) + g_neg
+        _, negative, g_pos, g_neg = risk(w, (pr, pc, n_p), (ur, uc, n_u), prior, confirmed)
+        g = -g_neg if negative < 0 else g_pos + g_neg
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         scale = rate / (np.sqrt(second / (1 - 0.99**step)) + 1e-5)
@@ -148,7 +166,7 @@ def _sample(docs: DataFrame, ids: DataFrame, limit: int) -> list[np.ndarray]:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [hashed_words(t)[:MOST_TRAIN_FEATURES].tobytes() for t in part.column("text").to_pylist()]
+            rows = [hashed_words(t).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "words"])
 
     # At most ``limit`` ids are broadcast, whatever the size of the table.
@@ -167,9 +185,12 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     labels = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     seen = labels.agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first()["prior"]
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    other = docs.select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    positive = _sample(docs, toxic, MOST_POSITIVE)
-    return fit_nnpu(positive, _sample(docs, other, MOST_UNLABELLED), 0.05 if seen is None else seen)
+    ids = docs.select("doc_id").distinct()
+    counted = ids.join(toxic.withColumn("p", F.lit(1)), "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("p")).first()
+    other = ids.join(toxic, "doc_id", "left_anti")
+    positive, unlabelled = _sample(docs, toxic, MOST_POSITIVE), _sample(docs, other, MOST_UNLABELLED)
+    confirmed = counted["p"] / counted["n"] if counted["n"] else 0.0
+    return fit_nnpu(positive, unlabelled, 0.05 if seen is None else seen, confirmed)
 
 
 def with_score(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame:

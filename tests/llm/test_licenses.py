@@ -49,3 +49,21 @@ def test_frequencies_of_all_terms(spark):
     files = spark.createDataFrame([("a", "Is this it\nit is\n\n"), ("b", "is is licensed"), ("c", None)], "path string, text string")
     found = {r["term"]: r["n"] for r in licenses.line_frequencies(files).collect()}
     assert found == {"": 3, "is": 3, "this": 1, "it": 2, "licensed": 1}
+
+
+def test_one_long_line(spark):
+    """A megabyte in one line with 50,000 distinct words: terms travel by the name of their passage."""
+    line = " ".join(f"word{i}" for i in range(50_000)) + " Licensed under the MIT License. " + "tail " * 100_000
+    files = spark.createDataFrame([("a/x.txt", line), ("a/y.txt", "nothing"), ("b/LICENSE", "The MIT License (MIT)")], "path string, text string")
+    found = {r["path"]: (r["own_license"], r["license"]) for r in licenses.license_scan(files).collect()}
+    assert found["a/x.txt"] == ("MIT", "MIT") and found["b/LICENSE"][0] == "MIT" and found["a/y.txt"][0] is None
+
+
+def test_small_tables(spark):
+    names = "path string, text string, term string, id string, passage string, own string, n long"
+    rows = [("d/LICENSE", "Released under the MIT License.", "t", "i", "p", "o", 1)] * 2 + [("d/e/f", None, "t", "i", "p", "o", 2), ("d/e/g", "", "t", "i", "p", "o", 3)]
+    files = spark.createDataFrame(rows, names)
+    found = licenses.license_scan(files, "id", "n").collect()
+    assert [(r["path"], r["license"], r["id"]) for r in sorted(found, key=lambda r: (r["path"], r["n"]))] == [
+        ("d/LICENSE", "MIT", "i"), ("d/LICENSE", "MIT", "i"), ("d/e/f", "MIT", "i"), ("d/e/g", "MIT", "i")]
+    assert licenses.license_scan(files.where("false")).count() == 0

@@ -230,6 +230,53 @@ def test_toxicity_learns_from_unlabelled(spark):
     assert right / len(held) > 0.97 and all(0 <= r["score"] <= 1 for r in found)
 
 
+def toxic_corpus(rng, n, share):
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    signs = ["vileword", "foulword", "badword", "nastyword"]
+    rows, toxic = [], set()
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 60))]
+        if rng.random() < share:
+            toxic.add(i)
+            words[3:6] = [rng.choice(signs) for _ in range(3)]
+        rows.append((i, " ".join(words)))
+    return rows, toxic
+
+
+@pytest.mark.parametrize("share, seen", [(0.03, 0.3), (0.1, 0.25), (0.3, 0.25), (0.5, 0.25), (0.3, 1.0), (0.1, 1.0)])
+def test_toxicity_at_every_share(spark, share, seen):
+    """Held-out recall and false positives, also where every toxic text is confirmed."""
+    rng = random.Random(int(100 * share))
+    rows_, toxic = toxic_corpus(rng, 3000, share)
+    labels = [(i, 1, int(i in toxic)) for i, _ in rows_ if rng.random() < seen]
+    docs_ = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = toxicity.toxicity(docs_, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in found if r["held_out"]]
+    caught = [r["predicted"] for r in held if r["doc_id"] in toxic]
+    alarms = [r["predicted"] for r in held if r["doc_id"] not in toxic]
+    assert sum(caught) >= 0.9 * len(caught) and sum(alarms) <= (0.03 if share < 0.5 else 0.06) * len(alarms)
+
+
+@pytest.mark.parametrize("confirmed", [0.0, 0.1, 0.3])
+def test_risk_and_gradient_like_brute_force(confirmed):
+    rng = np.random.default_rng(2)
+    p, u = rng.random((7, 5)) < 0.5, rng.random((11, 5)) < 0.4
+    w, prior = rng.standard_normal(6), 0.3
+
+    def parts(w):
+        score = lambda x: 1 / (1 + np.exp(-(x @ w[:5] + w[5])))
+        everything = (1 - confirmed) * -np.log(1 - score(u)).mean() + confirmed * -np.log(1 - score(p)).mean()
+        return prior * -np.log(score(p)).mean(), everything - prior * -np.log(1 - score(p)).mean()
+
+    sparse = lambda x: (*(i.astype(np.int32) for i in np.nonzero(x)), len(x))
+    above, below, g_pos, g_neg = toxicity.risk(w, sparse(p), sparse(u), prior, confirmed)
+    assert np.allclose((above, below), parts(w), atol=1e-12)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        slopes = (np.array(parts(w + step)) - np.array(parts(w - step))) / 2e-6
+        assert np.allclose(slopes, (g_pos[k], g_neg[k]), atol=1e-7)
+
+
 def test_licenses(spark):
     note = "Licensed under the Apache License, Version 2.0."
     files = [("a/LICENSE", note), ("a/b/c.txt", "code"), ("a/b/d/e.txt", None), ("f/g.txt", "# Released under the MIT License."), ("f/h.txt", ""), (None, "x"), ("a/b/d/COPYING", "This work is licensed under the GNU General Public License, version 3.")]
