@@ -1,7 +1,7 @@
 """SQL counterparts of the registered queries, where SQL can express them.
 
-The other operators hash with functions that SQL lacks (2, 9, 10), learn (6), or follow tokenizer
-tables and templates (4, 7); their tests hold them against brute force.
+The other operators hash with functions that SQL lacks (2, 9, 10), learn (6), take eigenvectors (11), or
+follow tokenizer tables and templates (4, 7); their tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -175,10 +175,74 @@ FROM rated
 """
 
 
+#: A maximal run of letters, digits and everything beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{lower}'), '{TERM}')"
+
+
+OP12 = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_terms('text')} AS terms FROM documents),
+live AS (SELECT r, doc_id, terms, len(terms) AS n FROM texts WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS big, sum(n)::BIGINT AS total FROM live),
+counted AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM live) GROUP BY r, term
+),
+frequency AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+asked AS (SELECT DISTINCT item_id, text FROM benchmark),
+wanted AS (SELECT item_id, text, unnest({_terms('text')}) AS term FROM asked),
+weighed AS (
+    SELECT w.item_id, w.text, w.term, count(*) AS times,
+           floor(1000 * ln((2 * any_value(big) + 2)::DOUBLE / (2 * any_value(f.df) + 1)))::BIGINT AS w
+    FROM wanted w JOIN frequency f ON f.term = w.term CROSS JOIN totals GROUP BY w.item_id, w.text, w.term
+),
+scored AS (
+    SELECT g.item_id, g.text, l.doc_id, l.r,
+           sum(g.times * g.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (25 + (75 * l.n * t.big) // t.total))))::BIGINT AS score
+    FROM weighed g JOIN counted c ON c.term = g.term JOIN live l ON l.r = c.r CROSS JOIN totals t
+    GROUP BY g.item_id, g.text, l.doc_id, l.r
+),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: All pairs; the small tables lie in one cell, where the operator loses none.
+OP13 = """
+WITH RECURSIVE fine AS (
+    SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9
+),
+reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM fine
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT DISTINCT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(l.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least l USING (vec_id) LEFT JOIN counted c USING (vec_id)
+"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op1_warc_chain": OP1,
         "op3_phrase_automata": OP3,
         "op5_line_quality": OP5,
         "op8_systematic_mix": OP8,
+        "op12_bloom_search": OP12,
+        "op13_multi_index": OP13,
     }
