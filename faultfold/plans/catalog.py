@@ -837,3 +837,16 @@ def stream_answers(spark, sf_dir):
     done = events.current_ledger(spark, state).select("insert_id", "status", F.lit(None).cast("string").alias("reason"))
     given_up = dead.select(F.get_json_object("raw", "$.insert_id").alias("insert_id"), F.lit("DEAD").alias("status"), "reason")
     return done.unionByName(given_up)
+
+
+@query
+def stream_figures(spark, sf_dir):
+    """Figures of all reports kept up to date by what each micro-batch adds."""
+    state = _triaged(spark, sf_dir, call=hooks.calm_call)
+    whole = F.lit("all").alias("impact")
+    kpis = events.current_kpis(spark, state).select(whole, *["reports", "occurrences", "critical", "high", "services"])
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("critical", "high", "services")]
+    levels = events.current_impacts(spark, state).select(
+        "impact", F.col("ord").cast("bigint").alias("reports"), F.col("count").alias("occurrences"), *none
+    )
+    return kpis.unionByName(levels)

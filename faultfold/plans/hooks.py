@@ -38,6 +38,14 @@ def mixed_call(entries: list[dict], instruction: str | None) -> str:
     return answers.get(shape, json.dumps({"incidents": [good]}))
 
 
+def calm_call(entries: list[dict], instruction: str | None) -> str:
+    """An answer in the right shape: the impact follows from the signature, some have no service."""
+    entry = entries[0]
+    letter = int(entry["signature"][0], 16)
+    impact = ["CRITICAL", "high", "Medium impact", "LOW", "none"][letter % 5]
+    return json.dumps({"incidents": [incident(entry, business_impact=impact, service_name=entry["service_name"] if letter else None)]})
+
+
 #: The error of each failing shape, by the first letter of the signature.
 ERRORS = {
     "0": "RuntimeError: model is down",

@@ -634,6 +634,16 @@ WHERE report_id IS NULL AND new_id NOT IN (SELECT id FROM reports)"""
     q["stream_answers"] = f"""WITH {SIGNED},
 judged AS (SELECT insert_id, CASE signature[1:1] {gone} END AS reason FROM signed)
 SELECT insert_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'DEAD' END AS status, reason FROM judged"""
+    q["stream_figures"] = f"""WITH {REPORTS},
+judged AS (SELECT ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'][1 + ('0x' || signature[1:1])::BIGINT % 5] AS impact,
+    incident_count, CASE WHEN signature[1:1] <> '0' THEN service_name END AS service FROM rolled),
+levels(ord, impact) AS (VALUES (1, 'CRITICAL'), (2, 'HIGH'), (3, 'MEDIUM'), (4, 'LOW'))
+SELECT 'all' AS impact, count(*) AS reports, CAST(sum(incident_count) AS DOUBLE) AS occurrences,
+  count(*) FILTER (WHERE impact = 'CRITICAL') AS critical, count(*) FILTER (WHERE impact = 'HIGH') AS high,
+  count(DISTINCT service) AS services FROM judged
+UNION ALL
+SELECT l.impact, l.ord, CAST(coalesce(sum(incident_count), 0) AS DOUBLE), NULL, NULL, NULL
+FROM levels l LEFT JOIN judged j USING (impact) GROUP BY l.impact, l.ord"""
     q["stream_reports"] = _report_query(
         "reports",
         "id, signature, incident_count, last_seen_timestamp, last_insert_id, severity, service_name, "

@@ -16,8 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultfold.functions.display import present
 from faultfold.functions.jsontext import compact_json, escaped_bytes
-from faultfold.operators import claims, reports, rollup
+from faultfold.functions.severity import normalize_impact
+from faultfold.operators import claims, dashboard, reports, rollup
 from faultfold.operators.analysis import rule_analyzer, usable_instruction
 from faultfold.operators.deadletters import retained
 from faultfold.operators.selection import exportable
@@ -36,9 +38,11 @@ ENTRY_SCHEMA = (
 )
 FAULT_SCHEMA = f"signature string, {state.FAULT}"
 OUTCOME_SCHEMA = (
-    f"{state.OUTCOME.replace('incidents string, ', '')}, {INCIDENT_FIELDS.replace('service_name', 'incident_service')}, "
-    "at timestamp"
+    f"signature string, outcome string, report_id string, {state.FAULT}, problem string, attempts int, "
+    f"{INCIDENT_FIELDS.replace('service_name', 'incident_service')}, at timestamp"
 )
+# Sums that the figures of all reports are made of: a row for each service and impact.
+FIGURE_SCHEMA = "service_name string, business_impact string, reports bigint, occurrences bigint"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -67,6 +71,15 @@ def outcome_table(spark: SparkSession, root: str) -> BatchTable:
     return BatchTable(spark, f"{root}/outcomes", OUTCOME_SCHEMA, fold=merge_followers)
 
 
+def figure_table(spark: SparkSession, root: str) -> BatchTable:
+    return BatchTable(spark, f"{root}/figures", FIGURE_SCHEMA, fold=_added_up)
+
+
+def _added_up(figures: DataFrame) -> DataFrame:
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("reports", "occurrences")]
+    return figures.groupBy("service_name", "business_impact").agg(*sums)
+
+
 def merge_followers(outcomes: DataFrame) -> DataFrame:
     """Followers of a report become one row, with its counts, sightings and batches; the rest stays,
     but for attempts that another one has followed."""
@@ -80,6 +93,8 @@ def merge_followers(outcomes: DataFrame) -> DataFrame:
         F.max(F.struct("last_us", "last_insert_id"))["last_insert_id"].alias("last_insert_id"),
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
+        F.max("incident_service").alias("incident_service"),
+        F.max("business_impact").alias("business_impact"),
         F.max("at").alias("at"),
     )
     rest = outcomes.where(~follows & (F.col("outcome") != state.WAITING))
@@ -170,24 +185,37 @@ def start_intake(
 
 
 def _with_incident(rows: DataFrame, ruled: bool) -> DataFrame:
-    """Outcomes with the columns of the first incident of their answer, or by the rules."""
-    reported = F.col("outcome") == state.REPORTED
+    """Outcomes with the columns of the first incident of their answer, or by the rules; followers have
+    the service and the impact of their report."""
+    reported, follows = (F.col("outcome") == o for o in (state.REPORTED, state.FOLLOWS))
     own = [c for c in INCIDENT_COLUMNS if c != "service_name"]
     if ruled:
         made = rule_analyzer(_times(rows))
         values = {c: F.col(c) for c in own} | {"incident_service": F.col("service_name")}
+        known = {c: values[c] for c in ("business_impact", "incident_service")}
     else:
         first = F.element_at(F.from_json("incidents", f"array<struct<{INCIDENT_FIELDS}>>"), 1)
         made = rows.withColumn("_incident", first)
         values = {c: F.col("_incident")[c] for c in own} | {"incident_service": F.col("_incident")["service_name"]}
-    kept = [c for c in rows.columns if c != "incidents"]
+        known = {"business_impact": F.col("known_impact"), "incident_service": F.col("known_service")}
+    kept = [c for c in rows.columns if c not in ("incidents", "known_service", "known_impact")]
     return made.select(
         *kept,
-        *[F.when(reported, v).alias(c) for c, v in values.items()],
+        *[F.when(reported, v).when(follows, known.get(c, F.lit(None))).alias(c) for c, v in values.items()],
         F.current_timestamp().alias("at"),
     )
 
 
+def _figures(outcomes: DataFrame) -> DataFrame:
+    """What outcomes add to the figures."""
+    rows = outcomes.where(F.col("outcome").isin(state.REPORTED, state.FOLLOWS)).select(
+        F.col("incident_service").alias("service_name"), "business_impact",
+        (F.col("outcome") == state.REPORTED).cast("bigint").alias("reports"),
+        F.col("incident_count").alias("occurrences"),
+    )
+    return _added_up(rows)
+
+
 def start_triage(
     spark: SparkSession,
     root: str,
@@ -219,9 +247,15 @@ def start_triage(
     target = session.createDataFrame([], OUTCOME_SCHEMA).columns
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        here, run = batch.sparkSession, run_of(batch.sparkSession)
         rows = _with_incident(batch, call is None).select(*target)
-        # Timers make batches without rows, too.
-        outcome_table(batch.sparkSession, root).append(rows, run_of(batch.sparkSession), batch_id, skip_empty=True)
+        # A batch that is repeated has to be computed again, or its state would be missing, and its
+        # outcomes are those of the state. Timers make batches without rows, too.
+        table = outcome_table(here, root)
+        table.append(rows, run, batch_id, skip_empty=True, replace=True)
+        there = table.own(run, batch_id)
+        if there is not None:
+            figure_table(here, root).append(_figures(there[0]), run, batch_id, replace=True)
 
     return (
         outcomes.writeStream.foreachBatch(save)
@@ -281,6 +315,33 @@ def current_signatures(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def current_figures(spark: SparkSession, root: str) -> DataFrame:
+    """Reports and occurrences per service and impact, from what each batch added: no report is read.
+
+    A row stands for many reports: ``incident_count`` is their occurrences, for :func:`current_kpis`.
+    """
+    return _added_up(figure_table(spark, root).read())
+
+
+def current_kpis(spark: SparkSession, root: str) -> DataFrame:
+    """What ``dashboard.report_kpis`` says of all reports."""
+    impact = normalize_impact(F.col("business_impact"))
+    reports_ = F.col("reports")
+    return current_figures(spark, root).agg(
+        F.coalesce(F.sum(reports_), F.lit(0)).cast("bigint").alias("reports"),
+        F.coalesce(F.sum("occurrences").cast("double"), F.lit(0.0)).alias("occurrences"),
+        F.coalesce(F.sum(F.when(impact == "CRITICAL", reports_)), F.lit(0)).cast("bigint").alias("critical"),
+        F.coalesce(F.sum(F.when(impact == "HIGH", reports_)), F.lit(0)).cast("bigint").alias("high"),
+        F.count_distinct(present(F.col("service_name"))).alias("services"),
+    )
+
+
+def current_impacts(spark: SparkSession, root: str) -> DataFrame:
+    """What ``dashboard.impact_rollup`` says of all reports."""
+    rows = current_figures(spark, root).withColumnRenamed("occurrences", "incident_count")
+    return dashboard.impact_rollup(rows)
+
+
 def current_ledger(spark: SparkSession, root: str) -> DataFrame:
     """insert_id, status and processed_timestamp of every entry whose signature has been settled.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -36,7 +37,10 @@ FAULT = (
     "first_seq bigint, last_seq bigint"
 )
 FAULT_FIELDS = [f.split()[0] for f in FAULT.split(", ")]
-OUTCOME = f"signature string, outcome string, report_id string, {FAULT}, incidents string, problem string, attempts int"
+OUTCOME = (
+    f"signature string, outcome string, report_id string, {FAULT}, incidents string, problem string, attempts int, "
+    "known_service string, known_impact string"
+)
 
 
 class Fault(NamedTuple):
@@ -108,7 +112,7 @@ class SignatureState(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "report_id string, last_us bigint", self.ttl)
+        self.known = handle.getValueState("known", "report_id string, service string, impact string", self.ttl)
         self.open = handle.getValueState("open", f"{FAULT}, attempts int, since_ms bigint, due_ms bigint")
         # Batches of entries come in order, so the last number tells which have been seen.
         self.seen = handle.getValueState("seen", "seq bigint", int(1000 * MAIN_RETENTION))
@@ -131,10 +135,10 @@ class SignatureState(StatefulProcessor):
             *old, attempts, since, due = self.open.get()
             self.open.update((*Fault(*old).with_(fault), attempts, since, due))
         elif self.known.exists():
-            report, _ = self.known.get()
+            report, service, impact = self.known.get()
             # Written again, so that a report with entries does not expire.
-            self.known.update((report, fault.last_us))
-            yield self._row(key, FOLLOWS, fault, report)
+            self.known.update((report, service, impact))
+            yield self._row(key, FOLLOWS, fault, report, known_service=service, known_impact=impact)
         elif fault.bytes > self.max_bytes:
             yield self._row(key, REJECTED, fault)
         else:
@@ -155,7 +159,8 @@ class SignatureState(StatefulProcessor):
                 yield self._row(key, NOTHING, fault)
                 return
             report = hashlib.md5(f"{key[0]}|{fault.first_insert_id}".encode()).hexdigest()
-            self.known.update((report, fault.last_us))
+            first = json.loads(found)[0] if found else {}
+            self.known.update((report, first.get("service_name"), first.get("business_impact")))
             yield self._row(key, REPORTED, fault, report, found)
             return
         attempts += 1
@@ -179,8 +184,12 @@ class SignatureState(StatefulProcessor):
         return incidents_of(self.call, [entry], self.instruction)
 
     @staticmethod
-    def _row(key, outcome: str, fault: Fault, report=None, incidents=None, problem=None, attempts=None) -> Row:
+    def _row(
+        key, outcome: str, fault: Fault, report=None, incidents=None, problem=None, attempts=None,
+        known_service=None, known_impact=None,
+    ) -> Row:
         return Row(
             signature=key[0], outcome=outcome, report_id=report, **fault._asdict(),
             incidents=incidents, problem=problem, attempts=attempts,
+            known_service=known_service, known_impact=known_impact,
         )

@@ -118,40 +118,56 @@ class BatchTable:
 
     def own(self, run: str, batch: int) -> tuple[DataFrame, int] | None:
         """Rows and number of a batch that was committed last of its run, for a batch that is repeated."""
-        last = self.manifest()["last"].get(run)
-        if last is None or last["batch"] < batch:
-            return None
-        if last["batch"] > batch:
-            raise RuntimeError(f"batch {batch} of {run} comes after {last['batch']}")
-        return self._rows([last]), last["number"]
+        last = self._last(run, batch)
+        return None if last is None else (self._rows([last]), last["number"])
 
     def next_number(self) -> int:
         """The number that the next batch gets; it rises over all runs."""
         return self.manifest()["number"] + 1
 
     def append(
-        self, rows: DataFrame, run: str, batch: int, days: list[str | None] | None = None, skip_empty: bool = False
-    ) -> int:
-        """Commit the rows of a batch and return its number. A batch that is there already stays as it is.
+        self, rows: DataFrame, run: str, batch: int, days: list[str | None] | None = None,
+        skip_empty: bool = False, replace: bool = False,
+    ) -> int:
+        """Commit the rows of a batch and return its number.
 
-        ``rows`` are computed once, wholly. With ``skip_empty`` a batch without rows leaves no trace.
+        A batch that is there already stays as it is, or gets the new rows with ``replace``. ``rows`` are
+        computed once, wholly. With ``skip_empty`` a batch without rows leaves no trace.
         """
-        there = self.own(run, batch)
-        if there is not None:
-            return there[1]
+        last = self._last(run, batch)
+        if last is not None and not replace:
+            return last["number"]
+        while some := next_fold(self._settled(), self.fanout):
+            self._fold(some)
         path = self._write(rows)
         state = self.manifest()
+        files = [f for f in state["files"] if last is None or f["path"] != last["path"]]
+        number = state["number"] + 1 if last is None else last["number"]
         if skip_empty and self._rows([{"path": path}]).isEmpty():
-            self.folder.delete(path)
-            return state["number"]
-        number = state["number"] + 1
-        made = {"path": path, "level": 0, "days": days_of([days])}
-        last = {**state["last"], run: {"batch": batch, "number": number, "path": path}}
-        self._commit(state, [*state["files"], made], last, number)
-        while some := next_fold(self.manifest()["files"], self.fanout):
-            self._fold(some)
+            if last is None:
+                self.folder.delete(path)
+                return state["number"]
+        else:
+            files.append({"path": path, "level": 0, "days": days_of([days])})
+        ends = {**state["last"], run: {"batch": batch, "number": number, "path": path}}
+        self._commit(state, files, ends, max(number, state["number"]))
         return number
 
+    def _last(self, run: str, batch: int) -> dict | None:
+        """The entry of a batch that was committed last of its run."""
+        last = self.manifest()["last"].get(run)
+        if last is None or last["batch"] < batch:
+            return None
+        if last["batch"] > batch:
+            raise RuntimeError(f"batch {batch} of {run} comes after {last['batch']}")
+        return last
+
+    def _settled(self) -> list[dict]:
+        """Folders that may be folded: all but the last of each run, which may come again."""
+        state = self.manifest()
+        ends = {x["path"] for x in state["last"].values()}
+        return [f for f in state["files"] if f["path"] not in ends]
+
     def _fold(self, some: list[dict]) -> None:
         rows = self._rows(some)
         rows = self.fold(rows) if self.fold else rows

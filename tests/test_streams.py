@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultfold.operators.rollup import incident_rollup
+from faultfold.operators import dashboard
 from faultfold.plans import fixtures, hooks
 from faultfold.schemas import ENVELOPE_SCHEMA
 from faultfold.sources import envelopes
@@ -123,6 +124,42 @@ def test_repeated_batches_count_once(spark, tmp_path, monkeypatch):
     assert events.current_dead_letters(spark, state, later).count() == 0
 
 
+def test_a_triage_batch_that_is_repeated(spark, tmp_path, monkeypatch):
+    """The query dies when outcomes are committed and Spark does not know; the answers differ the next time."""
+    state = str(tmp_path / "state")
+    spark.createDataFrame([], events.FAULT_SCHEMA).write.parquet(f"{state}/faults")
+    intake(spark, state, 0, one_entry("e1"), one_entry("e2"))
+    original = events.BatchTable.append
+
+    def dying(self, *args, **kwargs):
+        original(self, *args, **kwargs)
+        raise RuntimeError("killed after the commit")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(events.BatchTable, "append", dying)
+        with pytest.raises(Exception, match="killed after the commit"):
+            triage(spark, state, tmp_path)
+    assert events.current_reports(spark, state).count() == 1
+    # The batch again, now with a model that finds nothing: its outcomes replace those of the first time.
+    triage(spark, state, tmp_path, call=lambda e, i: '{"incidents": []}')
+    assert events.current_reports(spark, state).count() == 0 and len(statuses(spark, state)) == 2
+    intake(spark, state, 1, one_entry("e3"))
+    triage(spark, state, tmp_path)
+    assert [r["incident_count"] for r in events.current_reports(spark, state).collect()] == [1]
+    assert tuple(events.current_kpis(spark, state).first())[:2] == (1, 1.0)
+
+
+def test_figures_equal_the_full_pass(spark, sf_dir, tmp_path):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    deliver(spark, sf_dir, folder, 2)
+    for _ in range(2):
+        state = run(spark, folder, root, call=hooks.calm_call)
+        deliver(spark, sf_dir, folder, 1)
+    reports = events.current_reports(spark, state)
+    assert events.current_kpis(spark, state).collect() == dashboard.report_kpis(reports).collect()
+    assert events.current_impacts(spark, state).collect() == dashboard.impact_rollup(reports).collect()
+
+
 def test_failures_are_tried_again_without_new_data(spark, tmp_path):
     state, calls = str(tmp_path / "state"), str(tmp_path / "calls")
     spark.createDataFrame([], events.FAULT_SCHEMA).write.parquet(f"{state}/faults")
