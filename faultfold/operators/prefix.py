@@ -29,17 +29,17 @@ def running(
     """Add running sums and running maxima, current row included, in ascending ``order``.
 
     ``order`` must be total inside a group. Keys compare null-safely. ``parts`` is the number of
-    partitions, by default what the session shuffles into. A caller who knows the size of the input
-    gives one for every 256 MB or so; Spark's own estimate is of no use behind a join.
+    partitions; without one adaptive execution makes as many as the rows need, once it has seen their
+    size, up to what the session shuffles into.
     """
     sums = sums or {}
     maxima = maxima or {}
     valued = rows.select("*", *[v.alias(n) for n, v in {**sums, **maxima}.items()])
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = [parts] if parts else []
     # Kept, since the carries and the rows must see the same partitions. The input is computed twice,
     # for a sample of its keys and for the shuffle.
     placed = settle(
-        valued.repartitionByRange(parts, *keys, *order).withColumn(_PART, F.spark_partition_id())
+        valued.repartitionByRange(*wanted, *keys, *order).withColumn(_PART, F.spark_partition_id())
     )
     carries = _carries(placed, keys, list(sums), list(maxima))
 

@@ -45,9 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _work_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/faultfold/{spark.sparkContext.applicationId}"
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder of :func:`shared_dir` for one run."""
-    return f"{shared_dir(spark).rstrip('/')}/faultfold/{purpose}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of :func:`shared_dir` for one run of this application; see :func:`sweep`."""
+    return f"{_work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application has written under :func:`work_dir`.
+
+    For whoever has used up its results: a result is read from there only when an action asks for it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df):

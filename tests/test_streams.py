@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +273,10 @@ def test_counts_of_a_new_checkpoint(spark, sf_dir, tmp_path, expected):
 
 
 def test_shared_folder_is_the_one_named(spark):
-    from faultfold.session import shared_dir, work_dir
+    from faultfold.session import shared_dir, sweep, work_dir
 
     assert work_dir(spark, "x").startswith(shared_dir(spark))
+    made = work_dir(spark, "swept")
+    spark.range(3).write.parquet(made)
+    sweep(spark)
+    assert not Path(made.removeprefix("file:")).exists() and work_dir(spark, "x") != work_dir(spark, "x")
