@@ -850,3 +850,9 @@ def stream_figures(spark, sf_dir):
         "impact", F.col("ord").cast("bigint").alias("reports"), F.col("count").alias("occurrences"), *none
     )
     return kpis.unionByName(levels)
+
+
+@query
+def stream_running_count(spark, sf_dir):
+    """The count each entry sees in the stream, over micro-batches that follow in time."""
+    return events.current_numbers(spark, _triaged(spark, sf_dir, carry=True))

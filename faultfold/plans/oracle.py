@@ -634,6 +634,9 @@ WHERE report_id IS NULL AND new_id NOT IN (SELECT id FROM reports)"""
     q["stream_answers"] = f"""WITH {SIGNED},
 judged AS (SELECT insert_id, CASE signature[1:1] {gone} END AS reason FROM signed)
 SELECT insert_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'DEAD' END AS status, reason FROM judged"""
+    q["stream_running_count"] = f"""WITH {SIGNED}
+SELECT insert_id, signature, count(*) OVER (PARTITION BY signature ORDER BY ts, insert_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_count FROM signed"""
     q["stream_figures"] = f"""WITH {REPORTS},
 judged AS (SELECT ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'][1 + ('0x' || signature[1:1])::BIGINT % 5] AS impact,
     incident_count, CASE WHEN signature[1:1] <> '0' THEN service_name END AS service FROM rolled),

@@ -22,6 +22,7 @@ from faultfold.functions.severity import normalize_impact
 from faultfold.operators import claims, dashboard, reports, rollup
 from faultfold.operators.analysis import rule_analyzer, usable_instruction
 from faultfold.operators.deadletters import retained
+from faultfold.operators.prefix import number_rows
 from faultfold.operators.selection import exportable
 from faultfold.schemas import DEAD_LETTER_SCHEMA, INCIDENT_COLUMNS, INCIDENT_FIELDS
 from faultfold.sources.envelopes import decode, good
@@ -39,7 +40,7 @@ ENTRY_SCHEMA = (
 FAULT_SCHEMA = f"signature string, {state.FAULT}"
 OUTCOME_SCHEMA = (
     f"signature string, outcome string, report_id string, {state.FAULT}, problem string, attempts int, "
-    f"{INCIDENT_FIELDS.replace('service_name', 'incident_service')}, at timestamp"
+    f"before bigint, {INCIDENT_FIELDS.replace('service_name', 'incident_service')}, at timestamp"
 )
 # Sums that the figures of all reports are made of: a row for each service and impact.
 FIGURE_SCHEMA = "service_name string, business_impact string, reports bigint, occurrences bigint"
@@ -315,6 +316,22 @@ def current_signatures(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def current_numbers(spark: SparkSession, root: str) -> DataFrame:
+    """insert_id, signature and running_count of every entry: k for the k-th that was accepted.
+
+    Needs ``carry`` in :func:`start_triage`. Entries count in the order of their batches and, within one,
+    of time and insert id. The state brings what was before a batch, so an entry is numbered among
+    those of its own batch only.
+    """
+    entries = entry_table(spark, root).read().select("insert_id", "ts", "signature", "seq")
+    placed = number_rows(entries, ["signature", "seq"], rollup.EVENT_ORDER)
+    carried = outcome_table(spark, root).read().where(F.col("outcome") == state.CARRY)
+    carried = carried.select("signature", F.col("first_seq").alias("seq"), "before")
+    return placed.join(carried, ["signature", "seq"]).select(
+        "insert_id", "signature", (F.col("before") + F.col("position")).alias("running_count")
+    )
+
+
 def current_figures(spark: SparkSession, root: str) -> DataFrame:
     """Reports and occurrences per service and impact, from what each batch added: no report is read.
 

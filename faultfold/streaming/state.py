@@ -28,6 +28,8 @@ FIRST_WAIT, LONGEST_WAIT, MAIN_RETENTION = 10, 600, 86_400
 # Outcomes. A signature that waits has no outcome yet.
 REPORTED, FOLLOWS, NOTHING, REJECTED, DEAD = "reported", "follows", "nothing", "rejected", "dead"
 WAITING = "waiting"
+# Not an outcome: how many entries of its signature came before a fault.
+CARRY = "carry"
 
 #: A fault: what a batch of entries adds to a signature. Times are microseconds since 1970; ``seq`` is the
 #: number of the batch.
@@ -39,7 +41,7 @@ FAULT = (
 FAULT_FIELDS = [f.split()[0] for f in FAULT.split(", ")]
 OUTCOME = (
     f"signature string, outcome string, report_id string, {FAULT}, incidents string, problem string, attempts int, "
-    "known_service string, known_impact string"
+    "known_service string, known_impact string, before bigint"
 )
 
 
@@ -89,6 +91,8 @@ class SignatureState(StatefulProcessor):
     it. ``expire_after`` seconds without entries a report is forgotten, and the next entry of its
     signature makes a new one; by default that never happens.
 
+    With ``carry`` each fault also tells how many entries of its signature were accepted before it.
+
     A fault whose ``seq`` was seen is skipped, so that a batch of entries may be delivered twice.
     """
 
@@ -102,12 +106,14 @@ class SignatureState(StatefulProcessor):
         longest_wait: float = LONGEST_WAIT,
         retention: float = MAIN_RETENTION,
         expire_after: float | None = None,
+        carry: bool = False,
     ):
         if max_attempts < 1:
             raise ValueError("max_attempts must be at least 1")
         self.call, self.instruction = call, instruction
         self.max_attempts, self.max_bytes = max_attempts, max_bytes
         self.waits, self.retention = (first_wait, longest_wait), retention
+        self.carry = carry
         self.ttl = None if expire_after is None else int(1000 * expire_after)
 
     def init(self, handle) -> None:
@@ -116,6 +122,7 @@ class SignatureState(StatefulProcessor):
         self.open = handle.getValueState("open", f"{FAULT}, attempts int, since_ms bigint, due_ms bigint")
         # Batches of entries come in order, so the last number tells which have been seen.
         self.seen = handle.getValueState("seen", "seq bigint", int(1000 * MAIN_RETENTION))
+        self.total = handle.getValueState("total", "n bigint")
 
     def close(self) -> None:
         pass
@@ -127,6 +134,10 @@ class SignatureState(StatefulProcessor):
         for f in faults:
             if f.first_seq > last:
                 last, fault = f.last_seq, f if fault is None else fault.with_(f)
+                if self.carry:
+                    before = self.total.get()[0] if self.total.exists() else 0
+                    self.total.update((before + f.incident_count,))
+                    yield self._row(key, CARRY, f, before=before)
         if fault is None:
             return
         self.seen.update((last,))
@@ -186,10 +197,10 @@ class SignatureState(StatefulProcessor):
     @staticmethod
     def _row(
         key, outcome: str, fault: Fault, report=None, incidents=None, problem=None, attempts=None,
-        known_service=None, known_impact=None,
+        known_service=None, known_impact=None, before=None,
     ) -> Row:
         return Row(
             signature=key[0], outcome=outcome, report_id=report, **fault._asdict(),
             incidents=incidents, problem=problem, attempts=attempts,
-            known_service=known_service, known_impact=known_impact,
+            known_service=known_service, known_impact=known_impact, before=before,
         )

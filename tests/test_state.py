@@ -161,6 +161,13 @@ def test_reports_expire_on_request():
     assert forever.send(fault(2))[0].outcome == "follows"
 
 
+def test_counts_are_carried():
+    clock = Clock(SignatureState(lambda e, i: "not json", carry=True))
+    assert [(r.outcome, r.before) for r in clock.send(fault(1, 4))] == [("carry", 0), ("waiting", None)]
+    assert [(r.first_seq, r.before) for r in clock.send(fault(3, 5), fault(2, 1), fault(1, 4))] == [(2, 4), (3, 5)]
+    assert [(r.outcome, r.before) for r in clock.send(fault(4, 1))] == [("carry", 10)]
+
+
 def test_faults_merge_in_any_order():
     some = [fault(i, i, f, last) for i, f, last in ((1, 5, 9), (2, 3, 12), (3, 3, 12), (4, None, None))]
     merged = set()
