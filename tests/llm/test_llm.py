@@ -190,6 +190,34 @@ def test_hash_tree(docs):
     assert sorted((r["size"], r["text_crc32"]) for r in found) == sums
 
 
+def test_hash_tree_like_independent_draws(docs):
+    """Shard, grown shard and slot of every row, by draws that are made here."""
+    racks = [(f"r{i // 2}", f"k{i}", list(range(4 * i, 4 * i + 4))) for i in range(10)]
+
+    def draw(key, name, weight):
+        bits = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42)) >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / weight
+
+    def shard(key, racks):
+        regions = {}
+        for r, k, shards in racks:
+            regions.setdefault(r, []).append((k, shards))
+        region = min(regions, key=lambda r: draw(key, r, sum(len(s) for _, s in regions[r])))
+        rack = min(regions[region], key=lambda x: draw(key, f"{region}/{x[0]}", len(x[1])))
+        return min(rack[1], key=lambda n: draw(key, f"shard {n}", 1))
+
+    want, placed = [], defaultdict(list)
+    for doc_id, text, *_ in corpus():
+        key, raw = "null" if doc_id is None else str(doc_id), (text or "").encode()
+        cell = xxhash.xxh64_intdigest(key.encode(), 42)
+        cell = (cell - (1 << 64) if cell >> 63 else cell) % sharding.CELLS
+        row = (doc_id, len(raw) + 16, zlib.crc32(raw), "key", shard(key, racks), shard(key, [*racks, ("r+40", "k+40", [40])]))
+        placed[row[4]].append(((cell, doc_id is None, doc_id or 0, row[2], row[1]), row))
+    for rows_ in placed.values():
+        want += [(*row[:5], slot, row[5]) for slot, (_, row) in enumerate(sorted(rows_, key=lambda x: x[0]))]
+    assert rows(sharding.hash_tree_shards(docs)) == sorted(want, key=repr)
+
+
 def test_hash_tree_follows_weights(spark):
     tree = (
         sharding.Region("a", (sharding.Rack("x", (sharding.Shard(0, 3.0), sharding.Shard(1, 1.0))),)),
@@ -301,6 +329,9 @@ def test_nearest(spark):
         order = [int(i) for i in np.lexsort((np.arange(3000), -np.round(s, 9))) if i != q][:20]
         hit += len(set(order) & {x[1] for x in by[q]})
         assert [x[0] for x in sorted(by[q])] == list(range(1, 21))
+        # Scores are exact, nearest first, and equal ones go to the smaller id.
+        assert all(abs(score - math.fsum(a * b for a, b in zip(v[q], v[i], strict=True))) < 1e-12 for _, i, score in by[q])
+        assert sorted(by[q]) == [(k + 1, *x[1:]) for k, x in enumerate(sorted(by[q], key=lambda x: (-x[2], x[1])))]
     assert hit / (150 * 20) >= 0.9 and set(by) == set(range(0, 3000, 20))
 
 
