@@ -237,6 +237,38 @@ def best_repeats(
     A class score never exceeds that of a pair, and where it falls short of it the pair has a row of
     its own by one of the other ways. The maximum over all rows is therefore exact.
     """
+    new, old, _, pairs = _matched(incidents, reports, threshold, seconds)
+    # Every row goes by its content and by its class, in one pass.
+    either = F.explode(F.array("content", "class"))
+    return best_match(
+        _newest_per_content(new.withColumn("content", either), old.withColumn("content", either), pairs, seconds)
+    )
+
+
+def repeat_classes(
+    incidents: DataFrame,
+    reports: DataFrame,
+    threshold: float = THRESHOLD,
+    seconds: int = LOOKBACK_SECONDS,
+) -> tuple[DataFrame, DataFrame]:
+    """All matching contents without a list of their pairs: (matches, members).
+
+    ``matches`` has severity, service_name, bucket (of the incident), content, report_content and
+    score, where a content is that of a row or a class of contents; a pair of classes stands for all
+    pairs of their members. ``members`` has content and class of every content. Two contents that
+    meet in a bucket match with the highest score of the rows for themselves or their classes, and
+    with none otherwise: that is what :func:`repeat_scores` lists pair by pair.
+
+    A template with n different ids is one class, so its matches are one row and its members n.
+    """
+    _, _, label, pairs = _matched(incidents, reports, threshold, seconds)
+    return pairs.distinct(), label
+
+
+def _matched(
+    incidents: DataFrame, reports: DataFrame, threshold: float, seconds: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Incidents and reports with content and class, the class of each content, and what matches."""
     asked = incidents.where(F.coalesce("severity", F.lit("")) != "")
     # Both sides are read several times below; together they are worked out side by side.
     both = settle(
@@ -283,11 +315,7 @@ def best_repeats(
             )
         )
     )
-    # Every row goes by its content and by its class, in one pass.
-    either = F.explode(F.array("content", "class"))
-    return best_match(
-        _newest_per_content(new.withColumn("content", either), old.withColumn("content", either), pairs, seconds)
-    )
+    return new, old, label, pairs
 
 
 def _classes(sides: DataFrame, threshold: float) -> DataFrame:

@@ -685,6 +685,21 @@ def repeat_scores(spark, sf_dir):
     )
 
 
+@query
+def repeat_classes(spark, sf_dir):
+    """What matches, by contents and by classes of contents, and the members of the classes."""
+    matches, members = repeats.repeat_classes(*_asked_and_stored(spark, sf_dir))
+    matches = matches.select(
+        F.lit("match").alias("kind"), "severity", "service_name", "bucket", "content",
+        F.col("report_content").alias("other"), F.round("score", 6).alias("score"),
+    )
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("severity", "string"), ("service_name", "string"), ("bucket", "bigint"))]
+    return matches.unionByName(
+        members.select(F.lit("member").alias("kind"), *empty, "content", F.col("class").alias("other"),
+                       F.lit(None).cast("double").alias("score"))
+    )
+
+
 @query
 def best_match(spark, sf_dir):
     best = repeats.best_repeats(*_asked_and_stored(spark, sf_dir))

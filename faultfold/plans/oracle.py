@@ -576,6 +576,40 @@ SELECT incident_id, count(r.id) AS n_candidates, max({{'a': r.created_at, 'b': r
 FROM incidents i LEFT JOIN reports r ON {_CANDIDATE} GROUP BY incident_id"""
     q["repeat_scores"] = f"""WITH {SCORES}
 SELECT incident_id, newest.b AS report_id, newest.a AS report_created_at, round(score, 6) AS score FROM scores"""
+    place = "a.severity = h.severity AND a.service_name IS NOT DISTINCT FROM h.service_name AND a.bucket = h.bucket"
+    q["repeat_classes"] = f"""WITH {INCIDENTS},
+asks AS (SELECT DISTINCT severity, service_name, CAST(floor(epoch(as_of) / 7200) AS BIGINT) AS bucket, {_WORDS} AS words
+  FROM incidents),
+stored AS (SELECT DISTINCT severity, service_name, CAST(floor(epoch(created_at) / 7200) AS BIGINT) AS bucket, {_WORDS} AS words
+  FROM reports),
+holds AS (SELECT severity, service_name, bucket, words FROM stored
+  UNION SELECT severity, service_name, bucket + 1, words FROM stored),
+contents AS (SELECT DISTINCT words FROM (SELECT words FROM asks UNION ALL SELECT words FROM stored)),
+uses AS (SELECT word, count(*) AS uses FROM (SELECT unnest(words) AS word FROM contents) GROUP BY word),
+placed AS (SELECT words, word, uses, row_number() OVER (PARTITION BY words ORDER BY uses, word) AS nth
+  FROM (SELECT words, unnest(words) AS word FROM contents) JOIN uses USING (word)),
+parted AS (SELECT words, md5(array_to_string(words, ' ')) AS content, len(words) AS size,
+    coalesce(list(word) FILTER (uses <= 8 AND nth <= len(words) - ceil(len(words) * 0.6 - 1e-9) + 1), []) AS rare,
+    coalesce(list(word) FILTER (uses > 8 AND nth <= len(words) - ceil(len(words) * 0.6 - 1e-9) + 1), []) AS prefix,
+    list_sort(coalesce(list(word) FILTER (uses > 8), [])) AS core
+  FROM placed GROUP BY words),
+classed AS (SELECT *, 'class ' || md5(array_to_string(list_prepend(CAST(size AS VARCHAR), core), ' ')) AS class FROM parted),
+classes AS (SELECT class, any_value(core) AS core, any_value(size) AS size, any_value(prefix) AS prefix FROM classed GROUP BY class),
+near AS (
+  SELECT a.severity, a.service_name, a.bucket, l.content, r.content AS other,
+    CAST(len(list_intersect(a.words, h.words)) AS DOUBLE) / len(list_distinct(list_concat(a.words, h.words))) AS score
+  FROM asks a JOIN holds h ON {place} JOIN classed l ON l.words = a.words JOIN classed r ON r.words = h.words
+  WHERE a.words = h.words OR len(list_intersect(l.rare, r.rare)) > 0),
+ask_classes AS (SELECT DISTINCT severity, service_name, bucket, class FROM asks JOIN classed USING (words)),
+hold_classes AS (SELECT DISTINCT severity, service_name, bucket, class FROM holds JOIN classed USING (words)),
+alike AS (
+  SELECT a.severity, a.service_name, a.bucket, l.class AS content, r.class AS other,
+    CAST(len(list_intersect(l.core, r.core)) AS DOUBLE) / (l.size + r.size - len(list_intersect(l.core, r.core))) AS score
+  FROM ask_classes a JOIN hold_classes h ON {place} JOIN classes l ON l.class = a.class JOIN classes r ON r.class = h.class
+  WHERE len(list_intersect(l.prefix, r.prefix)) > 0)
+SELECT DISTINCT 'match' AS kind, severity, service_name, bucket, content, other, round(score, 6) AS score
+FROM (SELECT * FROM near UNION ALL SELECT * FROM alike) WHERE score >= 0.6
+UNION ALL SELECT 'member', NULL, NULL, NULL, content, class, NULL FROM classed"""
     q["best_match"] = f"""WITH {SCORES}
 SELECT incident_id, top.b AS report_id, round(top.s, 6) AS score FROM best"""
     q["candidate_sets"] = f"""WITH {INCIDENTS},

@@ -156,7 +156,8 @@ def intake_batch(root: str, self_service: str) -> Callable[[DataFrame, int], Non
             unreadable = rows.where(F.col("reason").isNotNull()).select(
                 "raw", "reason", F.lit(1).alias("attempts"), F.current_timestamp().alias("failed_at")
             )
-            unreadable_table(spark, root).append(unreadable, stream, batch_id)
+            if not unreadable.isEmpty():
+                unreadable_table(spark, root).append(unreadable, stream, batch_id)
             entries = rows.where(F.col("reason").isNull()).drop("raw", "reason")
             fresh, _ = unseen(entry_table(spark, root), entries, stream, batch_id, number=True)
         finally:

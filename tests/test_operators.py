@@ -478,6 +478,40 @@ def repeat_tables(spark, n, shared_ids):
     return incidents_, reports_
 
 
+@pytest.mark.parametrize("shared_ids", [False, True])
+def test_classes_stand_for_all_pairs(spark, shared_ids):
+    """Matches of classes, put out over their members, are the pairs that the full list has."""
+    found, stored = repeat_tables(spark, 40, shared_ids)
+    matches, members = repeats.repeat_classes(found, stored)
+    of = {r["content"]: r["class"] for r in members.collect()}
+    by = {}
+    for content, name in of.items():
+        by.setdefault(name, []).append(content)
+        by.setdefault(content, []).append(content)
+    best = {}
+    for r in matches.collect():
+        for a in by[r["content"]]:
+            for b in by[r["report_content"]]:
+                best[a, b] = max(best.get((a, b), 0), r["score"])
+    # Which contents an incident is compared with is fixed by the look-back, which all of these share.
+    texts = {r["incident_id"]: r["content"] for r in repeats._contents(found, "as_of", 7200).collect()}
+    listed = {(texts[r["incident_id"]], r["report_content"]): r["score"] for r in repeats.repeat_scores(found, stored).collect()}
+    assert listed.items() <= best.items() and len(listed) > 100
+    held = {r["content"] for r in repeats._contents(stored, "created_at", 7200).collect()}
+    asked = {c for c, in {(t,) for t in texts.values()}}
+    assert {(a, b) for a, b in best if a in asked and b in held} == set(listed)
+
+
+def test_classes_grow_with_the_rows(spark):
+    """Near-identical contents: matches stay few, members are the contents."""
+    sizes = {}
+    for n in (500, 1000, 4000):
+        matches, members = repeats.repeat_classes(*repeat_tables(spark, n, False))
+        sizes[n] = matches.count(), members.count()
+    assert all(m <= 40 for m, _ in sizes.values())
+    assert sizes[4000][1] <= 8.1 * sizes[500][1]
+
+
 @pytest.mark.parametrize("shared_ids", [False, True])
 def test_best_repeats_equal_the_best_of_the_list(spark, shared_ids):
     found, stored = repeat_tables(spark, 30, shared_ids)
