@@ -131,9 +131,14 @@ def _entries(maps: DataFrame, group: list[str]) -> DataFrame:
             F.col("_exit").alias("_from"), F.col("_count").alias("_more"),
         )
         joined = maps.join(before, _same(maps, before, group), "left")
-        # ``_from`` leads into the table; entries count from 0, elements from 1.
-        exits = F.transform("_from", lambda x: F.element_at("_exit", (x + 1).cast("int")))
-        counts = F.transform("_from", lambda x, i: F.element_at("_more", (i + 1).cast("int")) + F.element_at("_count", (x + 1).cast("int")))
+        # ``_from`` leads into the table; entries count from 0, elements from 1. A batch may reach over
+        # the end of a short last stretch; nothing begins behind it.
+        exits = F.transform("_from", lambda x: F.coalesce(F.try_element_at("_exit", (x + 1).cast("int")), F.lit(0)))
+        counts = F.transform(
+            "_from",
+            lambda x, i: F.element_at("_more", (i + 1).cast("int"))
+            + F.coalesce(F.try_element_at("_count", (x + 1).cast("int")), F.lit(0)),
+        )
         maps = settle(
             joined.select(
                 *group, "_seg",

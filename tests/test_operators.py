@@ -248,7 +248,9 @@ def test_packing_is_one_greedy_pass(spark, monkeypatch, most, max_bytes, stretch
 
     monkeypatch.setattr(packing, "STRETCH", stretch)
     monkeypatch.setattr(packing.next_fit, "__defaults__", (stretch,))
-    groups = {"hot": 1000, "b": 1, "c": 2 * max(stretch, 2 * most), None: 333, "e": most}
+    whole = max(stretch, 2 * most)
+    # Also groups whose last stretch is shorter than a batch.
+    groups = {"hot": 1000, "b": 1, "c": 2 * whole, None: 333, "e": most, "f": whole + 3, "g": 3 * whole + 1, "h": 2 * whole + most // 2}
     rows = [(g, i, (i * 37 + len(str(g))) % 90 + 1 if i % 200 else 500) for g, n in groups.items() for i in range(n)]
     given = spark.createDataFrame(rows, "g string, i int, bytes bigint").repartition(5)
     packed = limits.pack_batches(given, ["g"], ["i"], max_entries=most, max_bytes=max_bytes).collect()
