@@ -24,7 +24,7 @@ from faultfold.sources.tables import read_table
 
 def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    read = warc.warc_round_trip(pages, compression="gzip", per_file=100_000)
+    read = warc.warc_round_trip(pages, per_file=100_000)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -31,6 +31,8 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC, _END = MAGIC.encode(), END.encode()
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# Words of 64 bits that tell pages which are no revisits; a bound for what is broadcast, about 5 MB.
+MARK_WORDS = 1 << 17
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -46,9 +48,9 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Works on ids and digests only; groups are reduced before they are joined.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.where(F.octet_length(payload) >= least_bytes).select(
+    narrow = settle(pages.where(F.octet_length(payload) >= least_bytes).select(
         F.col("page_id").cast("long").alias("page_id"), base32_sha1(payload).alias("digest")
-    )
+    ))
     shared = narrow.groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n"))
     again = narrow.join(shared.where("n > 1 and target is not null"), "digest")
     return again.where("page_id is null or page_id < target").select("page_id", "digest", "target").distinct()
@@ -63,12 +65,25 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
         payload.alias("payload"),
         base32_sha1(payload.cast("binary")).alias("digest"),
     )
-    old = revisits(pages, least_bytes).select(
+    old = settle(revisits(pages, least_bytes)).select(
         F.col("page_id").alias("old_id"), F.col("digest").alias("old_digest"), "target"
     )
-    rows = rows.join(
+    # Whoever has no mark is no revisit, so that most payloads are not shuffled; the rest is looked up.
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(64 * MARK_WORDS))
+    bit = place("old_id", "old_digest")
+    marks = old.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("bit"))
+    marks = marks.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    rows = rows.withColumn("place", place("page_id", "digest")).withColumn("word", F.shiftright("place", 6))
+    rows = rows.join(F.broadcast(marks), "word", "left")
+    marked = F.coalesce(F.getbit("bits", (F.col("place") % 64).cast("int")) == 1, F.lit(False))
+    rows = rows.withColumn("marked", marked).drop("word", "place", "bits")
+    found = rows.where("marked").join(
         old, F.col("page_id").eqNullSafe(F.col("old_id")) & (F.col("digest") == F.col("old_digest")), "left"
     )
+    none = rows.where("not marked").withColumn("target", F.lit(None).cast("long"))
+    rows = found.select("page_id", "url", "payload", "digest", "target").union(
+        none.select("page_id", "url", "payload", "digest", "target")
+    )
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length("payload").cast("string"),
