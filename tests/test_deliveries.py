@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from faultfold.plans import catalog
+from faultfold.streaming import events
 
 
 def test_a_delivery_of_many_files_is_one_micro_batch(spark, tmp_path, monkeypatch):
@@ -26,3 +27,30 @@ def test_a_delivery_of_many_files_is_one_micro_batch(spark, tmp_path, monkeypatc
     monkeypatch.setattr(catalog, "ROWS_A_FILE", 1_000)
     counted = catalog.QUERIES["stream_counts"](spark, f"{tmp_path}/tables")
     assert counted.agg(F.sum("incident_count")).first()[0] == 300
+
+
+def test_state_has_the_partitions_its_faults_need(spark, tmp_path, monkeypatch):
+    """A session that shuffles into many partitions does not open a state store for each."""
+    entries = [(f"i-{n}", f"svc-{n % 3}", f"disk {'abc'[n % 3]} is full") for n in range(9)]
+    body = F.to_json(F.struct(
+        F.col("id").alias("insertId"), F.lit("ERROR").alias("severity"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        F.struct(F.lit("run").alias("type"), F.create_map(F.lit("service_name"), "service").alias("labels")).alias("resource"),
+        F.col("message").alias("textPayload"),
+    ))
+    rows = spark.createDataFrame(entries, "id string, service string, message string")
+    rows = rows.select(F.struct(F.base64(body.cast("binary")).alias("data")).alias("message"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * cores))
+    try:
+        for name, size, expected in (("few", 20_000, cores), ("many", 3 / (cores + 2), cores + 2), ("most", 0.001, 3 * cores)):
+            monkeypatch.setattr(events, "FAULTS_A_PARTITION", size)
+            root, checkpoint = f"{tmp_path}/{name}", f"{tmp_path}/cp-{name}"
+            stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+            events.run_triage(stream, root, "faultfold", checkpoint)
+            found = [n for n in Path(f"{checkpoint}/triage/state/0").iterdir() if n.name.isdigit()]
+            assert len(found) == expected
+            assert sorted(r["incident_count"] for r in events.current_reports(spark, root).collect()) == [3, 3, 3]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
