@@ -148,14 +148,21 @@ def faults_of(entries: DataFrame) -> DataFrame:
     )
 
 
+def wanted_rows(batch: DataFrame, self_service: str) -> DataFrame:
+    """Signed entries that pass the export filter, and unreadable deliveries with a ``reason``. Only these
+    have ``raw``: the delivery of an entry is longer than the entry, and not needed again."""
+    wanted = F.col("reason").isNotNull() | exportable(self_service)
+    rows = rollup.with_signature(decode(batch).where(wanted), keep=("raw", "reason"))
+    return rows.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
+
+
 def intake_batch(root: str, self_service: str) -> Callable[[DataFrame, int], None]:
     """The function for ``foreachBatch``; ``root`` must lie in storage all executors share."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stream = run_of(spark)
-        wanted = F.col("reason").isNotNull() | exportable(self_service)
-        rows = rollup.with_signature(decode(batch).where(wanted), keep=("raw", "reason")).persist()
+        rows = wanted_rows(batch, self_service).persist()
         try:
             unreadable = rows.where(F.col("reason").isNotNull()).select(
                 "raw", "reason", F.lit(1).alias("attempts"), F.current_timestamp().alias("failed_at")

@@ -54,3 +54,11 @@ def test_state_has_the_partitions_its_faults_need(spark, tmp_path, monkeypatch):
             assert sorted(r["incident_count"] for r in events.current_reports(spark, root).collect()) == [3, 3, 3]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_only_an_unreadable_delivery_is_kept_as_it_came(spark):
+    good = spark.range(1).select(F.to_json(F.struct(F.lit("a").alias("insertId"), F.lit("ERROR").alias("severity"))).alias("t"))
+    data = [r["d"] for r in good.select(F.base64(F.col("t").cast("binary")).alias("d")).collect()] + ["%%%"]
+    rows = spark.createDataFrame([((d,),) for d in data], "message struct<data: string>")
+    found = {r["reason"]: (r["insert_id"], r["raw"]) for r in events.wanted_rows(rows, "own").collect()}
+    assert found == {None: ("a", None), "bad_base64": (None, "%%%")}
